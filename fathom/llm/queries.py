@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import covering, forms, garble
+from . import covering, forms, garble, leaks
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -54,7 +54,11 @@ def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
     return forms.look_alike_groups(_table(spark, folder, "qa_log"), "qa_id", "question")
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.leaked(_table(spark, folder, "documents"), "doc_id", "text", _table(spark, folder, "regression_cases")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_repaired, p5_found, p5_forms, p5_groups)
+    f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_repaired, p5_found, p5_forms, p5_groups, p7_found)
 }
 ORACLE: dict[str, str] = {}
