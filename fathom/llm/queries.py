@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import covering, forms, garble, leaks, privacy
+from . import covering, forms, garble, leaks, pairs, privacy
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def p2_repaired(spark: SparkSession, folder: str) -> DataFrame:
     return rows[0].unionByName(rows[1])
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pairs.broken_pairs(_table(spark, folder, "qa_log"), "question", "answer", "hit").select(F.col("qa_id").cast("bigint").alias("qa_id"), "defect")
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return privacy.find(_table(spark, folder, "qa_log"), "qa_id", ["question", "answer"]).withColumnRenamed("id", "qa_id")
 
@@ -67,6 +71,6 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_repaired, p4_found, p4_redacted, p5_found, p5_forms, p5_groups, p7_found)
+    f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_repaired, p3_found, p4_found, p4_redacted, p5_found, p5_forms, p5_groups, p7_found)
 }
 ORACLE: dict[str, str] = {}
