@@ -53,57 +53,76 @@ class Block:
         self.column = (self.vocabulary * np.uint32(2654435761) >> np.uint32(19)).astype(np.int64)
         self.weight = np.ones(len(self.vocabulary), np.float32)
 
-    def features(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and vocabulary numbers of the runs of a text that references hold."""
-        if len(text) < GRAM:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        h = hash_runs([text], GRAM)[0]
+    def features(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Positions, over all texts in a row, and vocabulary numbers of the runs that references hold."""
+        none = np.zeros(0, np.int64)
+        if sum(map(len, texts)) < GRAM:
+            return none, none
+        h, _ = hash_runs(texts, GRAM)
         at = np.flatnonzero(self.filter[h >> (32 - _BITS)])
-        if not len(at):
-            return at, at
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        end = np.cumsum(size)
+        at = at[end[np.searchsorted(end, at, "right")] - at >= GRAM]  # runs across two texts are none
         n = np.searchsorted(self.vocabulary, h[at])
         n[n == len(self.vocabulary)] = 0
         ok = self.vocabulary[n] == h[at]
         return at[ok], n[ok]
 
-    def vectors(self, features: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Weighted, normalised passages as rows, columns, values."""
-        rows = np.repeat(np.arange(len(features)), [len(f) for f in features])
-        n = np.concatenate(features) if features else np.zeros(0, np.int64)
-        values = self.weight[n]
-        norm = np.sqrt(np.bincount(rows, values.astype(np.float64) ** 2, len(features)))
-        return rows, self.column[n], (values / np.maximum(norm, 1e-9)[rows]).astype(np.float32)
-
-
-def _passages(block: Block, text: str) -> list[tuple[int, np.ndarray]]:
-    """Windows of a document, half overlapping, with at least as many reference runs as a leak has."""
-    at, n = block.features(text)
-    if len(at) < block.least:
-        return []
-    half = at // (WINDOW // 2)
-    out = []
-    for w in np.unique(np.concatenate([half, half - 1])):
-        a, b = np.searchsorted(half, w), np.searchsorted(half, w + 2)
-        if b - a >= block.least:
-            out.append((int(w) * (WINDOW // 2), n[a:b]))
-    return out
+    def vectors(self, n: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Weighted, normalised passages (slices of the features n) as rows, columns, values."""
+        size = end - begin
+        rows = np.repeat(np.arange(len(size)), size)
+        each = n[np.arange(len(rows)) + np.repeat(begin - np.cumsum(size) + size, size)]
+        values = self.weight[each].astype(np.float64)
+        norm = np.sqrt(np.bincount(rows, values**2, len(size)))
+        return rows, self.column[each], values / np.maximum(norm, 1e-9)[rows]
+
+
+def _passages(block: Block, texts: list[str]) -> tuple[np.ndarray, ...]:
+    """Half overlapping windows with at least as many reference runs as a leak has: text number and place, slice of the features; the features and their positions."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    begin, half = np.cumsum(size) - size, WINDOW // 2
+    at, n = block.features(texts)
+    text = np.searchsorted(np.cumsum(size), at, "right")
+    first = np.cumsum(size // half + 2) - size // half - 2  # numbers of the half windows; each text has one to spare
+    cell = first[text] + (at - begin[text]) // half if len(at) else at
+    total = int(size.sum() // half + 2 * len(texts)) + 2
+    count = np.bincount(cell, minlength=total)
+    start = np.concatenate([[0], np.cumsum(count)])
+    w = np.flatnonzero(count[:-1] + count[1:] >= block.least)
+    a, b = start[w], start[w + 2]
+    owner = text[a] if len(w) else w
+    same = text[b - 1] == owner if len(w) else np.zeros(0, bool)
+    w, a, b, owner = w[same], a[same], b[same], owner[same]
+    return owner, (w - first[owner]) * half if len(w) else w, a, b, n, at
 
 
 def _project(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, basis: np.ndarray, n: int) -> np.ndarray:
-    """Sparse rows times a dense basis."""
-    out = np.zeros((n, basis.shape[1]), np.float32)
-    if len(rows):
-        starts = np.flatnonzero(np.diff(rows, prepend=-1))
-        out[rows[starts]] = np.add.reduceat(basis[columns] * values[:, None], starts)
-    return out
+    """Sparse rows times a dense basis (rank x columns): rank x n."""
+    return np.stack([np.bincount(rows, d[columns] * values, n) for d in basis])
+
+
+def _groups(rows: pd.DataFrame) -> Iterator[tuple[list[int], list[str]]]:
+    """Ids and letters of about a megabyte of texts at a time, whole texts each."""
+    ids, texts, size = [], [], 0
+    for i, t in zip(rows["id"] if "id" in rows else range(len(rows)), rows["text"]):
+        if t and len(s := letters(t)) >= GRAM:
+            ids.append(i)
+            texts.append(s)
+            size += len(s)
+            if size > 500_000:
+                yield ids, texts
+                ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts
 
 
 def _counts(block: Block):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(len(block.vocabulary), np.int64)
         for rows in batches:
-            for t in rows["text"]:
-                total += np.bincount(block.features(letters(t))[1], minlength=len(total)) if t else 0
+            for _, texts in _groups(rows):
+                total += np.bincount(block.features(texts)[1], minlength=len(total))
         seen = np.flatnonzero(total)
         yield pd.DataFrame({"n": seen, "count": total[seen]})
 
@@ -116,16 +135,14 @@ def _power(block: Block, omega: np.ndarray, pieces: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        total = np.zeros(omega.shape, np.float32)
+        total = np.zeros(omega.shape)
         for rows in batches:
-            found = [f for t in rows["text"] if t for _, f in _passages(block, letters(t))]
-            for at in range(0, len(found), 4096):
-                part = found[at : at + 4096]
-                r, c, v = block.vectors(part)
-                y = _project(r, c, v, omega, len(part))
-                order = np.argsort(c, kind="stable")
-                starts = np.flatnonzero(np.diff(c[order], prepend=-1))
-                total[c[order][starts]] += np.add.reduceat(y[r[order]] * v[order][:, None], starts)
+            for _, texts in _groups(rows):
+                _, _, begin, end, n, _ = _passages(block, texts)
+                r, c, v = block.vectors(n, begin, end)
+                y = _project(r, c, v, omega, len(begin))
+                total += np.stack([np.bincount(c, d[r] * v, COLUMNS) for d in y])
+        total = total.T.astype(np.float32)
         salt = TaskContext.get().partitionId() % 32
         step = len(total) // pieces
         yield pd.DataFrame({"piece": range(pieces), "salt": salt, "sums": [total[i * step : (i + 1) * step].tobytes() for i in range(pieces)]})
@@ -138,45 +155,62 @@ def _add(rows: pd.DataFrame) -> pd.DataFrame:
     return rows.iloc[:1].assign(sums=[total.tobytes()])
 
 
+def _longest(at: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Of each passage, the longest series of reference runs at consecutive places that reaches into it."""
+    if not len(begin):
+        return begin
+    series = np.cumsum(np.diff(at, prepend=at[0] - 2) != 1) - 1
+    length = np.bincount(series)[series]
+    order = np.empty(2 * len(begin), np.int64)
+    order[::2], order[1::2] = begin, end
+    return np.maximum.reduceat(np.append(length, 0), order)[::2]
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return (x / np.maximum(np.linalg.norm(x, axis=0), 1e-9)).astype(np.float32)
+
+
+def _verified(doc: int, text: str, place: int, own: set[int], runs: dict[str, set[int]], sizes: list[int]) -> set[tuple[int, int]]:
+    """Exact check of a candidate: the cases of its passages that share a long enough run around it."""
+    found = set()
+    for k in sizes:
+        a, b = max(0, place - k), min(len(text), place + WINDOW + k)
+        for p in range(a, b - k + 1):
+            if (known := runs.get(text[p : p + k])) is not None and (known := known & own):
+                found |= {(doc, c) for c in known}
+    return found
+
+
 def _search(block: Block, basis: np.ndarray, least_cosine: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         case = np.array([c for c, _ in block.windows])
-        r, c, v = block.vectors([block.features(w)[1] for _, w in block.windows])
-        queries = _project(r, c, v, basis, len(case))
-        queries /= np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-9)
+        at, n = block.features([w for _, w in block.windows])
+        edges = np.searchsorted(at, np.cumsum([0, *(len(w) for _, w in block.windows)]))
+        queries = _unit(_project(*block.vectors(n, edges[:-1], edges[1:]), basis, len(case))).T
         runs: dict[str, set[int]] = {}
         sizes = sorted({k for _, k, _ in block.cases})
         for i, k, s in block.cases:
             for p in range(len(s) - k + 1):
                 runs.setdefault(s[p : p + k], set()).add(i)
         for rows in batches:
-            ids, texts, found = [], [], []
-            for i, t in zip(rows["id"], rows["text"]):
-                if t:
-                    s = letters(t)
-                    for at, f in _passages(block, s):
-                        ids.append(i)
-                        texts.append(s[max(0, at - WINDOW) : at + 3 * WINDOW])
-                        found.append(f)
             leaks = set()
-            for at in range(0, len(found), 2048):
-                part = found[at : at + 2048]
-                r, c, v = block.vectors(part)
-                x = _project(r, c, v, basis, len(part))
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-                hit, window = np.nonzero(x @ queries.T >= least_cosine)
-                for i in np.unique(hit):
-                    s, own = texts[at + i], set(case[window[hit == i]].tolist())
-                    for k in sizes:
-                        for p in range(len(s) - k + 1):
-                            if (known := runs.get(s[p : p + k])) and known & own:
-                                leaks |= {(ids[at + i], j) for j in known & own}
+            for ids, texts in _groups(rows):
+                owner, place, begin, end, n, at = _passages(block, texts)
+                longest = _longest(at, begin, end)
+                x = _unit(_project(*block.vectors(n, begin, end), basis, len(begin))).T
+                for first in range(0, len(x), 2048):
+                    hit, window = np.nonzero(x[first : first + 2048] @ queries.T >= least_cosine)
+                    edge = np.flatnonzero(np.diff(hit, prepend=-1, append=-1))
+                    for e, f in zip(edge[:-1], edge[1:]):
+                        i = first + hit[e]
+                        if longest[i] >= block.least:
+                            leaks |= _verified(ids[owner[i]], texts[owner[i]], int(place[i]), set(case[window[e:f]].tolist()), runs, sizes)
             yield pd.DataFrame(sorted(leaks), columns=["id", "case_id"])
 
     return run
 
 
-def leaked(documents: DataFrame, key: str, text: str, cases: DataFrame, *, short: int = 24, long: int = 60, least_cosine: float = 0.4, block_size: int = 2000) -> DataFrame:
+def leaked(documents: DataFrame, key: str, text: str, cases: DataFrame, *, short: int = 24, long: int = 60, least_cosine: float = 0.5, block_size: int = 2000) -> DataFrame:
     """(id, case_id): documents whose text shares a run of letters and digits of ``short`` (zh) or ``long`` (else) with a reference.
 
     ``cases`` has case_id, lang, reference; it is the query set and goes through in blocks of about ``block_size``.
@@ -201,10 +235,10 @@ def _leaked_block(docs: DataFrame, block: Block, least_cosine: float) -> DataFra
     total = np.zeros(len(block.vocabulary))
     total[counts["n"]] = counts["count"]
     block.weight = np.log((total.sum() + 1) / (total + 1)).astype(np.float32)
-    omega = np.random.default_rng(7).standard_normal((COLUMNS, RANK), np.float32)
+    omega = np.random.default_rng(7).standard_normal((RANK, COLUMNS))
     pieces = 32
     sums = only.mapInPandas(_power(block, omega, pieces), "piece int, salt int, sums binary")
     sums = sums.groupBy("piece", "salt").applyInPandas(_add, "piece int, salt int, sums binary").groupBy("piece").applyInPandas(_add, "piece int, salt int, sums binary")
     b = np.frombuffer(b"".join(sums.toPandas().sort_values("piece")["sums"]), np.float32).reshape(COLUMNS, RANK)
-    basis = np.linalg.qr(b.astype(np.float64))[0].astype(np.float32)
+    basis = np.ascontiguousarray(np.linalg.qr(b.astype(np.float64))[0].T)
     return docs.mapInPandas(_search(block, basis, least_cosine), "id bigint, case_id bigint")
