@@ -1,10 +1,256 @@
-"""Registered queries and their oracle SQL."""
+"""Registered queries over whole tables, and their oracle SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from fathom.functions import text as X
+from fathom.functions import vector as V
+from fathom.operators import answer, chunk, extract, search, understand
+from fathom.sources import files
+
+SEPARATORS = ["；", ";", "。", "，另外", "，还有", "并且", "同时"]
+ROUTES = [
+    ("risk", ["孕期", "过敏", "抗凝", "pregnan", "allerg"]),
+    ("combination", ["一起用", "先做哪个", "可以配", "mix", "be used with", "mêler", "Verträgt"]),
+    ("aftercare", ["洗澡", "紧绷", "怎么办", "shower", "What should I do", "Was tun", "duschen", "doucher"]),
+    ("dose", ["多少", "毫升", "浓度", "How much", "contain", "deep"]),
+    ("storage", ["开封", "储存", "温度", "keep at", "hält", "garder"]),
+    ("origin", ["批次", "原装", "是不是", "Who makes", "lot ", "vérifier"]),
+]
+DEFAULT_ROUTE = "basic"
+WORDS = ["眼周", "面颊", "颈部", "唇周", "泪沟", "cheeks", "neck", "lip"]
+TITLES, STOPS = ["用量", "Dose", "Mengen", "【Q】"], ["来源", "存放", "Storage", "【A】"]
+MARKERS = r"^(#{1,6} |[一二三四五六七八九十]、|【问】|Q: |Frage: )"
+CASE_ROUTES = {"risk": "人群提醒", "combination": "组合安排", "aftercare": "护理提示", "dose": "用量说明", "storage": "储存须知", "origin": "来源核验", "basic": "品类介绍"}
+NOTE = "以上为资料整理结果，不替代现场评估。"
+
+
+def _t(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def l2_normalize(spark: SparkSession, folder: str) -> DataFrame:
+    v = _t(spark, folder, "embeddings").withColumn("u", V.normalize(F.col("embedding")))
+    return v.select("vec_id", F.round(V.norm(F.col("embedding")), 6).alias("norm"), F.round(V.norm(F.col("u")), 6).alias("unit"), F.round(F.col("u")[0], 6).alias("first"))
+
+
+def vector_topk(spark: SparkSession, folder: str) -> DataFrame:
+    e = _t(spark, folder, "embeddings")
+    hits = search.vector_topk(e.where("vec_id % 20 = 0"), e, qid="vec_id", qvec="embedding", key="vec_id", vec="embedding")
+    return hits.select("qid", "id", F.round("score", 6).alias("score"), "rank")
+
+
+def keyword_topk(spark: SparkSession, folder: str) -> DataFrame:
+    cases = _t(spark, folder, "regression_cases").where("case_id % 20 = 0")
+    cases = cases.withColumn("query", F.concat_ws(" ", F.col("q"), F.array_join("expect_any", " ")))
+    hits = search.keyword_topk(cases, _t(spark, folder, "documents"), qid="case_id", query="query", key="doc_id", text="text")
+    return hits.select("qid", "id", F.round("score", 6).alias("score"), "rank")
+
+
+def hybrid_topk(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _t(spark, folder, "documents").select("doc_id", "text", F.col("source").alias("src"), "product_id")
+    rows = docs.join(_t(spark, folder, "embeddings"), F.col("doc_id") == F.col("vec_id"))
+    asked = rows.where("doc_id % 20 = 0").withColumn("query", F.concat_ws(" ", "product_id", F.lit("the der 的 les"), "src"))
+    vector = search.vector_topk(asked, rows, qid="doc_id", qvec="embedding", key="doc_id", vec="embedding")
+    keyword = search.keyword_topk(asked, docs, qid="doc_id", query="query", key="doc_id", text="text")
+    texts = docs.select(F.col("doc_id").alias("id"), "text")
+    with_text = lambda h: h.join(texts.where(F.col("text").isNotNull()), "id").select("qid", "text", "id", "score", "rank")
+    merged = search.merge_hybrid(with_text(vector), with_text(keyword))
+    return merged.select("qid", "id", F.round("vector_score", 6).alias("vector_score"), F.round("keyword_score", 6).alias("keyword_score"), F.round("hybrid_score", 6).alias("hybrid_score"), "rank")
+
+
+def keyword_score(spark: SparkSession, folder: str) -> DataFrame:
+    q = _t(spark, folder, "qa_log")
+    return q.select("qa_id", F.round(search.keyword_score(F.col("rewritten_query"), F.col("answer")), 6).alias("score"))
+
+
+def chunk_fixed(spark: SparkSession, folder: str) -> DataFrame:
+    rows = chunk.records(_t(spark, folder, "documents"), ["doc_id"], "text", chunk.fixed_windows(F.col("text")))
+    return rows.select("doc_id", "chunk_id", F.length("text").cast("bigint").alias("n"), F.md5("text").alias("digest"))
+
+
+def chunk_counts(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _t(spark, folder, "documents").select(F.coalesce("product_id", F.lit("")).alias("product_id"), F.size(chunk.fixed_windows(F.col("text"))).alias("n"))
+    return rows.groupBy("product_id").agg(F.sum("n").cast("bigint").alias("chunks"), F.count("*").alias("files"))
+
+
+def chunk_packed(spark: SparkSession, folder: str) -> DataFrame:
+    return chunk.records(_t(spark, folder, "documents"), ["doc_id"], "text", chunk.packed(F.col("text")))
+
+
+def normalize_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return extract.numbered_lines(_t(spark, folder, "documents"), "doc_id", "text")
+
+
+def unique_lines(spark: SparkSession, folder: str) -> DataFrame:
+    d = _t(spark, folder, "documents").select("doc_id", F.posexplode(X.unique(F.split(F.coalesce(X.normalize_newlines(F.col("text")), F.lit("")), "\n"))).alias("p", "line"))
+    return d.select("doc_id", (F.col("p") + 1).cast("bigint").alias("pos"), "line")
+
+
+def section_block(spark: SparkSession, folder: str) -> DataFrame:
+    s = X.section(F.col("text"), TITLES, STOPS)
+    return _t(spark, folder, "documents").select("doc_id", F.length(s).cast("bigint").alias("n"), F.md5(s).alias("digest"))
+
+
+def detect_terms(spark: SparkSession, folder: str) -> DataFrame:
+    vocabulary = _t(spark, folder, "product_aliases").groupBy("product_id", "alias").agg(F.min("alias_ord").alias("o"))
+    rank = F.dense_rank().over(Window.orderBy("product_id"))  # the vocabulary has one size at every scale
+    found = understand.detect(_t(spark, folder, "qa_log").select("qa_id", "question"), "question", vocabulary.withColumn("o", rank), key="product_id", term="alias", order=F.col("o"))
+    return found.select("qa_id", F.array_join("detected", ",").alias("products"))
+
+
+def detect_route(spark: SparkSession, folder: str) -> DataFrame:
+    return _t(spark, folder, "qa_log").select("qa_id", understand.route(F.col("question"), ROUTES, DEFAULT_ROUTE).alias("route"))
+
+
+def route_counts(spark: SparkSession, folder: str) -> DataFrame:
+    q = _t(spark, folder, "qa_log").select(understand.route(F.col("question"), ROUTES, DEFAULT_ROUTE).alias("route"), "hit", "latency_ms")
+    ok = F.when(F.col("latency_ms") >= 0, F.col("latency_ms"))
+    return q.groupBy("route").agg(F.count("*").alias("n"), F.count_if(~F.coalesce("hit", F.lit(False))).alias("misses"), F.round(F.avg(ok), 4).alias("latency"), F.max(ok).cast("bigint").alias("slowest"))
+
+
+def split_questions(spark: SparkSession, folder: str) -> DataFrame:
+    q = _t(spark, folder, "qa_log").select("qa_id", F.posexplode(X.split_questions(F.col("question"), SEPARATORS)).alias("p", "part"))
+    return q.select("qa_id", (F.col("p") + 1).cast("bigint").alias("pos"), "part")
+
+
+def rewrite_expand(spark: SparkSession, folder: str) -> DataFrame:
+    aliases = _t(spark, folder, "product_aliases").groupBy("product_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("alias_ord", "alias"))), lambda x: x["alias"]).alias("aliases"))
+    q = _t(spark, folder, "qa_log").select("qa_id", "question", F.col("meta")["product_id"].alias("product_id")).join(aliases, "product_id", "left")
+    return q.select("qa_id", understand.expand(F.col("question"), F.col("aliases"), WORDS).alias("expanded"))
+
+
+def media_route(spark: SparkSession, folder: str) -> DataFrame:
+    media = _t(spark, folder, "media_items").withColumn("ord", F.row_number().over(Window.orderBy("title")))
+    return understand.media_for(_t(spark, folder, "qa_log").where("question is not null"), "question", "qa_id", media)
+
+
+def state_fill(spark: SparkSession, folder: str) -> DataFrame:
+    lines = extract.numbered_lines(_t(spark, folder, "documents"), "doc_id", "text")
+    return extract.carried(lines, "doc_id", F.when(F.col("line").rlike(MARKERS), F.col("line"))).select("doc_id", "pos", "state")
+
+
+def step_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return extract.step_lines(_t(spark, folder, "docs"), "ord", "text", notes=["注意", "Notes", "Hinweis"]).select("ord", "pos", "bucket", "line")
+
+
+def step_answer(spark: SparkSession, folder: str) -> DataFrame:
+    rows = extract.step_lines(_t(spark, folder, "docs"), "ord", "text", notes=["注意", "Notes", "Hinweis"])
+    return extract.step_answer(rows, "ord", brief=True).select("ord", "bucket", F.array_join("lines", "\n").alias("lines"))
+
+
+def bullets(spark: SparkSession, folder: str) -> DataFrame:
+    lines = extract.bullets(X.section(F.col("text"), TITLES, STOPS), keep=WORDS, short=60)
+    return _t(spark, folder, "documents").select("doc_id", F.array_join(lines, "\n").alias("lines")).where("lines <> ''")
+
+
+def unified_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    d = _t(spark, folder, "docs").select("ord", "id", "text", "meta.*")
+    name = F.element_at(F.split("source_file", "/"), -1)
+    made = F.concat(F.coalesce("product_id", F.lit("unknown")), F.lit("/"), F.coalesce(name, F.lit("unknown")), F.lit("::chunk_"), F.coalesce((F.col("chunk_id") - 1).cast("string"), F.lit("?")))
+    number = F.coalesce("chunk_id", F.nullif(F.regexp_extract("id", r"::chunk_(\d+)$", 1), F.lit("")).cast("int") + 1).cast("bigint")
+    return d.select("ord", F.coalesce("id", made).alias("chunk_key"), number.alias("chunk_id"), name.alias("source_file"), F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n"))
+
+
+def latest_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    d = unified_chunks(spark, folder).join(_t(spark, folder, "docs").select("ord", "built_at"), "ord")
+    return d.groupBy("chunk_key").agg(F.max_by("ord", F.struct("built_at", "ord")).alias("ord"), F.count("*").alias("versions"))
+
+
+def evidence(spark: SparkSession, folder: str) -> DataFrame:
+    lines = F.transform(F.slice("matched_sources", 1, answer.EVIDENCE), lambda m: answer.evidence_line(m["source_file"], m["chunk_id"], m["source_type"]))
+    return _t(spark, folder, "qa_log").where(F.size("matched_sources") > 0).select("qa_id", F.array_join(lines, "\n").alias("evidence"))
+
+
+def answer_format(spark: SparkSession, folder: str) -> DataFrame:
+    q = _t(spark, folder, "qa_log").withColumn("route", understand.route(F.col("question"), ROUTES, DEFAULT_ROUTE))
+    title = F.lit(CASE_ROUTES[DEFAULT_ROUTE])
+    for name, text in CASE_ROUTES.items():
+        title = F.when(F.col("route") == name, text).otherwise(title)
+    ev = F.transform("matched_sources", lambda m: answer.evidence_line(m["source_file"], m["chunk_id"], m["source_type"]))
+    body = F.array(F.coalesce(F.col("rewritten_query"), F.lit("")))
+    return q.select("qa_id", answer.formatted(title, body, ev, NOTE, F.when(F.col("route") == "risk", "请先咨询医生。")).alias("answer"))
+
+
+def recent_qa(spark: SparkSession, folder: str) -> DataFrame:
+    return files.recent(_t(spark, folder, "qa_log"), "ingested_at", "qa_id", limit=20).select("qa_id", "ts", F.coalesce("question", F.lit("")).alias("question"))
+
+
+def recent_errors(spark: SparkSession, folder: str) -> DataFrame:
+    return files.recent(_t(spark, folder, "error_log").select("ts", "stage", F.coalesce("error", F.lit("")).alias("error")), "ts", "stage", "error", limit=20)
+
+
+def error_stages(spark: SparkSession, folder: str) -> DataFrame:
+    e = _t(spark, folder, "error_log")
+    return e.groupBy("stage").agg(F.count("*").alias("n"), F.count_distinct(F.coalesce("error", F.lit(""))).alias("errors"), F.max("ts").alias("last"))
+
+
+def miss_log(spark: SparkSession, folder: str) -> DataFrame:
+    q = _t(spark, folder, "qa_log").where(F.col("hit") == False)  # noqa: E712
+    return q.select("ts", F.coalesce("question", F.lit("")).alias("question"), F.coalesce("rewritten_query", F.lit("")).alias("rewritten_query"), F.coalesce(F.col("meta")["product_id"], F.lit("")).alias("product_id"))
+
+
+def resent_rows(spark: SparkSession, folder: str) -> DataFrame:
+    q = _t(spark, folder, "qa_log").groupBy("ts", "question", "answer").agg(F.min("qa_id").alias("qa_id"), F.count("*").alias("copies"))
+    return q.where("copies > 1").select("qa_id", "copies")
+
+
+def late_rows(spark: SparkSession, folder: str) -> DataFrame:
+    q = _t(spark, folder, "qa_log").where("ingested_at is not null and ts is not null").select(F.to_date(F.substring("ts", 1, 10)).cast("string").alias("day"), F.col("ingested_at").cast("timestamp_ntz").alias("i"), F.try_to_timestamp("ts").cast("timestamp_ntz").alias("t"))
+    late = F.col("i") > F.col("t") + F.expr("interval 1 hour")
+    return q.groupBy("day").agg(F.count("*").alias("n"), F.count_if(late).alias("late"))
+
+
+def shared_aliases(spark: SparkSession, folder: str) -> DataFrame:
+    a = _t(spark, folder, "product_aliases").groupBy("alias").agg(F.count_distinct("product_id").alias("products"), F.min("product_id").alias("first"))
+    return a.where("products > 1")
+
+
+def catalog(spark: SparkSession, folder: str) -> DataFrame:
+    d = _t(spark, folder, "documents").groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("langs"), F.count("*").alias("n"))
+    return d
+
+
+def regression_pass(spark: SparkSession, folder: str) -> DataFrame:
+    c = _t(spark, folder, "regression_cases")
+    done = answer.regression(c, c.select("case_id", F.col("reference").alias("answer")), "case_id")
+    return done.groupBy("lang").agg(F.count("*").alias("n"), F.count_if("passed").alias("passed"))
+
+
+def regression_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """Each case against every logged answer of the same normal question text."""
+    q = _t(spark, folder, "qa_log").where("question is not null and answer is not null").select(X.collapse_space(F.lower("question")).alias("k"), "answer")
+    c = _t(spark, folder, "regression_cases").select("case_id", X.collapse_space(F.lower("q")).alias("k"), "expect_any")
+    held = F.exists("expect_any", lambda w: F.contains(F.col("answer"), w))
+    return c.join(q, "k", "left").groupBy("case_id").agg(F.count("answer").alias("answers"), F.count_if(held).alias("passed"))
+
+
+def batch_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """Every question of the log through the whole answer plan, on the newest main text of its product."""
+    d = _t(spark, folder, "docs").where("meta.source_type = 'main' and meta.product_id is not null and text is not null")
+    texts = d.groupBy(F.col("meta.product_id").alias("product_id")).agg(F.max_by("text", F.struct("built_at", "ord")).alias("text"))
+    order = _t(spark, folder, "product_aliases").where("alias is not null").groupBy("product_id", "alias").agg(F.min("alias_ord").alias("alias_ord"))
+    sections = {name: (["：", ":", "，", ","], ["\n"]) for name, _ in ROUTES} | {DEFAULT_ROUTE: (["。", "."], ["\n\n"])}
+    return answer.answers(
+        _t(spark, folder, "qa_log"), texts, order, key="qa_id", question="question", separators=SEPARATORS, routes=ROUTES, sections=sections, titles=CASE_ROUTES, note=NOTE, default_route=DEFAULT_ROUTE, keep=WORDS
+    )
+
+
+def embed_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Every chunk text by the hashing embedder, normalised; a digest instead of the vector's floats."""
+    rows = search.embed(_t(spark, folder, "docs").select("ord", "text"), "text").withColumn("u", V.normalize(F.col("embedding")))
+    return rows.select("ord", F.round(V.norm(F.col("u")), 6).alias("unit"), F.size("u").alias("size"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        l2_normalize, vector_topk, keyword_score, keyword_topk, hybrid_topk, chunk_fixed, chunk_counts, chunk_packed, normalize_lines, unique_lines, section_block, detect_terms, detect_route, route_counts,
+        split_questions, rewrite_expand, media_route, state_fill, step_lines, step_answer, bullets, unified_chunks, latest_chunks, evidence, answer_format, recent_qa, recent_errors, error_stages, miss_log,
+        resent_rows, late_rows, shared_aliases, catalog, regression_pass, regression_answers, batch_answers, embed_texts,
+    )
+}
