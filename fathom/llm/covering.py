@@ -15,7 +15,8 @@ on the table's key (sort-merge, splittable by AQE) and tested inside the join ag
 a sketch of two bits per symbol, so neither buckets nor groups are gathered anywhere,
 and nothing is capped.
 
-Null, short (under ``least`` letters and digits) and excluded texts form no pairs.
+Null, short (under ``least`` letters and digits) and excluded texts, and rows without a
+key, form no pairs.  Only the key and the text column are read, so others may clash.
 """
 
 from __future__ import annotations
@@ -137,7 +138,7 @@ def _alike(a: pd.Series, b: pd.Series, width: pd.Series, least: pd.Series) -> pd
 def near_duplicates(df: DataFrame, key: str, text: str, *, similarity: float = 0.8, width: int = 5, least: int = 40, skip_garbled: bool = False) -> tuple[DataFrame, DataFrame]:
     """(links, members): links (id_a, id_b) between different texts at ``similarity`` or more, each text by its first row;
     members (id, same_as) has every row that takes part, with the first row of equal text.  ``key`` is a unique bigint."""
-    source = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    source = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull() & F.col("id").isNotNull())
     rows = written(source.mapInPandas(_signatures(width, least, skip_garbled), "id bigint, same binary, symbols binary, s1 bigint, s2 bigint"), "signatures")
     firsts = rows.groupBy("same").agg(F.min_by(F.struct("id", "symbols", "s1", "s2"), "id").alias("r"), F.count("*").alias("n"))
     shared = firsts.where("n > 1").select("same", F.col("r.id").alias("same_as"))

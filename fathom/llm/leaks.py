@@ -14,7 +14,7 @@ A passage needs as many reference runs as the shortest reportable run has; fewer
 hold a leak, so they are left out before the product without loss.
 
 Null or empty texts leak nothing; a null or empty reference is never found; repeated
-documents count each.
+documents count each; rows without a key are left out.
 """
 
 from __future__ import annotations
@@ -215,12 +215,12 @@ def leaked(documents: DataFrame, key: str, text: str, cases: DataFrame, *, short
 
     ``cases`` has case_id, lang, reference; it is the query set and goes through in blocks of about ``block_size``.
     """
-    docs = documents.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    docs = documents.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull() & F.col("id").isNotNull())
     spark, out = documents.sparkSession, None
     n = cases.count()
     blocks = max(1, -(-n // block_size))
     for b in range(blocks):
-        own = cases.where(F.pmod(F.xxhash64("case_id"), F.lit(blocks)) == b).where(F.col("reference").isNotNull())
+        own = cases.where(F.col("case_id").isNotNull() & F.col("reference").isNotNull()).where(F.pmod(F.xxhash64("case_id"), F.lit(blocks)) == b)
         block = Block([(r[0], r[1], r[2]) for r in own.select("case_id", "lang", "reference").orderBy("case_id").collect()], short, long)
         if not block.windows:
             continue

@@ -11,7 +11,7 @@ gathered or sorted in one task.
 
 An item over the capacity, and only such an item, is divided: into full containers and
 a rest that is packed like any other.  Items of size 0 (null or empty texts) take no room
-and stand in container -1; repeated rows are items of their own.
+and stand in container -1; repeated rows are items of their own, rows without a key are left out.
 """
 
 from __future__ import annotations
@@ -125,7 +125,7 @@ def _place(slots: dict[int, np.ndarray], capacity: int):
 
 def pack(df: DataFrame, key: str, text: str, *, capacity: int = 2048, folder: str = tokens.FOLDER, file: str = tokens.FILE) -> DataFrame:
     """(id, part, size, container, position): the place of every document; sizes in tokens of the tokenizer ``file``."""
-    source = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
+    source = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).where("id is not null")
     counter = lambda t: tokens.count(t, folder, file)
     items = written(source.mapInPandas(_local(counter, capacity), "id bigint, part int, size int, pid int, local bigint"), "items")
     cells = items.groupBy("size", "pid").agg(F.count("*").alias("n"))

@@ -10,7 +10,8 @@ block more than ``BLOCK`` tables.
 Pieces end at the strongest boundary in their last part (heading, paragraph, line,
 sentence, clause); only stretches without any are cut between characters.  Each piece
 but the first repeats about ``overlap`` tokens of the one before; without these the
-pieces join to the text exactly.  Null and short texts yield no pieces.
+pieces join to the text exactly.  Null and short texts, and rows without a
+key, yield no pieces; a repeated row yields its pieces again if it is read in one go, once if in ranges.
 """
 
 from __future__ import annotations
@@ -202,11 +203,11 @@ def _long(ranges: DataFrame, limit: int, overlap: int, folder: str, file: str) -
 
 def split(df: DataFrame, key: str, text: str, *, limit: int = LIMIT, overlap: int = OVERLAP, range_chars: int = RANGE, folder: str = tokens.FOLDER, file: str = tokens.FILE) -> DataFrame:
     """(id, piece, begin, end, tokens, overlap, text) of the texts of more than ``limit`` tokens; begin and end in characters."""
-    rows = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    rows = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull() & F.col("id").isNotNull())
     short = rows.where(F.length("text") <= range_chars).mapInPandas(_small(limit, overlap, folder, file), PIECES)
     n = F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / range_chars).cast("int"))).alias("range")
     at = F.col("range") * range_chars
-    ranges = rows.where(F.length("text") > range_chars).select("id", "text", n).select(
+    ranges = rows.where(F.length("text") > range_chars).dropDuplicates(["id"]).select("id", "text", n).select(
         "id", "range", F.when(at > 0, F.substring("text", at - HALO + 1, F.lit(HALO))).otherwise("").alias("before"), F.substring("text", at + 1, F.lit(range_chars)).alias("own"), F.substring("text", at + range_chars + 1, F.lit(HALO)).alias("after")
     )
     return short.unionByName(_long(ranges, limit, overlap, folder, file))

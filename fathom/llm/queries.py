@@ -81,4 +81,11 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_repaired, p3_found, p4_found, p4_redacted, p5_found, p5_forms, p5_groups, p6_packed, p7_found, p8_pieces)
 }
-ORACLE: dict[str, str] = {}
+_LETTERS = r"regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', '', 'g')"
+ORACLE: dict[str, str] = {
+    "p7_found": f"""with d as (select doc_id, {_LETTERS.format("text")} as s from documents where text is not null),
+        r as (select case_id, case when lang = 'zh' then 24 else 60 end as k, {_LETTERS.format("reference")} as s from regression_cases where reference is not null),
+        rw as (select distinct case_id, k, substring(s, i, k) as w from (select *, unnest(range(1, length(s) - k + 2)) as i from r)),
+        dw as (select distinct doc_id, k, substring(s, i, k) as w from (select doc_id, s, k, unnest(range(1, length(s) - k + 2)) as i from d, (values (24), (60)) t(k)))
+        select distinct doc_id, case_id from dw join rw using (k, w)""",
+}
