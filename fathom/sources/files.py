@@ -33,9 +33,26 @@ def decoded(content):
     return F.when(F.is_valid_utf8(content.cast("string")), F.regexp_replace(content.cast("string"), "^\\x{FEFF}", "")).otherwise(_gbk(content))
 
 
+def empty_files(spark: SparkSession, root: str) -> list[str]:
+    """Paths of the files without content, which Spark's readers pass over; from the listing alone."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    out = []
+    while found.hasNext():
+        if (f := found.next()).getLen() == 0:
+            out.append(f.getPath().toString())
+    return out
+
+
+def _with_empty(spark: SparkSession, files: DataFrame, root: str, *columns) -> DataFrame:
+    empty = empty_files(spark, root)
+    return files.unionByName(spark.createDataFrame([(p, *columns) for p in empty], files.schema)) if empty else files
+
+
 def knowledge(spark: SparkSession, root: str) -> DataFrame:
     """(product_id, source_file, source_type, text) of ``root/<product>/{main,faq,alias}.txt``; empty files count, missing ones don't."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(root)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(root).select("path", "content")
+    files = _with_empty(spark, files, root, bytearray())
     name = F.regexp_extract("path", r"([^/]+)/([^/]+)\.txt$", 2)
     rows = files.select(F.regexp_extract("path", r"([^/]+)/([^/]+)\.txt$", 1).alias("product_id"), F.concat(name, F.lit(".txt")).alias("source_file"), name.alias("source_type"), decoded(F.col("content")).alias("text"))
     return rows.where(F.col("source_type").isin("main", "faq", "alias"))
@@ -51,10 +68,15 @@ def array_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", "true").option("mode", "DROPMALFORMED").json(path).withColumn("ord", F.monotonically_increasing_id())
 
 
+def parsed(lines: DataFrame, schema: str) -> DataFrame:
+    """Text lines as JSON rows; blank and malformed lines, bare scalars among them, are dropped."""
+    row = F.from_json("value", f"{schema}, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("r")
+    return lines.where(F.trim("value") != "").select(row).where("r._corrupt_record is null").select("r.*").drop("_corrupt_record")
+
+
 def log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A JSON lines log without its malformed lines."""
-    rows = spark.read.schema(f"{schema}, _corrupt_record string").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-    return rows.where("_corrupt_record is null").drop("_corrupt_record")
+    return parsed(spark.read.text(path), schema)
 
 
 def recent(rows: DataFrame, *order, limit: int) -> DataFrame:
@@ -65,5 +87,6 @@ def recent(rows: DataFrame, *order, limit: int) -> DataFrame:
 def catalog(spark: SparkSession, root: str) -> DataFrame:
     """(product_id, files) sorted, from the listing alone: contents are not read."""
     paths = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+    paths = _with_empty(spark, paths, root)
     parts = paths.select(F.regexp_extract("path", r"([^/]+)/([^/]+)$", 1).alias("product_id"), F.regexp_extract("path", r"([^/]+)/([^/]+)$", 2).alias("file"))
     return parts.groupBy("product_id").agg(F.array_sort(F.collect_set("file")).alias("files")).orderBy("product_id")

@@ -10,10 +10,10 @@ from fathom.sources import files, sinks
 
 def read_log(spark: SparkSession, path: str, schema: str = files.QA_LOG, files_per_trigger: int | None = None) -> DataFrame:
     """A log folder as a stream, with event_time from ts; malformed lines are dropped."""
-    reader = spark.readStream.schema(f"{schema}, _corrupt_record string").option("columnNameOfCorruptRecord", "_corrupt_record")
+    reader = spark.readStream
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    rows = reader.json(path).where("_corrupt_record is null").drop("_corrupt_record")
+    rows = files.parsed(reader.text(path), schema)
     return rows.withColumn("event_time", F.try_to_timestamp("ts"))
 
 
