@@ -239,6 +239,9 @@ def _leaked_block(docs: DataFrame, block: Block, least_cosine: float) -> DataFra
     pieces = 32
     sums = only.mapInPandas(_power(block, omega, pieces), "piece int, salt int, sums binary")
     sums = sums.groupBy("piece", "salt").applyInPandas(_add, "piece int, salt int, sums binary").groupBy("piece").applyInPandas(_add, "piece int, salt int, sums binary")
-    b = np.frombuffer(b"".join(sums.toPandas().sort_values("piece")["sums"]), np.float32).reshape(COLUMNS, RANK)
+    done = sums.toPandas().sort_values("piece")["sums"]
+    if not len(done):  # no documents
+        return docs.where("false").select("id", F.lit(0).cast("bigint").alias("case_id"))
+    b = np.frombuffer(b"".join(done), np.float32).reshape(COLUMNS, RANK)
     basis = np.ascontiguousarray(np.linalg.qr(b.astype(np.float64))[0].T)
     return docs.mapInPandas(_search(block, basis, least_cosine), "id bigint, case_id bigint")

@@ -141,7 +141,7 @@ def _tables(overlap: int, folder: str, file: str):
     return run
 
 
-def _plan(limit: int, overlap: int):
+def _plan(limit: int, overlap: int, size: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("range")
         block = key[1]
@@ -152,7 +152,7 @@ def _plan(limit: int, overlap: int):
             count.append(np.asarray(r.count, np.int64) + r.token0)
             owner.append(np.full(len(r.place), r.range))
         place, level, count, owner = map(np.concatenate, (place, level, count, owner))
-        start = int(np.searchsorted(owner, block * BLOCK, "left")) if block else 0
+        start = int(np.searchsorted(owner, block * size, "left")) if block else 0
         start = max(0, start - 1) if block else 0  # the last boundary of the block before
         pieces = cuts(level, count, limit, overlap, 12, start)
         if block and pieces and start:  # the first piece of a block repeats the end of the last
@@ -184,7 +184,7 @@ def _long(ranges: DataFrame, limit: int, overlap: int, folder: str, file: str) -
     halo = stitched.where(F.col("range") % BLOCK == BLOCK - 1).withColumn("block", block + 1)
     halo = halo.join(own.select("id", "block").distinct(), ["id", "block"], "left_semi").select(own.columns)
     planned = own.unionByName(halo).groupBy("id", "block").applyInPandas(
-        _plan(limit, overlap), "id bigint, block int, k int, begin bigint, end bigint, overlap int, parts array<struct<range:int,from:int,to:int>>"
+        _plan(limit, overlap, BLOCK), "id bigint, block int, k int, begin bigint, end bigint, overlap int, parts array<struct<range:int,from:int,to:int>>"
     )
     planned = written(planned, "pieces")
     numbers = planned.groupBy("id", "block").agg(F.count("*").alias("n"))
