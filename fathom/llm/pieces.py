@@ -80,17 +80,16 @@ def boundaries(text: str, lo: int, hi: int, step: int, folder: str, file: str) -
     return place, level, count
 
 
-def cuts(level: np.ndarray, count: np.ndarray, limit: int, overlap: int, margin: int, start: int = 0) -> list[tuple[int, int]]:
-    """Pieces as (boundary before, boundary after) over boundaries 0..n; boundary 0 is the begin of the text."""
+def cuts(level: np.ndarray, count: np.ndarray, limit: int, overlap: int, margin: int, start: int = 0, resumed: bool = False) -> list[tuple[int, int]]:
+    """Pieces as (boundary before, boundary after) over boundaries 0..n; boundary 0 is the begin of the text; a resumed plan repeats what stands before ``start``."""
     out, at, last = [], start, len(count) - 1
     while at < last:
         begin = at
-        if out:  # back by about the overlap, but never to the begin of the piece before
+        if out or resumed:  # back by about the overlap, but never to the begin of the piece before
             begin = int(np.searchsorted(count, count[at] - overlap - overlap // 4, "left"))
             near = np.arange(begin, at)
             begin = int(near[np.argmin(np.abs(count[near] - (count[at] - overlap)))]) if len(near) else at
-            begin = max(begin, out[-1][0] + 1)
-            begin = min(begin, at)
+            begin = min(max(begin, out[-1][0] + 1 if out else 0), at)
         most = int(np.searchsorted(count, count[begin] + limit - margin, "right")) - 1
         if most >= last:
             out.append((begin, last))
@@ -154,11 +153,7 @@ def _plan(limit: int, overlap: int, size: int):
         place, level, count, owner = map(np.concatenate, (place, level, count, owner))
         start = int(np.searchsorted(owner, block * size, "left")) if block else 0
         start = max(0, start - 1) if block else 0  # the last boundary of the block before
-        pieces = cuts(level, count, limit, overlap, 12, start)
-        if block and pieces and start:  # the first piece of a block repeats the end of the last
-            near = int(np.argmin(np.abs(count[: start + 1] - (count[start] - overlap))))
-            if count[pieces[0][1]] - count[near] <= limit - 12:
-                pieces[0] = (near, pieces[0][1])
+        pieces = cuts(level, count, limit, overlap, 12, start, bool(block))
         edges = [(int(n), int(c), int(c) + int(w)) for n, c, w in zip(rows["range"], rows["char0"], rows["chars"])]
         out, done = [], int(count[start])
         for k, (a, b) in enumerate(pieces):
