@@ -73,20 +73,27 @@ def split_questions(question: Column, separators: list[str]) -> Column:
     return unique(F.split(F.coalesce(question, F.lit("")), pattern))
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is worked out once, however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def section(text: Column, titles: list[str], stops: list[str]) -> Column:
     """The slice from the first title found anywhere to the first occurrence of a stop after its begin.
 
     A stop counts by its first occurrence within the slice only, and not at its very begin.
     Includes the title, trimmed; empty where no title occurs.
     """
-    body = F.coalesce(normalize_newlines(text), F.lit(""))
-    places = F.filter(F.array(*[F.locate(t, body) for t in titles]), lambda p: p > 0)
-    start = F.array_min(places)
-    rest = F.substring(body, start, F.length(body))
-    if stops:
-        ends = F.filter(F.transform(F.array(*map(F.lit, stops)), lambda s: F.position(s, rest)), lambda p: p > 1)
-        rest = F.when(F.size(ends) > 0, F.substring(rest, F.lit(1), F.array_min(ends) - 1)).otherwise(rest)
-    return F.when(F.size(places) > 0, utrim(rest)).otherwise("")
+
+    def cut(rest: Column) -> Column:
+        ends = F.array_min(F.filter(F.array(*[F.locate(x, rest) for x in stops] or [F.lit(0)]), lambda p: p > 1))
+        return utrim(let(ends, lambda end: F.when(end.isNull(), rest).otherwise(F.substring(rest, F.lit(1), end - 1))))
+
+    def begin(body: Column) -> Column:
+        start = F.array_min(F.filter(F.array(*[F.locate(t, body) for t in titles]), lambda p: p > 0))
+        return let(start, lambda s: F.when(s.isNull(), "").otherwise(let(F.substring(body, s, F.length(body)), cut)))
+
+    return let(F.coalesce(normalize_newlines(text), F.lit("")), begin)
 
 
 def ascii_digits(x: Column) -> Column:

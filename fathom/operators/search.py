@@ -142,18 +142,15 @@ def merge_hybrid(vector: DataFrame, keyword: DataFrame, *, k: int = FINAL_K, vec
 
 def hashed_embedding(text: str | None, size: int = 64, n: int = 3) -> list[float]:
     """A deterministic embedding of character n-grams, for where no model is at hand; the zero vector for no text."""
-    v = np.zeros(size, np.float32)
-    s = " ".join((text or "").lower().split())
-    for i in range(len(s) - n + 1):
-        h = hash_gram(s[i : i + n])
-        v[h % size] += 1.0 if h >> 16 & 1 else -1.0
-    return v.tolist()
-
-
-def hash_gram(gram: str) -> int:
-    import zlib
-
-    return zlib.crc32(gram.encode())
+    codes = np.frombuffer(" ".join((text or "").lower().split()).encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
+    if len(codes) < n:
+        return [0.0] * size
+    h = np.zeros(len(codes) - n + 1, np.uint64)
+    for k in range(n):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + codes[k : len(codes) - n + 1 + k]
+    h ^= h >> np.uint64(31)
+    sign = np.where(h >> np.uint64(40) & np.uint64(1), 1.0, -1.0)
+    return np.bincount((h % np.uint64(size)).astype(np.int64), sign, size).astype(np.float32).tolist()
 
 
 def embed(df: DataFrame, text: str, out: str = "embedding", *, model=hashed_embedding) -> DataFrame:

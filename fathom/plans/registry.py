@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fathom.functions import text as X
 from fathom.functions import vector as V
 from fathom.operators import answer, chunk, extract, search, understand
-from fathom.sources import files
+from fathom.sources import files, tables
 
 SEPARATORS = ["；", ";", "。", "，另外", "，还有", "并且", "同时"]
 ROUTES = [
@@ -30,7 +30,7 @@ NOTE = "以上为资料整理结果，不替代现场评估。"
 
 
 def _t(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return tables.table(spark, folder, name) if name in ("documents", "docs", "qa_log") else spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def l2_normalize(spark: SparkSession, folder: str) -> DataFrame:
@@ -92,8 +92,9 @@ def unique_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def section_block(spark: SparkSession, folder: str) -> DataFrame:
-    s = X.section(F.col("text"), TITLES, STOPS)
-    return _t(spark, folder, "documents").select("doc_id", F.length(s).cast("bigint").alias("n"), F.md5(s).alias("digest"))
+    s = F.col("section")
+    cut = _t(spark, folder, "documents").select("doc_id", X.section(F.col("text"), TITLES, STOPS).alias("section"))
+    return cut.select("doc_id", F.length(s).cast("bigint").alias("n"), F.md5(s).alias("digest"))
 
 
 def detect_terms(spark: SparkSession, folder: str) -> DataFrame:
