@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fathom.sources import tables
+
 from . import covering, forms, garble, leaks, packing, pairs, pieces, privacy
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return tables.table(spark, folder, name)
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
