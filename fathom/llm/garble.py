@@ -236,14 +236,48 @@ def _gbk_as(run: str, enc: str) -> str | None:
         total += x
         if total > best:
             best, span = total, (start, i + 1)
-    if span is None or best < 7 or span[1] - span[0] < 3:
+    if span is None or best < 5.5 or span[1] - span[0] < 3:
         return None
     a, b = span
+    if best < 7 and 2 * sum(c in common for c in run[a:b]) >= b - a:
+        return None
     odd = sum(1 if _HAN.match(c) else 2 for c in run[a:b] if c not in known)
-    return run[:a] + "".join(new[a:b]) + run[b:] if odd >= 2 else None
+    return run[:a] + "".join(new[a:b]) + run[b:] if odd >= (2 if best >= 7 else 1) else None
+
+
+_FOREIGN = re.compile("[\u3400-\u9fff\uac00-\ud7af\uff61-\uff9f]+[A-Za-z]?")
+_WESTERN_SIGN = re.compile("[\u00a1-\u017f\u0391-\u03c9\u2010-\u2044\u20ac\u2122A-Za-z]+")
+
+
+def _mostly_latin(text: str) -> bool:
+    """A text of few characters outside ASCII."""
+    return len(text.encode("utf-8", "replace")) < 1.5 * len(text)
+
+
+def _western_as(text: str) -> str | None:
+    """A Western text in which letters outside ASCII, in UTF-8, were read as a double-byte encoding."""
+    changed = False
+
+    def undo(m: re.Match) -> str:
+        nonlocal changed
+        for enc in DOUBLE:
+            for run in (m.group(), m.group().rstrip("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")):
+                try:
+                    new = run.encode(enc).decode()
+                except UnicodeError:
+                    continue
+                if not new.isascii() and _WESTERN_SIGN.fullmatch(new):
+                    changed = True
+                    return new + m.group()[len(run) :]
+        return m.group()
+
+    new = _FOREIGN.sub(undo, text)
+    return new if changed else None
 
 
 def _by_bytes(text: str) -> str | None:
+    if _mostly_latin(text) and (new := _western_as(text)) is not None:
+        return new
     if not _suspicious().search(text):
         return None
     changed, parts, at = False, [], 0
@@ -337,7 +371,7 @@ _ODD_PLACE = re.compile(
 
 
 def _may_be_garbled(text: str) -> bool:
-    return bool(_odd().search(text) or _ODD_PLACE.search(text))
+    return bool(_odd().search(text) or _ODD_PLACE.search(text) or (_mostly_latin(text) and _FOREIGN.search(text)))
 
 
 _LOST = re.compile("锟斤|斤拷|拷锟|[\ufffd\x80-\x84\x86-\x9f\ue000-\uf8ff\U000f0000-\U0010fffd]")
