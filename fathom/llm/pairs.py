@@ -250,7 +250,7 @@ def defect(question: str | None, answer: str | None, hit: bool | None) -> str |
         return "refusal"
     if not lost and is_other_language(q, a):
         return "other_language"
-    if not lost and is_truncated(a):
+    if not lost and is_truncated(a) and not (original is not None and ends_sentence(a)):
         return "truncated"
     return None
 

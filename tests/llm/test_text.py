@@ -36,6 +36,12 @@ def test_ordinary_text_is_not_garbled(text):
     assert garble.repair(text) is None and not garble.is_garbled(text)
 
 
+def test_western_letters_as_double_bytes():
+    assert garble.repair(DE.encode().decode("gbk", "ignore")) is not None
+    assert garble.repair("rapport 脿 la version") == "rapport à la version"
+    assert garble.repair("苒霁翎 Deleth Filler is fine for people") is None
+
+
 def test_lost_characters_are_a_case():
     assert garble.is_garbled("abc\ufffddef") and garble.is_garbled("锟斤拷")
 
@@ -134,6 +140,8 @@ FOUND = [
     ("我叫褚若诚，李女士也问过", {"person_name"}),
     ("this is Quillsby, Greer, call", {"person_name"}),
     ("Dr. Hartlow said so. Delsoso Filler", set()),
+    ("hier Eike Buchenau, Mail", {"person_name"}),
+    ("hier Frau Buchenau, Mail", set()),
 ]
 
 
