@@ -80,16 +80,26 @@ def min_hashes(texts: list[str], width: int, n: int) -> np.ndarray:
     return out
 
 
+def _groups(rows: pd.DataFrame, width: int, least: int, skip_garbled: bool) -> Iterator[list[tuple[int, str]]]:
+    """Rows that take part, with their letters, about a quarter of a million letters at a time; texts stay whole."""
+    kept, size = [], 0
+    for i, t in zip(rows["id"], rows["text"]):
+        if len(s := letters(t)) >= max(least, width) and not (skip_garbled and is_garbled(t)):
+            kept.append((i, s))
+            size += len(s)
+            if size > 250_000:
+                yield kept
+                kept, size = [], 0
+    if kept:
+        yield kept
+
+
 def _signatures(width: int, least: int, skip_garbled: bool):
     n = PARTS * PER_CLASS * (2 ** (RADIUS + 1) - 1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            for at in range(0, len(rows), 512):
-                part = rows.iloc[at : at + 512]
-                kept = [(i, s) for i, t in zip(part["id"], part["text"]) if len(s := letters(t)) >= least and not (skip_garbled and is_garbled(t))]
-                if not kept:
-                    continue
+            for kept in _groups(rows, width, least, skip_garbled):
                 texts = [s for _, s in kept]
                 symbols = min_hashes(texts, width, n + SKETCH)
                 two = (symbols[:, n:] & 3).astype(np.uint64) << (2 * np.arange(SKETCH, dtype=np.uint64) % 64)
