@@ -47,6 +47,7 @@ def answers(
     keep: list[str],
     most_parts: int = 4,
     most_lines: int = 12,
+    default_product: str | None = None,
     rewrite: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """(key, answer): one plan for a batch of questions.
@@ -54,13 +55,13 @@ def answers(
     Questions are split (up to ``most_parts``), each part gets its first product of
     ``vocabulary`` (product_id, alias, alias_ord) and its route, the section of that route is
     cut from the product's text in ``texts`` (product_id, text: one row per product), and
-    equal answers of a question are given once, in order.  Parts without a product or section
-    get a fallback line, which ``rewrite`` does not see.  Blank questions get an empty answer.
+    equal answers of a question are given once, in order.  Parts without a product take
+    ``default_product``; those without a section get a fallback line, which ``rewrite`` does not see.  Blank questions get an empty answer.
     """
     asked = questions.select(key, F.col(question).alias("_q"))
     parts = asked.select(key, F.posexplode(F.slice(X.split_questions(F.col("_q"), separators), 1, most_parts)).alias("_n", "_part"))
     found = understand.detect(parts, "_part", vocabulary, key="product_id", term="alias", order=F.col("alias_ord"), out="_products")
-    routed = found.select(key, "_n", "_part", F.try_element_at("_products", F.lit(1)).alias("product_id"), understand.route(F.col("_part"), routes, default_route).alias("_route"))
+    routed = found.select(key, "_n", "_part", F.coalesce(F.try_element_at("_products", F.lit(1)), F.lit(default_product)).alias("product_id"), understand.route(F.col("_part"), routes, default_route).alias("_route"))
     cut = F.lit("")
     for name, (begin, stop) in sections.items():
         cut = F.when(F.col("_route") == name, X.section(F.col("_text"), begin, stop)).otherwise(cut)

@@ -42,12 +42,12 @@ def _best(queries: np.ndarray, ids: np.ndarray, k: int):
     return run
 
 
-def vector_topk(queries: DataFrame, corpus: DataFrame, *, qid: str, qvec: str, key: str, vec: str, k: int = K) -> DataFrame:
+def vector_topk(queries: DataFrame, corpus: DataFrame, *, qid: str, qvec: str, key: str, vec: str, k: int = K, min_score: float | None = None) -> DataFrame:
     """(qid, id, score, rank): the k rows of largest cosine for each query, exactly; ties by id.
 
     The stated query set goes through in blocks of ``BLOCK``; each task multiplies a block with
     its own rows and keeps k, so only k rows per query and task are shuffled.  Null vectors are
-    left out on both sides; zero vectors score 0; negative scores count.
+    left out on both sides; zero vectors score 0; negative scores count, unless ``min_score`` is given.
     """
     spark, out = corpus.sparkSession, None
     rows = corpus.select(F.col(key).cast("bigint").alias("id"), F.col(vec).alias("v"))
@@ -61,7 +61,7 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, *, qid: str, qvec: str, k
             out = part if out is None else out.unionByName(part)
     if out is None:
         return spark.createDataFrame([], "qid bigint, id bigint, score double, rank bigint")
-    return _ranked(out, k, F.col("id"))
+    return _ranked(out if min_score is None else out.where(F.col("score") >= min_score), k, F.col("id"))
 
 
 def _ranked(scored: DataFrame, k: int, *ties) -> DataFrame:

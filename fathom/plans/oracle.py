@@ -101,6 +101,8 @@ ORACLE: dict[str, str] = {
     "detect_terms": """with a as (select distinct product_id, lower(alias) as alias from product_aliases where alias is not null and product_id is not null),
         h as (select distinct qa_id, product_id from qa_log join a on contains(lower(question), alias))
         select q.qa_id, coalesce(string_agg(product_id, ',' order by product_id), '') as products from qa_log q left join h using (qa_id) group by 1""",
+    "ambiguous_questions": """with a as (select distinct product_id, lower(alias) as alias from product_aliases where alias is not null and product_id is not null)
+        select qa_id, count(distinct product_id) as n from qa_log join a on contains(lower(question), alias) group by 1 having count(distinct product_id) > 1""",
     "detect_route": f"select qa_id, {_route('question')} as route from qa_log",
     "route_counts": f"""with r as (select {_route("question")} as route, hit, case when latency_ms >= 0 then latency_ms end as l from qa_log)
         select route, count(*) as n, count(*) filter (not coalesce(hit, false)) as misses, round(avg(l), 4) as latency, max(l)::bigint as slowest from r group by 1""",

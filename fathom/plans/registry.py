@@ -104,6 +104,11 @@ def detect_terms(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("qa_id", F.array_join("detected", ",").alias("products"))
 
 
+def ambiguous_questions(spark: SparkSession, folder: str) -> DataFrame:
+    found = detect_terms(spark, folder).withColumn("n", F.size(F.split("products", ",")).cast("bigint"))
+    return found.where("n > 1").select("qa_id", "n")
+
+
 def detect_route(spark: SparkSession, folder: str) -> DataFrame:
     return _t(spark, folder, "qa_log").select("qa_id", understand.route(F.col("question"), ROUTES, DEFAULT_ROUTE).alias("route"))
 
@@ -250,7 +255,7 @@ def embed_texts(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        l2_normalize, vector_topk, keyword_score, keyword_topk, hybrid_topk, chunk_fixed, chunk_counts, chunk_packed, normalize_lines, unique_lines, section_block, detect_terms, detect_route, route_counts,
+        l2_normalize, vector_topk, keyword_score, keyword_topk, hybrid_topk, chunk_fixed, chunk_counts, chunk_packed, normalize_lines, unique_lines, section_block, detect_terms, ambiguous_questions, detect_route, route_counts,
         split_questions, rewrite_expand, media_route, state_fill, step_lines, step_answer, bullets, unified_chunks, latest_chunks, evidence, answer_format, recent_qa, recent_errors, error_stages, miss_log,
         resent_rows, late_rows, shared_aliases, catalog, regression_pass, regression_answers, batch_answers, embed_texts,
     )

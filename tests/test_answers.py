@@ -54,6 +54,17 @@ def test_batch_answers(spark):
     assert rows[2] == "" and "暂无" in rows[3]
 
 
+def test_awkward_tables(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "x" * 100_000), (3, "x" * 100_000)], "id bigint, t string").selectExpr("*", "t as line", "id as pos", "t as state")
+    lines = extract.numbered_lines(df, "id", "t")
+    assert lines.count() == 2 and extract.carried(lines, "id", F.lit(None).cast("string")).count() == 2
+    none = df.where("false")
+    words = spark.createDataFrame([], "k string, t string, o int")
+    assert understand.detect(none, "t", words, key="k", term="t", order=F.col("o")).isEmpty()
+    assert understand.detect(df, "t", words, key="k", term="t", order=F.col("o")).count() == 4
+    assert extract.step_lines(none, "id", "t", notes=["n"]).isEmpty()
+
+
 def test_regression(spark):
     cases = spark.createDataFrame([(1, ["a", "b"]), (2, ["z"]), (3, None)], "id bigint, expect_any array<string>")
     done = answer.regression(cases, spark.createDataFrame([(1, "xb"), (2, "y")], "id bigint, answer string"), "id")

@@ -20,6 +20,12 @@ def test_vector_topk_is_exact(spark):
     assert {h["qid"] for h in hits} == {i for i in unit if i % 20 == 0}
 
 
+def test_least_score(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [-1.0, 0.0])], "id bigint, v array<double>")
+    hits = search.vector_topk(df, df, qid="id", qvec="v", key="id", vec="v", min_score=0.5).collect()
+    assert {(h["qid"], h["id"]) for h in hits} == {(1, 1), (2, 2), (3, 3)}
+
+
 def test_vector_topk_on_nothing(spark):
     none = spark.createDataFrame([], "id bigint, v array<double>")
     assert search.vector_topk(none, none, qid="id", qvec="v", key="id", vec="v").collect() == []
