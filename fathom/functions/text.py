@@ -96,6 +96,16 @@ def section(text: Column, titles: list[str], stops: list[str]) -> Column:
     return let(F.coalesce(normalize_newlines(text), F.lit("")), begin)
 
 
+def head(x: Column, n: int) -> Column:
+    """The first n characters."""
+    return F.left(x, F.lit(n))
+
+
+def tail(x: Column, n: int) -> Column:
+    """The last n characters."""
+    return F.right(x, F.lit(n))
+
+
 def ascii_digits(x: Column) -> Column:
     """Full-width digits as plain ones."""
     return F.translate(x, "０１２３４５６７８９", "0123456789")

@@ -76,6 +76,21 @@ def answers(
     return asked.join(whole, key, "left").select(key, F.coalesce("_all", F.lit("")).alias("answer"))
 
 
+def respond(questions: DataFrame, said: DataFrame, media: DataFrame, *, key: str, question: str) -> DataFrame:
+    """(key, ok, answer, media): answers with their media items (title, media_type, url) in order.
+
+    ``ok`` tells whether there is an answer; a question without one gets an empty text, one
+    without media an empty array.
+    """
+    hits = understand.media_for(questions, question, key, media)
+    item = F.struct("media_order", "title", "media_type", "url")
+    lists = hits.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(item)), lambda m: F.struct(m["title"].alias("title"), m["media_type"].alias("media_type"), m["url"].alias("url"))).alias("media"))
+    text = F.coalesce(F.col("answer"), F.lit(""))
+    rows = questions.select(key).join(said.select(key, "answer"), key, "left").join(lists, key, "left")
+    none = F.array().cast("array<struct<title:string,media_type:string,url:string>>")
+    return rows.select(key, (text != "").alias("ok"), text.alias("answer"), F.coalesce("media", none).alias("media"))
+
+
 def regression(cases: DataFrame, answers: DataFrame, key: str) -> DataFrame:
     """``cases`` with passed: the answer holds one of expect_any; no answer or no expectation does not pass."""
     held = F.exists("expect_any", lambda w: F.contains(F.coalesce("answer", F.lit("")), w))

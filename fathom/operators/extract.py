@@ -45,6 +45,11 @@ def step_answer(rows: DataFrame, key: str, *, brief: bool, steps: int = 5) -> Da
     return lines.select(key, "bucket", F.slice(X.unique(F.transform("l", lambda x: x["line"])), F.lit(1), most).alias("lines"))
 
 
+def section_or(main: Column, other: Column, titles: list[str], stops: list[str]) -> Column:
+    """The section of the main text, or where it has none the one of the other text, up to its end."""
+    return F.coalesce(X.empty_as_null(X.section(main, titles, stops)), X.section(other, titles, []))
+
+
 def bullets(section: Column, *, keep: list[str], short: int | None = None, drop: list[str] = (), most: int = 12) -> Column:
     """Distinct lines of a section, without question-and-answer lines and leading dashes: headings ``n)``,
     lines with a word of ``keep``, or any of up to ``short`` characters; none with a word of ``drop``."""

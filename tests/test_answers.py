@@ -54,6 +54,19 @@ def test_batch_answers(spark):
     assert rows[2] == "" and "暂无" in rows[3]
 
 
+def test_section_of_the_other_text(spark):
+    df = spark.createDataFrame([("T a S b", "T x S y"), ("none", "T x S y"), (None, None)], "m string, o string")
+    assert [r[0] for r in df.select(extract.section_or(F.col("m"), F.col("o"), ["T"], ["S"])).collect()] == ["T a", "T x S y", ""]
+
+
+def test_respond(spark):
+    media = spark.createDataFrame([(0, "A", "image", None, ["x"])], "ord bigint, title string, media_type string, url string, keywords array<string>")
+    asked = spark.createDataFrame([(1, "x"), (2, "y"), (3, None)], "id bigint, q string")
+    said = spark.createDataFrame([(1, "a"), (2, None)], "id bigint, answer string")
+    got = {r["id"]: (r["ok"], r["answer"], [tuple(m) for m in r["media"]]) for r in answer.respond(asked, said, media, key="id", question="q").collect()}
+    assert got == {1: (True, "a", [("A", "image", "")]), 2: (False, "", []), 3: (False, "", [])}
+
+
 def test_awkward_tables(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "x" * 100_000), (3, "x" * 100_000)], "id bigint, t string").selectExpr("*", "t as line", "id as pos", "t as state")
     lines = extract.numbered_lines(df, "id", "t")
