@@ -170,14 +170,14 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (x / np.maximum(np.linalg.norm(x, axis=0), 1e-9)).astype(np.float32)
 
 
-def _verified(doc: int, text: str, place: int, own: set[int], runs: dict[str, set[int]], sizes: list[int]) -> set[tuple[int, int]]:
+def _verified(doc: int, text: str, place: int, own: set[int], runs: dict[str, int | set[int]], sizes: list[int]) -> set[tuple[int, int]]:
     """Exact check of a candidate: the cases of its passages that share a long enough run around it."""
     found = set()
     for k in sizes:
         a, b = max(0, place - k), min(len(text), place + WINDOW + k)
         for p in range(a, b - k + 1):
-            if (known := runs.get(text[p : p + k])) is not None and (known := known & own):
-                found |= {(doc, c) for c in known}
+            if (known := runs.get(text[p : p + k])) is not None:
+                found |= {(doc, c) for c in (known & own if isinstance(known, set) else {known} & own)}
     return found
 
 
@@ -187,11 +187,12 @@ def _search(block: Block, basis: np.ndarray, least_cosine: float):
         at, n = block.features([w for _, w in block.windows])
         edges = np.searchsorted(at, np.cumsum([0, *(len(w) for _, w in block.windows)]))
         queries = _unit(_project(*block.vectors(n, edges[:-1], edges[1:]), basis, len(case))).T
-        runs: dict[str, set[int]] = {}
+        runs: dict[str, int | set[int]] = {}  # most runs have one case
         sizes = sorted({k for _, k, _ in block.cases})
         for i, k, s in block.cases:
             for p in range(len(s) - k + 1):
-                runs.setdefault(s[p : p + k], set()).add(i)
+                if (known := runs.setdefault(s[p : p + k], i)) != i:
+                    runs[s[p : p + k]] = ({known} if isinstance(known, int) else known) | {i}
         for rows in batches:
             leaks = set()
             for ids, texts in _groups(rows):

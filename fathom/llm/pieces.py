@@ -37,8 +37,9 @@ _HEAD = re.compile(r"[ \t　]*(?:#{1,6}\s|【|第[一二三四五六七八九十
 PIECES = "id bigint, piece int, begin bigint, end bigint, tokens int, overlap int, text string"
 
 
-def boundaries(text: str, lo: int, hi: int, step: int, folder: str, file: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places in (lo, hi], their strengths and the tokens of text[lo:place]; never further apart than about ``step`` tokens."""
+def boundaries(text: str, lo: int, hi: int, step: int, folder: str, file: str, ids: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in (lo, hi], their strengths and the tokens of text[lo:place]; never further apart than about ``step`` tokens.
+    ``ids``: the tokens of text[lo:hi], where they are known."""
     place, level = [], []
     for m in _EDGE.finditer(text, lo):
         p = m.end()
@@ -58,7 +59,7 @@ def boundaries(text: str, lo: int, hi: int, step: int, folder: str, file: str) -
     codes = np.frombuffer(own.encode("utf-32-le", "surrogatepass"), "<u4")
     width = np.concatenate([[0], np.cumsum(1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF))])
     encoder, size = tokens.encoding(folder, file)
-    ends = np.cumsum(size[encoder.encode_ordinary(own)])
+    ends = np.cumsum(size[encoder.encode_ordinary(own) if ids is None else ids])
     place, level = np.array(place, np.int64), np.array(level, np.int8)
     count = np.searchsorted(ends, width[place - lo], "left") + 1
     gaps = np.flatnonzero(np.diff(count, prepend=0) > step)
@@ -109,18 +110,18 @@ def _small(limit: int, overlap: int, folder: str, file: str):
         for rows in batches:
             out = []
             for i, text in zip(rows["id"], rows["text"]):
-                if len(text.encode("utf-8", "replace")) <= limit or tokens.count(text, folder, file) <= limit:
+                if len(text.encode("utf-8", "replace")) <= limit or len(ids := encoder.encode_ordinary(text)) <= limit:
                     continue
-                place, level, count = boundaries(text, 0, len(text), overlap // 2, folder, file)
+                place, level, count = boundaries(text, 0, len(text), overlap // 2, folder, file, ids)
                 place, level, count = np.insert(place, 0, 0), np.insert(level, 0, 0), np.insert(count, 0, 0)
                 for margin in (3, 8, 24, 64):  # a piece on its own may take a token more than within the text
-                    parts = [(int(place[a]), int(place[b])) for a, b in cuts(level, count, limit, overlap, margin)]
-                    sizes = [len(encoder.encode_ordinary(text[a:b])) for a, b in parts]
+                    plan = cuts(level, count, limit, overlap, margin)
+                    sizes = [len(encoder.encode_ordinary(text[place[a] : place[b]])) for a, b in plan]
                     if max(sizes) <= limit:
                         break
                 done = 0
-                for n, ((a, b), size) in enumerate(zip(parts, sizes)):
-                    out.append((i, n, a, b, size, tokens.count(text[a:done], folder, file) if done > a else 0, text[a:b]))
+                for n, ((a, b), size) in enumerate(zip(plan, sizes)):
+                    out.append((i, n, int(place[a]), int(place[b]), size, max(0, int(count[done] - count[a])), text[place[a] : place[b]]))
                     done = b
             yield pd.DataFrame(out, columns=["id", "piece", "begin", "end", "tokens", "overlap", "text"])
 
