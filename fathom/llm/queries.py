@@ -22,8 +22,12 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
-    links, members = covering.near_duplicates(_table(spark, folder, "docs"), "ord", "text")
-    return covering.classes(links, members).withColumnRenamed("id", "ord")
+    """Every row with its class and the number of links of its text; a text too short for a run is a class of its own."""
+    docs = _table(spark, folder, "docs")
+    links, members = covering.near_duplicates(docs, "ord", "text", least=5)
+    found = covering.classes(links, members).withColumnRenamed("id", "ord")
+    every = docs.select(F.col("ord").cast("bigint").alias("ord")).join(found, "ord", "left")
+    return every.select("ord", F.coalesce("class_id", "ord").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:

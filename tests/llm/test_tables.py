@@ -194,6 +194,12 @@ def test_queries_on_the_smallest_tables(spark, data):
         assert all(t == ("bigint" if c in ("ord_a", "ord_b", "row_id", "qa_id", "doc_id", "case_id") else "string") for c, t in df.dtypes)
 
 
+def test_p1_groups_has_every_row(spark, data):
+    got = queries.p1_groups(spark, data).collect()
+    docs = {r["ord"] for r in spark.read.parquet(f"{data}/docs.parquet").select("ord").collect()}
+    assert sorted(r["ord"] for r in got) == sorted(docs) and all(r["class_id"] <= r["ord"] for r in got)
+
+
 def test_p1_against_brute_force(spark, data):
     from fathom.llm import garble
 
