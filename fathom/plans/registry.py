@@ -154,17 +154,21 @@ def bullets(spark: SparkSession, folder: str) -> DataFrame:
     return _t(spark, folder, "documents").select("doc_id", F.array_join(lines, "\n").alias("lines")).where("lines <> ''")
 
 
-def unified_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    d = _t(spark, folder, "docs").select("ord", "id", "text", "meta.*")
+def _unified(spark: SparkSession, folder: str) -> DataFrame:
+    """Records of both builders under one key, with the number of the chunk from 1 and the base name of its file."""
+    d = _t(spark, folder, "docs").select("ord", "id", "text", "meta.*", "built_at")
     name = F.element_at(F.split("source_file", "/"), -1)
     made = F.concat(F.coalesce("product_id", F.lit("unknown")), F.lit("/"), F.coalesce(name, F.lit("unknown")), F.lit("::chunk_"), F.coalesce((F.col("chunk_id") - 1).cast("string"), F.lit("?")))
     number = F.coalesce("chunk_id", F.nullif(F.regexp_extract("id", r"::chunk_(\d+)$", 1), F.lit("")).cast("int") + 1).cast("bigint")
-    return d.select("ord", F.coalesce("id", made).alias("chunk_key"), number.alias("chunk_id"), name.alias("source_file"), F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n"))
+    return d.select("ord", "built_at", F.coalesce("id", made).alias("chunk_key"), number.alias("chunk_id"), name.alias("source_file"), F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n"))
+
+
+def unified_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return _unified(spark, folder).drop("built_at")
 
 
 def latest_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    d = unified_chunks(spark, folder).join(_t(spark, folder, "docs").select("ord", "built_at"), "ord")
-    return d.groupBy("chunk_key").agg(F.max_by("ord", F.struct("built_at", "ord")).alias("ord"), F.count("*").alias("versions"))
+    return _unified(spark, folder).groupBy("chunk_key").agg(F.max_by("ord", F.struct("built_at", "ord")).alias("ord"), F.count("*").alias("versions"))
 
 
 def evidence(spark: SparkSession, folder: str) -> DataFrame:
