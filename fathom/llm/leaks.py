@@ -10,8 +10,8 @@ is compared with every passage of the block by cosine.  Candidates are then chec
 the text: ``shared run`` (longest common run of letters and digits, exact) for verbatim
 passages, or longest common subsequence and answers for paraphrases.
 
-A passage needs as many reference runs as the shortest reportable run has; fewer can't
-hold a leak, so they are left out before the product without loss.
+A passage needs as many reference runs, and in one series, as the shortest reportable run
+has; the others can't hold a leak and are left out before the product without loss.
 
 Null or empty texts leak nothing; a null or empty reference is never found; repeated
 documents count each; rows without a key are left out.
@@ -198,14 +198,18 @@ def _search(block: Block, basis: np.ndarray, least_cosine: float):
             for ids, texts in _groups(rows):
                 owner, place, begin, end, n, at = _passages(block, texts)
                 longest = _longest(at, begin, end)
+                able = longest >= block.least  # the others can't hold a leak
+                owner, place, begin, end, longest = owner[able], place[able], begin[able], end[able], longest[able]
+                if not len(begin):
+                    continue
                 x = _unit(_project(*block.vectors(n, begin, end), basis, len(begin))).T
                 for first in range(0, len(x), 2048):
                     hit, window = np.nonzero(x[first : first + 2048] @ queries.T >= least_cosine)
                     edge = np.flatnonzero(np.diff(hit, prepend=-1, append=-1))
                     for e, f in zip(edge[:-1], edge[1:]):
                         i = first + hit[e]
-                        if longest[i] >= block.least:
-                            leaks |= _verified(ids[owner[i]], texts[owner[i]], int(place[i]), set(case[window[e:f]].tolist()), runs, sizes)
+                        fit = [k for k in sizes if longest[i] > k - GRAM]
+                        leaks |= _verified(ids[owner[i]], texts[owner[i]], int(place[i]), set(case[window[e:f]].tolist()), runs, fit)
             yield pd.DataFrame(sorted(leaks), columns=["id", "case_id"])
 
     return run
