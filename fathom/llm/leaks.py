@@ -215,7 +215,7 @@ def _search(block: Block, basis: np.ndarray, least_cosine: float):
     return run
 
 
-def leaked(documents: DataFrame, key: str, text: str, cases: DataFrame, *, short: int = 24, long: int = 60, least_cosine: float = 0.5, block_size: int = 2000) -> DataFrame:
+def leaked(documents: DataFrame, key: str, text: str, cases: DataFrame, *, short: int = 24, long: int = 60, least_cosine: float = 0.3, block_size: int = 2000) -> DataFrame:
     """(id, case_id): documents whose text shares a run of letters and digits of ``short`` (zh) or ``long`` (else) with a reference.
 
     ``cases`` has case_id, lang, reference; it is the query set and goes through in blocks of about ``block_size``.
