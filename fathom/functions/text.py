@@ -96,6 +96,23 @@ def section(text: Column, titles: list[str], stops: list[str]) -> Column:
     return let(F.coalesce(normalize_newlines(text), F.lit("")), begin)
 
 
+def until(text: Column, stops: list[str]) -> Column:
+    """(text, closed): the text up to the first of the stops, and whether there is one."""
+    ends = F.array_min(F.filter(F.array(*[F.locate(x, text) for x in stops] or [F.lit(0)]), lambda p: p > 0))
+    return let(ends, lambda end: F.struct(F.when(end.isNull(), text).otherwise(F.substring(text, F.lit(1), end - 1)).alias("text"), end.isNotNull().alias("closed")))
+
+
+def closed(text: Column, titles: list[str], stops: list[str]) -> Column:
+    """Whether a stop ends the ``section`` within the text; null where no title occurs."""
+
+    def begin(body: Column) -> Column:
+        start = F.array_min(F.filter(F.array(*[F.locate(t, body) for t in titles]), lambda p: p > 0))
+        rest = lambda s: let(F.substring(body, s, F.length(body)), lambda r: F.exists(F.array(*[F.locate(x, r) for x in stops] or [F.lit(0)]), lambda p: p > 1))
+        return let(start, lambda s: F.when(s.isNotNull(), rest(s)))
+
+    return let(F.coalesce(normalize_newlines(text), F.lit("")), begin)
+
+
 def head(x: Column, n: int) -> Column:
     """The first n characters."""
     return F.left(x, F.lit(n))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.functions import text as X
@@ -31,6 +31,41 @@ def formatted(title: Column, body: Column, evidence: Column, note: str, risk_not
     return F.array_join(F.concat(*parts), "\n")
 
 
+def section_lines(texts: DataFrame, sections: dict[str, tuple[list[str], list[str]]], *, keep: list[str], most: int) -> DataFrame:
+    """(product_id, _route, _lines): the bullets of each route's section in the files of each product.
+
+    A row of ``texts`` (product_id, text and, where a file has several rows, chunk_id and source_type) is one
+    chunk; the chunks of a product and type in their order, each ending a line, are its file.  A section
+    begins at the first title of the file ``main`` and goes on through later chunks to the first stop; where
+    ``main`` has no title, it is that of the other file, up to its end.  Only the place of a section is
+    aggregated and only its first lines are gathered, so no file is put together anywhere.
+    """
+    number = F.coalesce(F.col("chunk_id").cast("bigint"), F.lit(2**62)) if "chunk_id" in texts.columns else F.lit(0)
+    other = F.col("source_type") != "main" if "source_type" in texts.columns else F.lit(False)
+    body = F.concat(X.utrim(X.normalize_newlines(F.col("text"))), F.lit("\n"))
+    chunks = texts.where("product_id is not null and text is not null").select("product_id", other.alias("_other"), number.alias("_n"), body.alias("_text"))
+    each = lambda f: F.filter(F.array(*[F.struct(F.lit(name).alias("_route"), f(*rule).alias("_v")) for name, rule in sections.items()]), lambda x: x["_v"].isNotNull())
+    ended = each(lambda titles, stops: X.closed(F.col("_text"), titles, stops))
+    starts = chunks.select("product_id", "_other", "_n", F.explode(ended).alias("_e")).groupBy("product_id", "_e._route")
+    starts = starts.agg(F.min(F.struct("_other", "_n", (F.col("_e._v") & ~F.col("_other")).alias("_closed"))).alias("_s"))
+    within = chunks.join(starts.select("product_id", "_route", "_s"), "product_id").where("_other = _s._other and (_n = _s._n or _n > _s._n and not _s._closed)")
+    none = F.struct(F.lit("").alias("text"), F.lit(False).alias("closed"))
+    piece = none
+    for name, (titles, stops) in sections.items():
+        first = lambda ends: F.struct(X.section(F.col("_text"), titles, ends).alias("text"), F.lit(False).alias("closed"))  # noqa: B023, E731
+        later = F.when(F.col("_other"), F.struct(F.col("_text").alias("text"), F.lit(False).alias("closed"))).otherwise(X.until(F.col("_text"), stops))
+        own = F.when(F.col("_n") > F.col("_s._n"), later).when(F.col("_other"), first([])).otherwise(first(stops))
+        piece = F.when(F.col("_route") == name, own).otherwise(piece)
+    pieces = within.select("product_id", "_route", "_n", piece.alias("_p"))
+    ends = pieces.where("_p.closed").groupBy("product_id", "_route").agg(F.min("_n").alias("_end"))
+    inside = pieces.join(ends, ["product_id", "_route"], "left").where("_end is null or _n <= _end")
+    lines = inside.select("product_id", "_route", "_n", F.posexplode(extract.bullets(F.col("_p.text"), keep=keep, short=60, most=most)).alias("_i", "_line"))
+    lines = lines.groupBy("product_id", "_route", "_line").agg(F.min(F.struct("_n", "_i")).alias("_at"))
+    rank = F.row_number().over(Window.partitionBy("product_id", "_route").orderBy("_at", "_line"))
+    best = lines.withColumn("_rank", rank).where(F.col("_rank") <= most)
+    return best.groupBy("product_id", "_route").agg(F.transform(F.array_sort(F.collect_list(F.struct("_rank", "_line"))), lambda x: x["_line"]).alias("_lines"))
+
+
 def answers(
     questions: DataFrame,
     texts: DataFrame,
@@ -49,28 +84,28 @@ def answers(
     most_lines: int = 12,
     default_product: str | None = None,
     rewrite: Callable[[Column], Column] | None = None,
+    evidence: Column | None = None,
 ) -> DataFrame:
     """(key, answer): one plan for a batch of questions.
 
     Questions are split (up to ``most_parts``), each part gets its first product of
     ``vocabulary`` (product_id, alias, alias_ord) and its route, the section of that route is
-    cut from the product's text in ``texts`` (product_id, text: one row per product), and
+    taken from the product's ``texts`` (see ``section_lines``), and
     equal answers of a question are given once, in order.  Parts without a product take
     ``default_product``; those without a section get a fallback line, which ``rewrite`` does not see.  Blank questions get an empty answer.
+    ``evidence``: the lines of evidence of a question, from the hits that ``questions`` holds; all its parts show them.
     """
-    asked = questions.select(key, F.col(question).alias("_q"))
-    parts = asked.select(key, F.posexplode(F.slice(X.split_questions(F.col("_q"), separators), 1, most_parts)).alias("_n", "_part"))
+    none = F.array().cast("array<string>")
+    asked = questions.select(key, F.col(question).alias("_q"), (none if evidence is None else evidence).alias("_evidence"))
+    parts = asked.select(key, "_evidence", F.posexplode(F.slice(X.split_questions(F.col("_q"), separators), 1, most_parts)).alias("_n", "_part"))
     found = understand.detect(parts, "_part", vocabulary, key="product_id", term="alias", order=F.col("alias_ord"), out="_products")
-    routed = found.select(key, "_n", "_part", F.coalesce(F.try_element_at("_products", F.lit(1)), F.lit(default_product)).alias("product_id"), understand.route(F.col("_part"), routes, default_route).alias("_route"))
-    cut = F.lit("")
-    for name, (begin, stop) in sections.items():
-        cut = F.when(F.col("_route") == name, X.section(F.col("_text"), begin, stop)).otherwise(cut)
-    joined = routed.join(texts.select("product_id", F.col("text").alias("_text")), "product_id", "left").withColumn("_lines", extract.bullets(cut, keep=keep, short=60, most=most_lines))
+    routed = found.select(key, "_n", "_evidence", F.coalesce(F.try_element_at("_products", F.lit(1)), F.lit(default_product)).alias("product_id"), understand.route(F.col("_part"), routes, default_route).alias("_route"))
+    joined = routed.join(section_lines(texts, sections, keep=keep, most=most_lines), ["product_id", "_route"], "left")
     title = F.lit(titles.get(default_route, "回答"))
     for name, text in titles.items():
         title = F.when(F.col("_route") == name, text).otherwise(title)
-    body = formatted(title, F.col("_lines"), F.array().cast("array<string>"), note)
-    said = F.when(F.size("_lines") > 0, rewrite(body) if rewrite else body).otherwise(formatted(title, F.array(F.lit("暂无对应资料。")), F.array().cast("array<string>"), note))
+    body = formatted(title, F.col("_lines"), F.col("_evidence"), note)
+    said = F.when(F.size("_lines") > 0, rewrite(body) if rewrite else body).otherwise(formatted(title, F.array(F.lit("暂无对应资料。")), F.col("_evidence"), note))
     each = joined.select(key, "_n", said.alias("_a")).groupBy(key, "_a").agg(F.min("_n").alias("_n"))
     whole = each.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_a"))), lambda x: x["_a"]), "\n\n").alias("_all"))
     return asked.join(whole, key, "left").select(key, F.coalesce("_all", F.lit("")).alias("answer"))

@@ -154,13 +154,18 @@ def bullets(spark: SparkSession, folder: str) -> DataFrame:
     return _t(spark, folder, "documents").select("doc_id", F.array_join(lines, "\n").alias("lines")).where("lines <> ''")
 
 
-def _unified(spark: SparkSession, folder: str) -> DataFrame:
+def _keyed(docs: DataFrame) -> DataFrame:
     """Records of both builders under one key, with the number of the chunk from 1 and the base name of its file."""
-    d = _t(spark, folder, "docs").select("ord", "id", "text", "meta.*", "built_at")
+    d = docs.select("ord", "id", "text", "meta.*", "built_at")
     name = F.element_at(F.split("source_file", "/"), -1)
     made = F.concat(F.coalesce("product_id", F.lit("unknown")), F.lit("/"), F.coalesce(name, F.lit("unknown")), F.lit("::chunk_"), F.coalesce((F.col("chunk_id") - 1).cast("string"), F.lit("?")))
     number = F.coalesce("chunk_id", F.nullif(F.regexp_extract("id", r"::chunk_(\d+)$", 1), F.lit("")).cast("int") + 1).cast("bigint")
-    return d.select("ord", "built_at", F.coalesce("id", made).alias("chunk_key"), number.alias("chunk_id"), name.alias("source_file"), F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n"))
+    return d.select("ord", "built_at", "product_id", "source_type", F.coalesce("id", made).alias("chunk_key"), number.alias("chunk_id"), name.alias("source_file"), "text")
+
+
+def _unified(spark: SparkSession, folder: str) -> DataFrame:
+    n = F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n")
+    return _keyed(_t(spark, folder, "docs")).select("ord", "built_at", "chunk_key", "chunk_id", "source_file", n)
 
 
 def unified_chunks(spark: SparkSession, folder: str) -> DataFrame:
@@ -240,13 +245,15 @@ def regression_answers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def batch_answers(spark: SparkSession, folder: str) -> DataFrame:
-    """Every question of the log through the whole answer plan, on the newest main text of its product."""
-    d = _t(spark, folder, "docs").where("meta.source_type = 'main' and meta.product_id is not null and text is not null")
-    texts = d.groupBy(F.col("meta.product_id").alias("product_id")).agg(F.max_by("text", F.struct("built_at", "ord")).alias("text"))
+    """Every question of the log through the whole answer plan, on the newest main and faq chunks of its product; evidence is what the log says was hit."""
+    d = _t(spark, folder, "docs").where("meta.source_type in ('main', 'faq') and meta.product_id is not null and trim(text) <> ''")
+    newest = F.struct("built_at", "ord")
+    texts = _keyed(d).groupBy("product_id", "source_type", "chunk_key").agg(F.max_by("text", newest).alias("text"), F.max_by("chunk_id", newest).alias("chunk_id"))
+    hits = F.transform("matched_sources", lambda m: answer.evidence_line(m["source_file"], m["chunk_id"], m["source_type"]))
     order = _t(spark, folder, "product_aliases").where("alias is not null").groupBy("product_id", "alias").agg(F.min("alias_ord").alias("alias_ord"))
     sections = {name: (["：", ":", "，", ","], ["\n"]) for name, _ in ROUTES} | {DEFAULT_ROUTE: (["。", "."], ["\n\n"])}
     return answer.answers(
-        _t(spark, folder, "qa_log"), texts, order, key="qa_id", question="question", separators=SEPARATORS, routes=ROUTES, sections=sections, titles=CASE_ROUTES, note=NOTE, default_route=DEFAULT_ROUTE, keep=WORDS
+        _t(spark, folder, "qa_log"), texts, order, key="qa_id", question="question", separators=SEPARATORS, routes=ROUTES, sections=sections, titles=CASE_ROUTES, note=NOTE, default_route=DEFAULT_ROUTE, keep=WORDS, evidence=hits
     )
 
 

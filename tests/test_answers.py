@@ -54,6 +54,23 @@ def test_batch_answers(spark):
     assert rows[2] == "" and "暂无" in rows[3]
 
 
+def test_answers_from_all_chunks(spark):
+    hit = [{"source_file": "main.txt", "chunk_id": "2", "source_type": "main"}]
+    questions = spark.createDataFrame([(1, "alpha how much", hit), (2, "beta how much", []), (3, "gamma how much", None)], "qid bigint, q string, hits array<map<string,string>>")
+    rows = [("p", "main", 1, "other"), ("p", "main", 10, "Dose drops ten"), ("p", "main", 2, "x\nDose\ndrops two"), ("p", "main", 3, "drops three\nEnd\ndrops four"), ("p", "faq", 1, "Dose drops faq"),
+            ("b", "main", 1, "nothing"), ("b", "faq", 1, "drops none"), ("b", "faq", 2, "Dose\ndrops b\nEnd"), ("b", "faq", 3, "drops c"), ("g", "main", 1, "none")]
+    texts = spark.createDataFrame(rows, "product_id string, source_type string, chunk_id bigint, text string").repartition(3)
+    words = spark.createDataFrame([("p", "alpha", 1), ("b", "beta", 2), ("g", "gamma", 3)], "product_id string, alias string, alias_ord int")
+    evidence = F.transform("hits", lambda m: answer.evidence_line(m["source_file"], m["chunk_id"], m["source_type"]))
+    got = answer.answers(
+        questions, texts, words, key="qid", question="q", separators=["；"], routes=ROUTES, sections={"dose": (["Dose"], ["End"])}, titles={"dose": "D"}, note="n", default_route="dose", keep=["drops"], evidence=evidence
+    )
+    said = {r["qid"]: r["answer"] for r in got.collect()}
+    assert said[1] == "D（资料提取）：\n结论：\n- Dose\n- drops two\n- drops three\n依据：\n- 来源文件：main.txt｜段落：2｜类型：main\n注意事项：\n- n"
+    assert said[2] == "D（资料提取）：\n结论：\n- Dose\n- drops b\n- End\n- drops c\n注意事项：\n- n"
+    assert "暂无" in said[3]
+
+
 def test_section_of_the_other_text(spark):
     df = spark.createDataFrame([("T a S b", "T x S y"), ("none", "T x S y"), (None, None)], "m string, o string")
     assert [r[0] for r in df.select(extract.section_or(F.col("m"), F.col("o"), ["T"], ["S"])).collect()] == ["T a", "T x S y", ""]
