@@ -38,7 +38,7 @@ def section_lines(texts: DataFrame, sections: dict[str, tuple[list[str], list[st
     chunk; the chunks of a product and type in their order, each ending a line, are its file.  A section
     begins at the first title of the file ``main`` and goes on through later chunks to the first stop; where
     ``main`` has no title, it is that of the other file, up to its end.  Only the place of a section is
-    aggregated and only its first lines are gathered, so no file is put together anywhere.
+    aggregated (a row per product and route, sent to the tasks like the vocabulary) and only its first lines are gathered, so no file is put together anywhere.
     """
     number = F.coalesce(F.col("chunk_id").cast("bigint"), F.lit(2**62)) if "chunk_id" in texts.columns else F.lit(0)
     other = F.col("source_type") != "main" if "source_type" in texts.columns else F.lit(False)
@@ -48,7 +48,7 @@ def section_lines(texts: DataFrame, sections: dict[str, tuple[list[str], list[st
     ended = each(lambda titles, stops: X.closed(F.col("_text"), titles, stops))
     starts = chunks.select("product_id", "_other", "_n", F.explode(ended).alias("_e")).groupBy("product_id", "_e._route")
     starts = starts.agg(F.min(F.struct("_other", "_n", (F.col("_e._v") & ~F.col("_other")).alias("_closed"))).alias("_s"))
-    within = chunks.join(starts.select("product_id", "_route", "_s"), "product_id").where("_other = _s._other and (_n = _s._n or _n > _s._n and not _s._closed)")
+    within = chunks.join(F.broadcast(starts.select("product_id", "_route", "_s")), "product_id").where("_other = _s._other and (_n = _s._n or _n > _s._n and not _s._closed)")
     none = F.struct(F.lit("").alias("text"), F.lit(False).alias("closed"))
     piece = none
     for name, (titles, stops) in sections.items():
@@ -106,8 +106,8 @@ def answers(
         title = F.when(F.col("_route") == name, text).otherwise(title)
     body = formatted(title, F.col("_lines"), F.col("_evidence"), note)
     said = F.when(F.size("_lines") > 0, rewrite(body) if rewrite else body).otherwise(formatted(title, F.array(F.lit("暂无对应资料。")), F.col("_evidence"), note))
-    each = joined.select(key, "_n", said.alias("_a")).groupBy(key, "_a").agg(F.min("_n").alias("_n"))
-    whole = each.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_a"))), lambda x: x["_a"]), "\n\n").alias("_all"))
+    each = F.array_sort(F.collect_list(F.struct("_n", "_a")))  # at most ``most_parts``
+    whole = joined.select(key, "_n", said.alias("_a")).groupBy(key).agg(F.array_join(F.array_distinct(F.transform(each, lambda x: x["_a"])), "\n\n").alias("_all"))
     return asked.join(whole, key, "left").select(key, F.coalesce("_all", F.lit("")).alias("answer"))
 
 
