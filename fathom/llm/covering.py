@@ -145,6 +145,18 @@ def _alike(a: pd.Series, b: pd.Series, width: pd.Series, least: pd.Series) -> pd
     return pd.Series(out, dtype=bool)
 
 
+@F.pandas_udf(T.StringType())
+def _letters(text: pd.Series) -> pd.Series:
+    return text.map(letters)
+
+
+def short_classes(df: DataFrame, key: str, text: str, *, least: int) -> DataFrame:
+    """(id, class_id, links) of texts with fewer than ``least`` letters and digits but at least one: equal letters are a class, by its first id."""
+    rows = df.select(F.col(key).cast("bigint").alias("id"), _letters(F.col(text)).alias("s")).where("id is not null and s <> ''").where(F.length("s") < least)
+    firsts = rows.groupBy("s").agg(F.min("id").alias("class_id"))
+    return rows.join(firsts, "s").select("id", "class_id", F.lit(0).cast("bigint").alias("links"))
+
+
 def near_duplicates(df: DataFrame, key: str, text: str, *, similarity: float = 0.8, width: int = 5, least: int = 40, skip_garbled: bool = False) -> tuple[DataFrame, DataFrame]:
     """(links, members): links (id_a, id_b) between different texts at ``similarity`` or more, each text by its first row;
     members (id, same_as) has every row that takes part, with the first row of equal text.  ``key`` is a unique bigint."""

@@ -22,10 +22,10 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
-    """Every row with its class and the number of links of its text; a text too short for a run is a class of its own."""
+    """Every row with its class and the number of links of its text; texts too short for a run are one class where their letters are equal, those without letters stay alone."""
     docs = _table(spark, folder, "docs")
-    links, members = covering.near_duplicates(docs, "ord", "text", least=5)
-    found = covering.classes(links, members).withColumnRenamed("id", "ord")
+    links, members = covering.near_duplicates(docs, "ord", "text", similarity=0.6, least=5)
+    found = covering.classes(links, members).unionByName(covering.short_classes(docs, "ord", "text", least=5)).withColumnRenamed("id", "ord")
     every = docs.select(F.col("ord").cast("bigint").alias("ord")).join(found, "ord", "left")
     return every.select("ord", F.coalesce("class_id", "ord").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
 

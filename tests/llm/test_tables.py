@@ -200,6 +200,18 @@ def test_p1_groups_has_every_row(spark, data):
     assert sorted(r["ord"] for r in got) == sorted(docs) and all(r["class_id"] <= r["ord"] for r in got)
 
 
+def test_p1_groups_by_links_of_p1_and_short_texts(spark, tmp_path):
+    rng = random.Random(12)
+    base = rng.choices(WORDS, k=60)
+    near = [w if i % 8 else WORDS[i] for i, w in enumerate(base)]
+    alike = len(runs(" ".join(base)) & runs(" ".join(near))) / len(runs(" ".join(base)) | runs(" ".join(near)))
+    assert 0.62 < alike < 0.78
+    rows = [(5, " ".join(base)), (7, " ".join(near)), (1, "Ab"), (2, "a b!"), (3, "。"), (4, "。"), (6, None), (8, "ac")]
+    spark.createDataFrame(rows, "ord bigint, text string").write.parquet(f"{tmp_path}/docs.parquet")
+    got = {r["ord"]: (r["class_id"], r["links"]) for r in queries.p1_groups(spark, str(tmp_path)).collect()}
+    assert got == {5: (5, 1), 7: (5, 1), 1: (1, 0), 2: (1, 0), 3: (3, 0), 4: (4, 0), 6: (6, 0), 8: (8, 0)}
+
+
 def test_p1_against_brute_force(spark, data):
     from fathom.llm import garble
 
