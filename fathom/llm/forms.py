@@ -144,15 +144,16 @@ def unify(df: DataFrame, text: str, form: str = "form", flag: str = "is_disguise
     return df.withColumn(flag, is_disguised(F.col(text))).withColumn(form, consistent_text(F.col(text)))
 
 
-def look_alike_groups(df: DataFrame, key: str, text: str) -> DataFrame:
+def look_alike_groups(df: DataFrame, key: str | list[str], text: str) -> DataFrame:
     """Rows (``key``, group, group_size, n_forms): originals grouped by equal skeleton.
 
     The group id is the hash of the skeleton; sizes come from partial aggregation and a
     join on the hash of rows that are not alone, so no group is gathered in one task.
     Null texts form no group and are left out.
     """
-    rows = df.where(F.col(text).isNotNull()).select(F.col(key), F.col(text).alias("_t"))
-    rows = rows.select(key, F.sha2(skeleton_text(F.col("_t")), 256).substr(1, 32).alias("skeleton_hash"), F.xxhash64("_t").alias("_form"))
+    keys = [key] if isinstance(key, str) else key
+    rows = df.where(F.col(text).isNotNull()).select(*keys, F.col(text).alias("_t"))
+    rows = rows.select(*keys, F.sha2(skeleton_text(F.col("_t")), 256).substr(1, 32).alias("skeleton_hash"), F.xxhash64("_t").alias("_form"))
     forms = rows.groupBy("skeleton_hash", "_form").agg(F.count("*").alias("_n"))
     sizes = forms.groupBy("skeleton_hash").agg(F.sum("_n").alias("group_size"), F.count("*").alias("n_forms"))
     return rows.drop("_form").join(sizes, "skeleton_hash")

@@ -69,7 +69,9 @@ def p5_forms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
-    return forms.look_alike_groups(_table(spark, folder, "qa_log"), "qa_id", "question")
+    parts = [("docs", "ord", "text"), ("qa_log", "qa_id", "question")]
+    rows = [_table(spark, folder, t).select(F.lit(t).alias("source_table"), F.col(k).cast("bigint").alias("row_id"), F.col(c).alias("text")) for t, k, c in parts]
+    return forms.look_alike_groups(rows[0].unionByName(rows[1]), ["source_table", "row_id"], "text")
 
 
 def p6_packed(spark: SparkSession, folder: str) -> DataFrame:

@@ -212,6 +212,15 @@ def test_p1_groups_by_links_of_p1_and_short_texts(spark, tmp_path):
     assert got == {5: (5, 1), 7: (5, 1), 1: (1, 0), 2: (1, 0), 3: (3, 0), 4: (4, 0), 6: (6, 0), 8: (8, 0)}
 
 
+def test_p5_groups_across_both_tables(spark, tmp_path):
+    spark.createDataFrame([(1, "Alpha"), (2, "other"), (3, None)], "ord bigint, text string").write.parquet(f"{tmp_path}/docs.parquet")
+    spark.createDataFrame([(1, "Αlphа"), (2, None)], "qa_id bigint, question string").write.parquet(f"{tmp_path}/qa_log.parquet")
+    got = queries.p5_groups(spark, str(tmp_path)).collect()
+    sizes = {(r["source_table"], r["row_id"]): (r["group_size"], r["n_forms"]) for r in got}
+    assert sizes == {("docs", 1): (2, 2), ("qa_log", 1): (2, 2), ("docs", 2): (1, 1)}
+    assert len({r["skeleton_hash"] for r in got}) == 2
+
+
 def test_p1_against_brute_force(spark, data):
     from fathom.llm import garble
 
