@@ -170,3 +170,16 @@ def test_frames_are_learned_from_the_corpus(spark):
 def test_garbled_column(spark):
     df = spark.createDataFrame([(ZH.encode().decode("latin-1"),), (ZH,), (None,)], "t string")
     assert [r[0] for r in df.select(garble.garbled(F.col("t"))).collect()] == [True, False, False]
+
+
+def test_rare_family_names_and_small_tables(spark):
+    from fathom.llm import privacy
+
+    for text in ("我叫曾小明", "谭嘉琪预约的", "联系人肖燕", "请找闫伟"):
+        assert [k for _, _, k in privacy.Knowledge(set(), set()).of(text)] == ["person_name"], text
+    names = ["曾小明", "侯文", "龙嘉琪", "黎平", "谭芳", "武小雨", "白雪", "温婷", "庄严明", "翟丽", "段伟", "肖燕"]
+    rows = [(f"前台留给{n}签收。",) for n in names] + [("请在温水中化开。",)] * 30
+    few = privacy.learn(spark.createDataFrame(rows, "t string"), "t")
+    many = privacy.learn(spark.createDataFrame(rows + [("按白天的用量减半。",)] * 500, "t string"), "t")
+    assert "前台留给□签收" in few.frames and few.frames == many.frames
+    assert not any("化开" in f for f in few.frames) and not few.of("请在温水中化开。")
