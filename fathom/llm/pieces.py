@@ -1,17 +1,17 @@
 """Splitting oversized texts at natural boundaries with overlap (problem 8), by ranges.
 
-A text within ``range_chars`` is cut where it is read.  A longer one, or a file of any
-size, is taken in ranges with a halo of context: each range yields its table of
+A text, or a file of any size, is taken in ranges with a halo of context: each range yields its table of
 boundaries (place, strength, tokens up to there) on its own, prefix sums over the ranges'
 lengths stitch the tables, pieces are planned over blocks of tables without their text,
-and emitted by offset from the ranges that hold them.  No task holds a whole file, and no
+and emitted by offset from the ranges that hold them.  The tokens of every piece are counted then;
+texts with a piece over the limit are planned again with the next margin.  No task holds a whole file, and no
 block more than ``BLOCK`` tables.
 
 Pieces end at the strongest boundary in their last part (heading, paragraph, line,
 sentence, clause); only stretches without any are cut between characters.  Each piece
 but the first repeats about ``overlap`` tokens of the one before; without these the
 pieces join to the text exactly.  Null and short texts, and rows without a
-key, yield no pieces; a repeated row yields its pieces again if it is read in one go, once if in ranges.
+key, yield no pieces; a repeated row yields its pieces again.
 """
 
 from __future__ import annotations
@@ -28,7 +28,9 @@ from pyspark.sql import types as T
 from . import tokens
 from .store import written
 
-LIMIT, OVERLAP, RANGE, BLOCK, HALO = 512, 64, 65_536, 64, 16
+LIMIT, OVERLAP, RANGE, BLOCK, HALO = 512, 64, 4_096, 64, 64
+#: Tokens kept free, as a piece on its own may take more of them than within its ranges; tried in turn.
+MARGINS = (12, 24, 64, 160, 320)
 HEADING, PARAGRAPH, LINE, SENTENCE, CLAUSE, NONE = 5, 4, 3, 2, 1, 0
 _EDGE = re.compile(
     r"(?P<p>\n[ \t\r　]*\n\s*)|(?P<l>\r?\n)|(?P<s>[。！？｡]+[”\"'」』）)\]】»’]*|[.!?…]+[”\"'」』）)\]】»’]*(?=\s|$))|(?P<c>[，、；：]|[,;:](?=\s))"
@@ -41,8 +43,10 @@ def boundaries(text: str, lo: int, hi: int, step: int, folder: str, file: str, i
     """Places in (lo, hi], their strengths and the tokens of text[lo:place]; never further apart than about ``step`` tokens.
     ``ids``: the tokens of text[lo:hi], where they are known."""
     place, level = [], []
-    for m in _EDGE.finditer(text, lo):
+    for m in _EDGE.finditer(text):  # an edge may begin in the halo
         p = m.end()
+        if p <= lo:
+            continue
         if p > hi:
             break
         kind = m.lastgroup
@@ -104,28 +108,14 @@ def cuts(level: np.ndarray, count: np.ndarray, limit: int, overlap: int, margin:
     return out
 
 
-def _small(limit: int, overlap: int, folder: str, file: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = tokens.encoding(folder, file)[0]
-        for rows in batches:
-            out = []
-            for i, text in zip(rows["id"], rows["text"]):
-                if len(text.encode("utf-8", "replace")) <= limit or len(ids := encoder.encode_ordinary(text)) <= limit:
-                    continue
-                place, level, count = boundaries(text, 0, len(text), overlap // 2, folder, file, ids)
-                place, level, count = np.insert(place, 0, 0), np.insert(level, 0, 0), np.insert(count, 0, 0)
-                for margin in (3, 8, 24, 64):  # a piece on its own may take a token more than within the text
-                    plan = cuts(level, count, limit, overlap, margin)
-                    sizes = [len(encoder.encode_ordinary(text[place[a] : place[b]])) for a, b in plan]
-                    if max(sizes) <= limit:
-                        break
-                done = 0
-                for n, ((a, b), size) in enumerate(zip(plan, sizes)):
-                    out.append((i, n, int(place[a]), int(place[b]), size, max(0, int(count[done] - count[a])), text[place[a] : place[b]]))
-                    done = b
-            yield pd.DataFrame(out, columns=["id", "piece", "begin", "end", "tokens", "overlap", "text"])
+def _over(limit: int, folder: str, file: str):
+    """Whether a text has more than ``limit`` tokens; of long ones the begin mostly tells."""
 
-    return run
+    @F.pandas_udf(T.BooleanType())
+    def over(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: tokens.count(t[: 8 * limit], folder, file) > limit + 16 or tokens.count(t, folder, file) > limit).astype(bool)
+
+    return over
 
 
 def _tables(overlap: int, folder: str, file: str):
@@ -141,72 +131,97 @@ def _tables(overlap: int, folder: str, file: str):
     return run
 
 
-def _plan(limit: int, overlap: int, size: int):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("range")
-        block = key[1]
-        place, level, count, owner = [np.array([rows["char0"].iloc[0]])], [np.zeros(1, np.int8)], [np.array([rows["token0"].iloc[0]])], [np.array([rows["range"].iloc[0]])]
-        for r in rows.itertuples():
-            place.append(np.asarray(r.place, np.int64) + r.char0)
-            level.append(np.asarray(r.level, np.int8))
-            count.append(np.asarray(r.count, np.int64) + r.token0)
-            owner.append(np.full(len(r.place), r.range))
-        place, level, count, owner = map(np.concatenate, (place, level, count, owner))
-        start = int(np.searchsorted(owner, block * size, "left")) if block else 0
-        start = max(0, start - 1) if block else 0  # the last boundary of the block before
-        pieces = cuts(level, count, limit, overlap, 12, start, bool(block))
-        edges = [(int(n), int(c), int(c) + int(w)) for n, c, w in zip(rows["range"], rows["char0"], rows["chars"])]
-        out, done = [], int(count[start])
-        for k, (a, b) in enumerate(pieces):
+def _plan(limit: int, overlap: int, size: int, margin: int):
+    def planned(i: int, block: int, rows: pd.DataFrame) -> Iterator[tuple]:
+        char0, token0 = rows["char0"].tolist(), rows["token0"].tolist()
+        place = np.concatenate([[char0[0]], *[np.asarray(p, np.int64) + c for p, c in zip(rows["place"], char0)]])
+        level = np.concatenate([np.zeros(1, np.int8), *[np.asarray(x, np.int8) for x in rows["level"]]])
+        count = np.concatenate([[token0[0]], *[np.asarray(x, np.int64) + t for x, t in zip(rows["count"], token0)]])
+        numbers = rows["range"].to_numpy()
+        owner = np.concatenate([numbers[:1], np.repeat(numbers, [len(p) for p in rows["place"]])])
+        start = max(0, int(np.searchsorted(owner, block * size, "left")) - 1) if block else 0  # the last boundary of the block before
+        edges = [(int(n), c, c + int(w)) for n, c, w in zip(numbers, char0, rows["chars"])]
+        done = int(count[start])
+        for k, (a, b) in enumerate(cuts(level, count, limit, overlap, margin, start, bool(block))):
             p, q = int(place[a]), int(place[b])
             parts = [{"range": n, "from": max(p, c) - c, "to": min(q, e) - c} for n, c, e in edges if c < q and e > p]
-            out.append((key[0], block, k, p, q, max(0, done - int(count[a])) if k or block else 0, parts))
+            yield i, block, k, p, q, max(0, done - int(count[a])) if k or block else 0, parts
             done = int(count[b])
-        return pd.DataFrame(out, columns=["id", "block", "k", "begin", "end", "overlap", "parts"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Blocks lie one after the other, their ranges in order; one may go on in the next batch."""
+        held = None
+
+        def out(rows: pd.DataFrame) -> pd.DataFrame:
+            ids, blocks = rows["id"].to_numpy(), rows["block"].to_numpy()
+            at = [0, *(np.flatnonzero((ids[1:] != ids[:-1]) | (blocks[1:] != blocks[:-1])) + 1).tolist(), len(rows)]
+            found = [x for a, b in zip(at, at[1:]) for x in planned(int(ids[a]), int(blocks[a]), rows.iloc[a:b])]
+            return pd.DataFrame(found, columns=["id", "block", "k", "begin", "end", "overlap", "parts"])
+
+        for rows in batches:
+            if not len(rows):
+                continue
+            rows = rows if held is None else pd.concat([held, rows], ignore_index=True)
+            last = (rows["id"] == rows["id"].iloc[-1]) & (rows["block"] == rows["block"].iloc[-1])
+            held = rows[last]
+            if not last.all():
+                yield out(rows[~last])
+        if held is not None:
+            yield out(held)
 
     return run
 
 
-def _long(ranges: DataFrame, limit: int, overlap: int, folder: str, file: str) -> DataFrame:
-    """Pieces of texts given as ranges (id, range, before, own, after)."""
-    tables = written(ranges.mapInPandas(_tables(overlap, folder, file), "id bigint, range int, chars int, total int, place array<int>, level array<int>, count array<int>"), "boundaries")
+def _long(ranges: DataFrame, limit: int, overlap: int, folder: str, file: str, sure: bool = False) -> DataFrame:
+    """Pieces of texts given as ranges (row, id, range, before, own, after), row telling texts apart; ``sure``: those of several ranges are over the limit."""
+    tables = written(ranges.withColumn("id", F.col("row")).mapInPandas(_tables(overlap, folder, file), "id bigint, range int, chars int, total int, place array<int>, level array<int>, count array<int>"), "boundaries")
     earlier = Window.partitionBy("id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = tables.select("id", "range", "chars", "total")
     sums = sums.select("id", "range", F.coalesce(F.sum("chars").over(earlier), F.lit(0)).alias("char0"), F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("token0"))
-    whole = sums.join(tables.groupBy("id").agg(F.sum("total").alias("all")), "id").where(F.col("all") > limit).drop("all")
+    large = (F.col("all") > limit) | (F.lit(sure) & (F.col("ranges") > 1))
+    whole = sums.join(tables.groupBy("id").agg(F.sum("total").alias("all"), F.count("*").alias("ranges")).where(large).select("id"), "id")
     stitched = tables.join(whole, ["id", "range"])
     block = F.floor(F.col("range") / BLOCK).cast("int")
-    own = stitched.withColumn("block", block)
-    halo = stitched.where(F.col("range") % BLOCK == BLOCK - 1).withColumn("block", block + 1)
-    halo = halo.join(own.select("id", "block").distinct(), ["id", "block"], "left_semi").select(own.columns)
-    planned = own.unionByName(halo).groupBy("id", "block").applyInPandas(
-        _plan(limit, overlap, BLOCK), "id bigint, block int, k int, begin bigint, end bigint, overlap int, parts array<struct<range:int,from:int,to:int>>"
-    )
-    planned = written(planned, "pieces")
-    numbers = planned.groupBy("id", "block").agg(F.count("*").alias("n"))
-    numbers = numbers.select("id", "block", F.coalesce(F.sum("n").over(Window.partitionBy("id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("n0"))
-    parts = planned.join(numbers, ["id", "block"]).select("id", (F.col("n0") + F.col("k")).cast("int").alias("piece"), "begin", "end", "overlap", F.explode("parts").alias("p"))
-    texts = parts.select("id", "piece", "begin", "end", "overlap", F.col("p.range").alias("range"), "p").join(ranges.select("id", "range", "own"), ["id", "range"])
-    texts = texts.withColumn("t", F.substring("own", F.col("p.from") + 1, F.col("p.to") - F.col("p.from")))
-    joined = texts.groupBy("id", "piece", "begin", "end", "overlap").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("range", "t"))), lambda x: x["t"]), "").alias("text"))
 
     @F.pandas_udf(T.IntegerType())
     def size(text: pd.Series) -> pd.Series:
         return text.map(lambda t: tokens.count(t, folder, file)).astype("int32")
 
-    return joined.select("id", "piece", "begin", "end", size("text").alias("tokens"), "overlap", "text")
+    out = None
+    for margin in MARGINS:
+        own = stitched.withColumn("block", block)
+        halo = stitched.where(F.col("range") % BLOCK == BLOCK - 1).withColumn("block", block + 1)
+        halo = halo.join(own.select("id", "block").distinct(), ["id", "block"], "left_semi").select(own.columns)
+        planned = own.unionByName(halo).repartition("id", "block").sortWithinPartitions("id", "block", "range").mapInPandas(
+            _plan(limit, overlap, BLOCK, margin), "id bigint, block int, k int, begin bigint, end bigint, overlap int, parts array<struct<range:int,from:int,to:int>>"
+        )
+        planned = written(planned, "plan")
+        numbers = planned.groupBy("id", "block").agg(F.count("*").alias("n"))
+        numbers = numbers.select("id", "block", F.coalesce(F.sum("n").over(Window.partitionBy("id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("n0"))
+        parts = planned.join(numbers, ["id", "block"]).select(F.col("id").alias("row"), (F.col("n0") + F.col("k")).cast("int").alias("piece"), "begin", "end", "overlap", F.explode("parts").alias("p"))
+        texts = parts.select("row", "piece", "begin", "end", "overlap", F.col("p.range").alias("range"), "p").join(ranges.select("row", "id", "range", "own"), ["row", "range"])
+        texts = texts.withColumn("t", F.substring("own", F.col("p.from") + 1, F.col("p.to") - F.col("p.from")))
+        joined = texts.groupBy("row", "id", "piece", "begin", "end", "overlap").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("range", "t"))), lambda x: x["t"]), "").alias("text"))
+        pieces = written(joined.select("row", "id", "piece", "begin", "end", size("text").alias("tokens"), "overlap", "text"), "pieces")
+        bad = pieces.where(F.col("tokens") > limit).select("row").distinct()
+        done = pieces.join(bad, "row", "left_anti").drop("row")
+        out = done if out is None else out.unionByName(done)
+        if bad.isEmpty():
+            return out
+        stitched = stitched.join(bad.select(F.col("row").alias("id")), "id", "left_semi")
+    raise ValueError("a piece stays over the limit with every margin")
 
 
 def split(df: DataFrame, key: str, text: str, *, limit: int = LIMIT, overlap: int = OVERLAP, range_chars: int = RANGE, folder: str = tokens.FOLDER, file: str = tokens.FILE) -> DataFrame:
     """(id, piece, begin, end, tokens, overlap, text) of the texts of more than ``limit`` tokens; begin and end in characters."""
     rows = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull() & F.col("id").isNotNull())
-    short = rows.where(F.length("text") <= range_chars).mapInPandas(_small(limit, overlap, folder, file), PIECES)
+    rows = rows.where((F.octet_length("text") > limit) & F.when(F.length("text") > range_chars, _over(limit, folder, file)("text")).otherwise(True))
     n = F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / range_chars).cast("int"))).alias("range")
     at = F.col("range") * range_chars
-    ranges = rows.where(F.length("text") > range_chars).dropDuplicates(["id"]).select("id", "text", n).select(
-        "id", "range", F.when(at > 0, F.substring("text", at - HALO + 1, F.lit(HALO))).otherwise("").alias("before"), F.substring("text", at + 1, F.lit(range_chars)).alias("own"), F.substring("text", at + range_chars + 1, F.lit(HALO)).alias("after")
+    ranges = rows.withColumn("row", F.monotonically_increasing_id()).select("row", "id", "text", n).select(
+        "row", "id", "range", F.when(at > 0, F.substring("text", F.greatest(at - HALO, F.lit(0)) + 1, F.least(at, F.lit(HALO)))).otherwise("").alias("before"), F.substring("text", at + 1, F.lit(range_chars)).alias("own"), F.substring("text", at + range_chars + 1, F.lit(HALO)).alias("after")
     )
-    return short.unionByName(_long(ranges, limit, overlap, folder, file))
+    return _long(written(ranges, "ranges"), limit, overlap, folder, file, sure=True)
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -228,4 +243,4 @@ def split_files(spark: SparkSession, folder: str, *, limit: int = LIMIT, overlap
     files = spark.read.format("binaryFile").load(folder).select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "length").where("length > 0")
     n = F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / range_bytes).cast("int"))).alias("range")
     ranges = files.select(F.xxhash64("path").alias("id"), "path", "length", n).withColumn("a", F.col("range") * range_bytes).withColumn("b", F.least(F.col("length"), F.col("a") + range_bytes))
-    return _long(ranges.mapInPandas(_read, "id bigint, range int, before string, own string, after string"), limit, overlap, tokenizer_folder, tokenizer)
+    return _long(ranges.mapInPandas(_read, "id bigint, range int, before string, own string, after string").withColumn("row", F.col("id")), limit, overlap, tokenizer_folder, tokenizer)

@@ -174,6 +174,16 @@ def test_split(spark, range_chars, monkeypatch):
         assert all(20 <= r["overlap"] <= 110 for r in rows[1:]), (i, [(r["piece"], r["begin"], r["end"], r["overlap"], r["tokens"]) for r in rows if not 20 <= r["overlap"] <= 110])
 
 
+def test_split_in_ranges_checks_pieces_and_keeps_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(pieces, "MARGINS", (-40, 24, 64))
+    rng = random.Random(11)
+    text = "。".join("".join(rng.choices("门店反馈称颈部厚度读数平均持续", k=20)) for _ in range(900)) + "。"
+    df = spark.createDataFrame([(1, text), (1, text)], "id bigint, text string")
+    got = pieces.split(df, "id", "text").orderBy("piece").collect()
+    whole(got[::2], text, 512)
+    assert got[::2] == got[1::2]
+
+
 def test_split_files(spark, tmp_path):
     rng = random.Random(8)
     text = "".join("".join(rng.choices("门店反馈称颈部厚度é", k=rng.randint(5, 40))) + "。\n" for _ in range(900))
