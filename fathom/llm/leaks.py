@@ -7,8 +7,7 @@ TF-IDF with frequencies over the whole corpus and hashed to ``COLUMNS`` columns.
 distributed randomised SVD (range finder with one power iteration, A'AΩ summed over
 partitions in two levels) gives the latent space, in which each passage of the corpus
 is compared with every passage of the block by cosine.  Candidates are then checked on
-the text: ``shared run`` (longest common run of letters and digits, exact) for verbatim
-passages, or longest common subsequence and answers for paraphrases.
+the text for a shared run of letters and digits, exactly.  Paraphrases are not looked for.
 
 A passage needs as many reference runs, and in one series, as the shortest reportable run
 has; the others can't hold a leak and are left out before the product without loss.
