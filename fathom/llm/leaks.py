@@ -1,16 +1,18 @@
 """Evaluation texts leaking into a corpus (problem 7): latent semantic retrieval, then exact checks.
 
-The stated query set (evaluation references) is taken in blocks of bounded size; every
-block goes against all documents.  Passages are windows of letters and digits; their
-features are the runs of ``GRAM`` letters that the block's references hold, weighted by
-TF-IDF with frequencies over the whole corpus and hashed to ``COLUMNS`` columns.  A
-distributed randomised SVD (range finder with one power iteration, A'AΩ summed over
-partitions in two levels) gives the latent space, in which each passage of the corpus
-is compared with every passage of the block by cosine.  Candidates are then checked on
-the text for a shared run of letters and digits, exactly.  Paraphrases are not looked for.
-
-A passage needs as many reference runs, and in one series, as the shortest reportable run
-has; the others can't hold a leak and are left out before the product without loss.
+The stated query set (evaluation references) is taken in blocks of bounded size, and each
+stage is one scan of the corpus for all blocks of a pass.  Passages are windows of letters
+and digits; their features are the runs of ``GRAM`` letters that a block's references
+hold, weighted by TF-IDF with frequencies over the whole corpus and hashed to ``COLUMNS``
+columns.  A distributed randomised SVD gives the latent space: A'AΩ is summed over
+partitions in two levels, and its Nyström form yields singular vectors and values of the
+passages A from that one scan; the ``RANK`` leading ones of ``SKETCH`` are kept.  In that space each
+passage is compared with every passage of the references by cosine.  The candidates are
+checked on the text: for a shared run of letters and digits, exactly (``leaked``), or for rewordings, by the
+longest common subsequence of the passages and the answers that stand next to it (``reworded``).
+
+A passage goes into the search if it holds ``least`` reference runs, in any order and place: for
+exact leaks as many as the shortest reportable run has, so nothing is lost by that.
 
 Null or empty texts leak nothing; a null or empty reference is never found; repeated
 documents count each; rows without a key are left out.
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -28,7 +31,13 @@ from pyspark.sql import functions as F
 
 from .covering import hash_runs
 
-GRAM, WINDOW, COLUMNS, RANK = 5, 48, 8192, 64
+GRAM, WINDOW, COLUMNS, RANK, SKETCH = 5, 48, 8192, 64, 80
+#: Cases of a block, and blocks that the tasks hold at a time.
+BLOCK, PASS = 2_000, 8
+#: Letters and digits of an answer that tells by itself; shorter ones stand in any text.
+TELLING = 4
+#: Of rewordings: least reference runs of a passage, cosine, share of the passage in common, answers beside it.
+REWORDED = {"grams": 8, "cosine": 0.4, "share": 0.6, "answers": 2}
 _OTHER = re.compile(r"[\W_]+")
 _BITS = 22
 
@@ -37,27 +46,57 @@ def letters(text: str | None) -> str:
     return _OTHER.sub("", text.lower()) if text else ""
 
 
+def run_hashes(text: str, sizes: list[int]) -> dict[int, np.ndarray]:
+    """Of each size, 64-bit hashes of all runs of that many letters, by doubling."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(0x9E37)
+    power, level = {1: codes}, 1
+    base = 0x9E3779B97F4A7C15
+    while 2 * level <= max(sizes, default=1):
+        p, b = power[level], np.uint64(pow(base, level, 1 << 64))
+        power[2 * level] = p[:-level] * b + p[level:] if len(p) > level else p[:0]
+        level *= 2
+    out = {}
+    for k in sizes:
+        n, done, h = max(0, len(codes) - k + 1), 0, None
+        for part in sorted((s for s in power if k & s), reverse=True):
+            own = power[part][done : done + n]
+            h = own.copy() if h is None else h * np.uint64(pow(base, part, 1 << 64)) + own
+            done += part
+        h = h if h is not None else np.zeros(0, np.uint64)
+        h ^= h >> np.uint64(31)
+        out[k] = h * np.uint64(0xBF58476D1CE4E5B9)
+    return out
+
+
 class Block:
     """The passages of one block of references: bounded by the block's size, so it may be sent to every task."""
 
-    def __init__(self, cases: list[tuple[int, str | None, str]], short: int, long: int):
-        texts = [(c, short if lang == "zh" else long, letters(t)) for c, lang, t in cases]
-        texts = [(c, k, s) for c, k, s in texts if len(s) >= k]
-        self.cases = texts
-        self.windows = [(c, s[i : i + 2 * k]) for c, k, s in texts for i in range(0, max(1, len(s) - k), k // 2)]
-        self.least = min(short, long) - GRAM + 1
+    def __init__(self, cases: list[tuple[int, str | None, str, list[str] | None]], short: int, long: int, grams: int | None = None):
+        texts = [(c, short if lang == "zh" else long, letters(t), sorted({letters(a) for a in answers or ()})) for c, lang, t, answers in cases]
+        self.cases = [x for x in texts if len(x[2]) >= x[1]]
+        self.telling = [[a for a in own if len(a) >= TELLING] for _, _, _, own in self.cases]
+        self.sizes = sorted({k for _, k, _, _ in self.cases})
+        self.windows = [(n, s[i : i + 2 * k]) for n, (_, k, s, _) in enumerate(self.cases) for i in range(0, max(1, len(s) - k), k // 2)]
+        self.least = grams or min(short, long) - GRAM + 1
         self.vocabulary = np.unique(hash_runs([w for _, w in self.windows], GRAM)[0]) if self.windows else np.zeros(0, np.uint32)
         self.filter = np.zeros(1 << _BITS, bool)
         self.filter[self.vocabulary >> (32 - _BITS)] = True
         self.column = (self.vocabulary * np.uint32(2654435761) >> np.uint32(19)).astype(np.int64)
         self.weight = np.ones(len(self.vocabulary), np.float32)
-
-    def features(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Positions, over all texts in a row, and vocabulary numbers of the runs that references hold."""
+        self.basis = np.zeros((0, COLUMNS))
+        self.runs: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for k in self.sizes:
+            own = [(n, run_hashes(s, [k])[k]) for n, (_, size, s, _) in enumerate(self.cases) if size == k]
+            h, n = np.concatenate([x for _, x in own]), np.concatenate([np.full(len(x), i, np.int64) for i, x in own])
+            order = np.lexsort((n, h))
+            self.runs[k] = h[order], n[order]
+
+    def features(self, texts: list[str], h: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Positions, over all texts in a row, and vocabulary numbers of the runs that references hold; ``h``: the hashes of all runs, where known."""
         none = np.zeros(0, np.int64)
-        if sum(map(len, texts)) < GRAM:
+        if sum(map(len, texts)) < GRAM or not len(self.vocabulary):
             return none, none
-        h, _ = hash_runs(texts, GRAM)
+        h = hash_runs(texts, GRAM)[0] if h is None else h
         at = np.flatnonzero(self.filter[h >> (32 - _BITS)])
         size = np.fromiter(map(len, texts), np.int64, len(texts))
         end = np.cumsum(size)
@@ -76,12 +115,35 @@ class Block:
         norm = np.sqrt(np.bincount(rows, values**2, len(size)))
         return rows, self.column[each], values / np.maximum(norm, 1e-9)[rows]
 
-
-def _passages(block: Block, texts: list[str]) -> tuple[np.ndarray, ...]:
-    """Half overlapping windows with at least as many reference runs as a leak has: text number and place, slice of the features; the features and their positions."""
+    @cached_property
+    def table(self) -> np.ndarray:
+        """Of each run of the vocabulary, its weighted place in the latent space."""
+        return np.ascontiguousarray(self.basis.T.astype(np.float32)[self.column] * self.weight[:, None])
+
+    def latent(self, n: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Passages (slices of the features n, one after the other) in the latent space, of unit length: passages x rank."""
+        own = self.table
+        total = np.zeros((len(begin), own.shape[1]), np.float32)
+        for first in range(0, len(begin), 4096):
+            part = slice(first, first + 4096)
+            a, b = begin[part], end[part]
+            x = own[n[a.min() : b.max()]]
+            edges = np.stack([a, b], 1).ravel() - a.min()
+            total[part] = np.add.reduceat(np.vstack([x, np.zeros((1, x.shape[1]), np.float32)]), edges)[::2]
+        return total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
+
+    def queries(self) -> np.ndarray:
+        """The references' passages in the latent space."""
+        at, n = self.features([w for _, w in self.windows])
+        edges = np.searchsorted(at, np.cumsum([0, *(len(w) for _, w in self.windows)]))
+        return self.latent(n, edges[:-1], edges[1:])
+
+
+def _passages(block: Block, texts: list[str], h: np.ndarray | None) -> tuple[np.ndarray, ...]:
+    """Half overlapping windows with at least ``block.least`` reference runs: text number and place, slice of the features; the features."""
     size = np.fromiter(map(len, texts), np.int64, len(texts))
     begin, half = np.cumsum(size) - size, WINDOW // 2
-    at, n = block.features(texts)
+    at, n = block.features(texts, h)
     text = np.searchsorted(np.cumsum(size), at, "right")
     first = np.cumsum(size // half + 2) - size // half - 2  # numbers of the half windows; each text has one to spare
     cell = first[text] + (at - begin[text]) // half if len(at) else at
@@ -93,16 +155,11 @@ def _passages(block: Block, texts: list[str]) -> tuple[np.ndarray, ...]:
     owner = text[a] if len(w) else w
     same = text[b - 1] == owner if len(w) else np.zeros(0, bool)
     w, a, b, owner = w[same], a[same], b[same], owner[same]
-    return owner, (w - first[owner]) * half if len(w) else w, a, b, n, at
-
-
-def _project(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, basis: np.ndarray, n: int) -> np.ndarray:
-    """Sparse rows times a dense basis (rank x columns): rank x n."""
-    return np.stack([np.bincount(rows, d[columns] * values, n) for d in basis])
+    return owner, (w - first[owner]) * half if len(w) else w, a, b, n
 
 
-def _groups(rows: pd.DataFrame) -> Iterator[tuple[list[int], list[str]]]:
-    """Ids and letters of about a megabyte of texts at a time, whole texts each."""
+def _groups(rows: pd.DataFrame) -> Iterator[tuple[list[int], list[str], np.ndarray]]:
+    """Ids, letters and run hashes of about a megabyte of texts at a time, whole texts each."""
     ids, texts, size = [], [], 0
     for i, t in zip(rows["id"] if "id" in rows else range(len(rows)), rows["text"]):
         if t and len(s := letters(t)) >= GRAM:
@@ -110,41 +167,52 @@ def _groups(rows: pd.DataFrame) -> Iterator[tuple[list[int], list[str]]]:
             texts.append(s)
             size += len(s)
             if size > 500_000:
-                yield ids, texts
+                yield ids, texts, hash_runs(texts, GRAM)[0]
                 ids, texts, size = [], [], 0
     if ids:
-        yield ids, texts
+        yield ids, texts, hash_runs(texts, GRAM)[0]
 
 
-def _counts(block: Block):
+def _counts(shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(len(block.vocabulary), np.int64)
+        blocks = shared.value
+        total = [np.zeros(len(b.vocabulary), np.int64) for b in blocks]
         for rows in batches:
-            for _, texts in _groups(rows):
-                total += np.bincount(block.features(texts)[1], minlength=len(total))
-        seen = np.flatnonzero(total)
-        yield pd.DataFrame({"n": seen, "count": total[seen]})
+            for _, texts, h in _groups(rows):
+                for b, t in zip(blocks, total):
+                    t += np.bincount(b.features(texts, h)[1], minlength=len(t))
+        for k, t in enumerate(total):
+            seen = np.flatnonzero(t)
+            yield pd.DataFrame({"block": k, "n": seen, "count": t[seen]})
 
     return run
 
 
-def _power(block: Block, omega: np.ndarray, pieces: int):
-    """Per partition: A'AΩ over its passages, in row pieces."""
+def _sketch(shared, omega: np.ndarray, pieces: int):
+    """Per partition and block: A'AΩ over its passages, in row pieces."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        total = np.zeros(omega.shape)
+        blocks = shared.value
+        total = [np.zeros((COLUMNS, SKETCH), np.float32) for _ in blocks]
+        thin = omega.astype(np.float32)
         for rows in batches:
-            for _, texts in _groups(rows):
-                _, _, begin, end, n, _ = _passages(block, texts)
-                r, c, v = block.vectors(n, begin, end)
-                y = _project(r, c, v, omega, len(begin))
-                total += np.stack([np.bincount(c, d[r] * v, COLUMNS) for d in y])
-        total = total.T.astype(np.float32)
-        salt = TaskContext.get().partitionId() % 32
-        step = len(total) // pieces
-        yield pd.DataFrame({"piece": range(pieces), "salt": salt, "sums": [total[i * step : (i + 1) * step].tobytes() for i in range(pieces)]})
+            for _, texts, h in _groups(rows):
+                for block, t in zip(blocks, total):
+                    _, _, begin, end, n = _passages(block, texts, h)
+                    for first in range(0, len(begin), 4096):
+                        r, c, v = block.vectors(n, begin[first : first + 4096], end[first : first + 4096])
+                        v = v.astype(np.float32)[:, None]
+                        starts = np.flatnonzero(np.diff(r, prepend=-1))
+                        y = np.add.reduceat(thin[c] * v, starts)
+                        order = np.argsort(c, kind="stable")
+                        own = c[order]
+                        edge = np.flatnonzero(np.diff(own, prepend=-1))
+                        t[own[edge]] += np.add.reduceat((y[r] * v)[order], edge)
+        salt, step = TaskContext.get().partitionId() % 32, COLUMNS // pieces
+        for k, t in enumerate(total):
+            yield pd.DataFrame({"block": k, "piece": range(pieces), "salt": salt, "sums": [t[i * step : (i + 1) * step].tobytes() for i in range(pieces)]})
 
     return run
 
@@ -154,98 +222,211 @@ def _add(rows: pd.DataFrame) -> pd.DataFrame:
     return rows.iloc[:1].assign(sums=[total.tobytes()])
 
 
-def _longest(at: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Of each passage, the longest series of reference runs at consecutive places that reaches into it."""
-    if not len(begin):
-        return begin
-    series = np.cumsum(np.diff(at, prepend=at[0] - 2) != 1) - 1
-    length = np.bincount(series)[series]
-    order = np.empty(2 * len(begin), np.int64)
-    order[::2], order[1::2] = begin, end
-    return np.maximum.reduceat(np.append(length, 0), order)[::2]
-
-
-def _unit(x: np.ndarray) -> np.ndarray:
-    return (x / np.maximum(np.linalg.norm(x, axis=0), 1e-9)).astype(np.float32)
+def singular(y: np.ndarray, omega: np.ndarray, rank: int) -> tuple[np.ndarray, np.ndarray]:
+    """Leading right singular vectors (rank x columns) and singular values of A, from Y = A'AΩ: the Nyström form of A'A."""
+    shift = 1e-6 * max(float(np.linalg.norm(y)), 1e-12)  # keeps the small matrix positive
+    moved = y + shift * omega
+    small = omega.T @ moved
+    root = np.linalg.cholesky((small + small.T) / 2 + 1e-9 * np.trace(small) / len(small) * np.eye(len(small)))
+    u, s, _ = np.linalg.svd(np.linalg.solve(root, moved.T).T, full_matrices=False)
+    return np.ascontiguousarray(u[:, :rank].T), np.sqrt(np.maximum(s[:rank] ** 2 - shift, 0))
+
+
+def candidates(block: Block, queries: np.ndarray, begin: np.ndarray, end: np.ndarray, n: np.ndarray, least_cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """(passage, reference window) pairs of at least the cosine, in the order of the passages."""
+    passages, windows = [], []
+    for first in range(0, len(begin), 2048):
+        hit, window = np.nonzero(block.latent(n, begin[first : first + 2048], end[first : first + 2048]) @ queries.T >= least_cosine)
+        passages.append(hit + first)
+        windows.append(window)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *passages]), np.concatenate([none, *windows])
+
+
+def _exact(block: Block, texts: list[str], owner: np.ndarray, place: np.ndarray, passage: np.ndarray, case: np.ndarray) -> set[tuple[int, int]]:
+    """(text number, case number) of candidates whose text shares a long enough run with the case, around the passage."""
+    found: set[tuple[int, int]] = set()
+    size, half = np.fromiter(map(len, texts), np.int64, len(texts)), WINDOW // 2
+    end = np.cumsum(size)
+    begin = end - size
+    pairs = np.unique(((begin + np.arange(len(texts)))[owner[passage]] + place[passage] // half) << 20 | case)  # of a pass, fewer cases than 2^20
+    known = set(pairs.tolist())
+    joined = "".join(texts)
+    hashes = run_hashes(joined, block.sizes)
+    starts = np.unique(begin[owner[passage]] + place[passage])
+    for k in block.sizes:
+        near = np.zeros(len(joined) + WINDOW + 1, np.int32)
+        np.add.at(near, np.maximum(starts - k + half, 0), 1)
+        np.add.at(near, starts + WINDOW - half + 1, -1)
+        h, (of_cases, numbers) = hashes[k], block.runs[k]
+        at = np.flatnonzero(np.cumsum(near)[: len(h)] > 0)
+        i = np.searchsorted(of_cases, h[at])
+        i[i == len(of_cases)] = 0
+        same = of_cases[i] == h[at]
+        text = np.searchsorted(end, at[same], "right")
+        for p, t, i in zip(at[same].tolist(), text.tolist(), i[same].tolist()):
+            if p + k > end[t]:  # a run across two texts is none
+                continue
+            w = int(begin[t]) + t
+            over = range(max(0, (p - int(begin[t])) // half - 1), (p - int(begin[t]) + k) // half + 1)
+            while i < len(of_cases) and of_cases[i] == h[p]:
+                c = int(numbers[i])
+                if (t, c) not in found and any((w + x) << 20 | c in known for x in over) and joined[p : p + k] in block.cases[c][2]:
+                    found.add((t, c))
+                i += 1
+    return found
 
 
-def _verified(doc: int, text: str, place: int, own: set[int], runs: dict[str, int | set[int]], sizes: list[int]) -> set[tuple[int, int]]:
-    """Exact check of a candidate: the cases of its passages that share a long enough run around it."""
-    found = set()
-    for k in sizes:
-        a, b = max(0, place - k), min(len(text), place + WINDOW + k)
-        for p in range(a, b - k + 1):
-            if (known := runs.get(text[p : p + k])) is not None:
-                found |= {(doc, c) for c in (known & own if isinstance(known, set) else {known} & own)}
+def common(a: str, b: str) -> int:
+    """Length of the longest common subsequence, by bits."""
+    place: dict[str, int] = {}
+    for i, c in enumerate(a):
+        place[c] = place.get(c, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    rest = full
+    for c in b:
+        if hits := place.get(c):
+            u = rest & hits
+            rest = (rest + u | rest - u) & full
+    return len(a) - rest.bit_count()
+
+
+def _answered(block: Block, words, texts: list[str], answers: int) -> dict[tuple[int, int], list[tuple[int, int]]]:
+    """(text number, case number) → places and numbers of the case's answers, where the text holds enough of them; a number counts only as a whole."""
+    found: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for t, s in enumerate(texts):
+        for last, (n, uses) in words.iter(s) if len(words) else ():
+            p = last - n + 1
+            if (s[p].isdigit() and s[p - 1 : p].isdigit()) or (s[last].isdigit() and s[last + 1 : last + 2].isdigit()):
+                continue
+            for c, number in uses:
+                found.setdefault((t, c), []).append((p, number))
+    return {k: v for k, v in found.items() if len({n for _, n in v}) >= min(answers, len(block.telling[k[1]]))}
+
+
+def _short(text: str, answers: list[str], least: int) -> bool:
+    """Whether ``least`` of the answers too short to tell (or all, if fewer) stand in the text, numbers as whole ones."""
+    short = [a for a in answers if 0 < len(a) < TELLING]
+    return sum(re.search(rf"(?<!\d){a}(?!\d)", text) is not None for a in short) >= min(least, len(short))
+
+
+def _words(block: Block):
+    """Automaton over the telling answers of all cases."""
+    import ahocorasick
+
+    words, uses = ahocorasick.Automaton(), {}
+    for c, own in enumerate(block.telling):
+        for number, w in enumerate(own):
+            uses.setdefault(w, []).append((c, number))
+    for w, v in uses.items():
+        words.add_word(w, (len(w), v))
+    if uses:
+        words.make_automaton()
+    return words
+
+
+def _reworded(block: Block, words, texts: list[str], owner: np.ndarray, place: np.ndarray, passage: np.ndarray, window: np.ndarray, case: np.ndarray, share: float, answers: int) -> set[tuple[int, int]]:
+    """(text number, case number) of candidates that say the reference in other words: its answers beside the passage, and enough of its passage in order."""
+    found: set[tuple[int, int]] = set()
+    held = _answered(block, words, texts, answers)
+    able = np.array(sorted(t << 20 | c for t, c in held), np.int64)
+    silent = np.array([not own for own in block.telling])
+    keep = np.isin(owner[passage] << 20 | case, able) | silent[case]
+    for p, w in zip(passage[keep].tolist(), window[keep].tolist()):
+        t, at, (c, wanted) = int(owner[p]), int(place[p]), block.windows[w]
+        if (t, c) in found:
+            continue
+        beside = {n for q, n in held.get((t, c), ()) if at - 2 * WINDOW <= q < at + 3 * WINDOW}
+        own = block.telling[c]
+        if len(beside) < min(answers, len(own)) or len(own) < answers and not _short(texts[t][max(0, at - 2 * WINDOW) : at + 3 * WINDOW], block.cases[c][3], answers - len(own)):
+            continue
+        more = max(0, len(wanted) - WINDOW) // 2 + WINDOW // 4
+        if common(wanted, texts[t][max(0, at - more) : at + WINDOW + more]) >= share * len(wanted):
+            found.add((t, c))
     return found
 
 
-def _search(block: Block, basis: np.ndarray, least_cosine: float):
+def _search(shared, least_cosine: float, share: float | None, answers: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        case = np.array([c for c, _ in block.windows])
-        at, n = block.features([w for _, w in block.windows])
-        edges = np.searchsorted(at, np.cumsum([0, *(len(w) for _, w in block.windows)]))
-        queries = _unit(_project(*block.vectors(n, edges[:-1], edges[1:]), basis, len(case))).T
-        runs: dict[str, int | set[int]] = {}  # most runs have one case
-        sizes = sorted({k for _, k, _ in block.cases})
-        for i, k, s in block.cases:
-            for p in range(len(s) - k + 1):
-                if (known := runs.setdefault(s[p : p + k], i)) != i:
-                    runs[s[p : p + k]] = ({known} if isinstance(known, int) else known) | {i}
+        blocks = shared.value
+        queries = [b.queries() for b in blocks]
+        words = [_words(b) if share is not None else None for b in blocks]
         for rows in batches:
-            leaks = set()
-            for ids, texts in _groups(rows):
-                owner, place, begin, end, n, at = _passages(block, texts)
-                longest = _longest(at, begin, end)
-                able = longest >= block.least  # the others can't hold a leak
-                owner, place, begin, end, longest = owner[able], place[able], begin[able], end[able], longest[able]
-                if not len(begin):
-                    continue
-                x = _unit(_project(*block.vectors(n, begin, end), basis, len(begin))).T
-                for first in range(0, len(x), 2048):
-                    hit, window = np.nonzero(x[first : first + 2048] @ queries.T >= least_cosine)
-                    edge = np.flatnonzero(np.diff(hit, prepend=-1, append=-1))
-                    for e, f in zip(edge[:-1], edge[1:]):
-                        i = first + hit[e]
-                        fit = [k for k in sizes if longest[i] > k - GRAM]
-                        leaks |= _verified(ids[owner[i]], texts[owner[i]], int(place[i]), set(case[window[e:f]].tolist()), runs, fit)
+            leaks: set[tuple[int, int]] = set()
+            for ids, texts, h in _groups(rows):
+                for block, q, w in zip(blocks, queries, words):
+                    owner, place, begin, end, n = _passages(block, texts, h)
+                    passage, window = candidates(block, q, begin, end, n, least_cosine)
+                    if not len(passage):
+                        continue
+                    case = np.array([c for c, _ in block.windows])[window]
+                    found = _exact(block, texts, owner, place, passage, case)
+                    if share is not None:
+                        found = _reworded(block, w, texts, owner, place, passage, window, case, share, answers) - found
+                    leaks |= {(ids[t], block.cases[c][0]) for t, c in found}
             yield pd.DataFrame(sorted(leaks), columns=["id", "case_id"])
 
     return run
 
 
-def leaked(documents: DataFrame, key: str, text: str, cases: DataFrame, *, short: int = 24, long: int = 60, least_cosine: float = 0.3, block_size: int = 2000) -> DataFrame:
-    """(id, case_id): documents whose text shares a run of letters and digits of ``short`` (zh) or ``long`` (else) with a reference.
+def _blocks(cases: DataFrame, short: int, long: int, block_size: int, grams: int | None) -> Iterator[list[Block]]:
+    """The blocks of the query set, some at a time: a case has its block by the hash of its id."""
+    stated = cases.where(F.col("case_id").isNotNull() & F.col("reference").isNotNull())
+    answers = F.col("expect_any") if "expect_any" in cases.columns else F.array().cast("array<string>")
+    stated = stated.select(F.col("case_id").cast("bigint").alias("case_id"), "lang", "reference", answers.alias("answers"))
+    n = max(1, -(-stated.count() // block_size))
+    number = F.pmod(F.xxhash64("case_id"), F.lit(n))
+    for first in range(0, n, PASS):
+        own = stated.withColumn("block", number).where(F.col("block").between(first, first + PASS - 1)).orderBy("case_id").collect()
+        blocks = [Block([tuple(r)[:4] for r in own if r["block"] == b], short, long, grams) for b in range(first, first + PASS)]
+        if blocks := [b for b in blocks if b.windows]:
+            yield blocks
 
-    ``cases`` has case_id, lang, reference; it is the query set and goes through in blocks of about ``block_size``.
-    """
+
+def _leaks(documents: DataFrame, key: str, text: str, cases: DataFrame, *, short: int, long: int, least_cosine: float, block_size: int, grams: int | None = None, share: float | None = None, answers: int = 0) -> DataFrame:
     docs = documents.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull() & F.col("id").isNotNull())
     spark, out = documents.sparkSession, None
-    n = cases.count()
-    blocks = max(1, -(-n // block_size))
-    for b in range(blocks):
-        own = cases.where(F.col("case_id").isNotNull() & F.col("reference").isNotNull()).where(F.pmod(F.xxhash64("case_id"), F.lit(blocks)) == b)
-        block = Block([(r[0], r[1], r[2]) for r in own.select("case_id", "lang", "reference").orderBy("case_id").collect()], short, long)
-        if not block.windows:
-            continue
-        found = _leaked_block(docs, block, least_cosine)
+    for blocks in _blocks(cases, short, long, block_size, grams):
+        found = _pass(docs, blocks, least_cosine, share, answers)
         out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], "id bigint, case_id bigint") if out is None else out.distinct()
 
 
-def _leaked_block(docs: DataFrame, block: Block, least_cosine: float) -> DataFrame:
-    only = docs.select("text")
-    counts = only.mapInPandas(_counts(block), "n bigint, count bigint").groupBy("n").agg(F.sum("count").alias("count")).toPandas()
-    total = np.zeros(len(block.vocabulary))
-    total[counts["n"]] = counts["count"]
-    block.weight = np.log((total.sum() + 1) / (total + 1)).astype(np.float32)
-    omega = np.random.default_rng(7).standard_normal((RANK, COLUMNS))
-    pieces = 32
-    sums = only.mapInPandas(_power(block, omega, pieces), "piece int, salt int, sums binary")
-    sums = sums.groupBy("piece", "salt").applyInPandas(_add, "piece int, salt int, sums binary").groupBy("piece").applyInPandas(_add, "piece int, salt int, sums binary")
-    done = sums.toPandas().sort_values("piece")["sums"]
+def _pass(docs: DataFrame, blocks: list[Block], least_cosine: float, share: float | None, answers: int) -> DataFrame:
+    only, context = docs.select("text"), docs.sparkSession.sparkContext
+    shared = context.broadcast(blocks)
+    counts = only.mapInPandas(_counts(shared), "block int, n bigint, count bigint").groupBy("block", "n").agg(F.sum("count").alias("count")).toPandas()
+    for k, block in enumerate(blocks):
+        own, total = counts[counts["block"] == k], np.zeros(len(block.vocabulary))
+        total[own["n"]] = own["count"]
+        block.weight = np.log((total.sum() + 1) / (total + 1)).astype(np.float32)
+    shared = context.broadcast(blocks)
+    omega = np.random.default_rng(7).standard_normal((COLUMNS, SKETCH))
+    sums = only.mapInPandas(_sketch(shared, omega, 32), "block int, piece int, salt int, sums binary")
+    sums = sums.groupBy("block", "piece", "salt").applyInPandas(_add, "block int, piece int, salt int, sums binary").groupBy("block", "piece").applyInPandas(_add, "block int, piece int, salt int, sums binary")
+    done = sums.toPandas().sort_values(["block", "piece"])
+    for k, block in enumerate(blocks):
+        own = done.loc[done["block"] == k, "sums"] if len(done) else ()
+        if len(own):
+            y = np.frombuffer(b"".join(own), np.float32).reshape(COLUMNS, SKETCH).astype(np.float64)
+            block.basis = singular(y, omega, RANK)[0]
     if not len(done):  # no documents
         return docs.where("false").select("id", F.lit(0).cast("bigint").alias("case_id"))
-    b = np.frombuffer(b"".join(done), np.float32).reshape(COLUMNS, RANK)
-    basis = np.ascontiguousarray(np.linalg.qr(b.astype(np.float64))[0].T)
-    return docs.mapInPandas(_search(block, basis, least_cosine), "id bigint, case_id bigint")
+    return docs.mapInPandas(_search(context.broadcast(blocks), least_cosine, share, answers), "id bigint, case_id bigint")
+
+
+def leaked(documents: DataFrame, key: str, text: str, cases: DataFrame, *, short: int = 24, long: int = 60, least_cosine: float = 0.3, block_size: int = BLOCK) -> DataFrame:
+    """(id, case_id): documents whose text shares a run of letters and digits of ``short`` (zh) or ``long`` (else) with a reference.
+
+    ``cases`` has case_id, lang, reference; it is the query set and goes through in blocks of about ``block_size``.
+    """
+    return _leaks(documents, key, text, cases, short=short, long=long, least_cosine=least_cosine, block_size=block_size)
+
+
+def reworded(documents: DataFrame, key: str, text: str, cases: DataFrame, *, short: int = 24, long: int = 60, least_cosine: float = REWORDED["cosine"], share: float = REWORDED["share"], answers: int = REWORDED["answers"], grams: int = REWORDED["grams"], block_size: int = BLOCK) -> DataFrame:
+    """(id, case_id): documents that say a passage of a reference in other words, without a run that ``leaked`` reports.
+
+    A passage of at least ``least_cosine`` has, in the order of the reference's passage, ``share`` of its letters, and near
+    it stand ``answers`` of the case's ``expect_any`` (all where it has fewer), those of at least ``TELLING`` letters first.
+    """
+    return _leaks(documents, key, text, cases, short=short, long=long, least_cosine=least_cosine, block_size=block_size, grams=grams, share=share, answers=answers)

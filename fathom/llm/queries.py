@@ -86,8 +86,12 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaked(_table(spark, folder, "documents"), "doc_id", "text", _table(spark, folder, "regression_cases")).withColumnRenamed("id", "doc_id")
 
 
+def p7_paraphrases(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.reworded(_table(spark, folder, "documents"), "doc_id", "text", _table(spark, folder, "regression_cases")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_repaired, p3_found, p4_found, p4_redacted, p5_found, p5_forms, p5_groups, p6_packed, p7_found, p8_pieces)
+    f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_repaired, p3_found, p4_found, p4_redacted, p5_found, p5_forms, p5_groups, p6_packed, p7_found, p7_paraphrases, p8_pieces)
 }
 _LETTERS = r"regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', '', 'g')"
 ORACLE: dict[str, str] = {

@@ -119,6 +119,62 @@ def test_leaks(spark):
     assert leaks.leaked(df.where("false"), "id", "text", cases).isEmpty()
 
 
+def test_singular_vectors_of_the_sketch():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    a = rng.standard_normal((400, 12)) @ rng.standard_normal((12, 90)) * 3 + 0.01 * rng.standard_normal((400, 90))
+    omega = rng.standard_normal((90, 30))
+    basis, values = leaks.singular(a.T @ (a @ omega), omega, 12)
+    _, s, v = np.linalg.svd(a, full_matrices=False)
+    assert np.allclose(values, s[:12], rtol=1e-3)
+    assert np.allclose(np.linalg.svd(basis @ v[:12].T)[1], 1, atol=1e-3)  # the same space
+
+
+def test_cosine_decides_what_is_checked(spark):
+    rng = random.Random(13)
+    han = [chr(0x4E00 + i) for i in range(0, 4000, 3)]
+    ref = "".join(rng.choices(han, k=90))
+    cases = spark.createDataFrame([(1, "zh", ref)], "case_id bigint, lang string, reference string")
+    df = spark.createDataFrame([(1, ref[10:50]), (2, "".join(rng.choices(han, k=90)))], "id bigint, text string")
+    assert [tuple(r) for r in leaks.leaked(df, "id", "text", cases).collect()] == [(1, 1)]
+    assert leaks.leaked(df, "id", "text", cases, least_cosine=1.5).isEmpty()  # without the search nothing is found
+
+
+def test_rewordings_against_all_pairs(spark):
+    rng = random.Random(17)
+    han = [chr(0x4E00 + i) for i in range(0, 4000, 3)]
+    refs = [(i, "zh", "".join(rng.choices(han, k=70)), [f"{5000 + 7 * i}", f"{91000 + i}"]) for i in range(15)]
+    refs = [(i, lang, r[:20] + a[0] + r[20:40] + a[1] + r[40:], a) for i, lang, r, a in refs] + [(90, "zh", None, ["1"]), (91, "zh", refs[0][2], None)]
+    docs, planted = [], set()
+    for i in range(120):
+        text = "".join(rng.choices(han, k=rng.choice([0, 50, 400])))
+        if i % 2 == 0:
+            c, _, r, a = refs[i // 2 % 15]
+            words = list(r)
+            if i % 4 == 0:  # every ninth letter another, the answers kept
+                words = [w if n % 9 or w.isdigit() else rng.choice(han) for n, w in enumerate(words)]
+                planted.add((i, c))
+            else:  # other answers
+                words = list(r.replace(a[0], "4444").replace(a[1], "88888"))
+                words = [w if n % 9 or w.isdigit() else rng.choice(han) for n, w in enumerate(words)]
+            text = text + "。" + "".join(words) + "，" + text[:30]
+        docs.append((i, text))
+    docs += [(200, None), (None, refs[0][2]), (201, refs[3][2])]  # the last is an exact leak
+    df = spark.createDataFrame(docs, "id bigint, text string").repartition(3)
+    cases = spark.createDataFrame(refs, "case_id bigint, lang string, reference string, expect_any array<string>")
+    found = {tuple(r) for r in leaks.reworded(df, "id", "text", cases).collect()}
+    assert {f for f in found if f[1] < 90} <= planted and len(found & planted) >= 0.9 * len(planted)
+    assert leaks.common("abcdef", "xaybzcd") == 4 and leaks.common("", "a") == 0
+
+
+def test_run_hashes():
+    text = "abcdefghij" * 7
+    h = leaks.run_hashes(text, [24, 60])
+    assert [len(h[24]), len(h[60])] == [47, 11] and h[24][0] == h[24][10] != h[24][1] and h[60][0] == h[60][10]
+    assert not len(leaks.run_hashes("ab", [24])[24])
+
+
 def test_filling_is_the_best():
     import itertools
 
