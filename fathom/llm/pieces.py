@@ -1,11 +1,13 @@
 """Splitting oversized texts at natural boundaries with overlap (problem 8), by ranges.
 
 A text, or a file of any size, is taken in ranges with a halo of context: each range yields its table of
-boundaries (place, strength, tokens up to there) on its own, prefix sums over the ranges'
-lengths stitch the tables, pieces are planned over blocks of tables without their text,
-and emitted by offset from the ranges that hold them.  The tokens of every piece are counted then;
-texts with a piece over the limit are planned again with the next margin.  No task holds a whole file, and no
-block more than ``BLOCK`` tables.
+boundaries (place, strength, tokens up to there) on its own, prefix sums over the ranges' lengths
+stitch the tables, pieces are planned over blocks of ``BLOCK`` tables and emitted by offset from the ranges
+that hold them.  No task holds a whole file, and no block more than ``BLOCK`` ranges and the one before.
+
+Ranges begin and end where the tokenizer's pattern always splits, so the tokens of a piece between two such
+places are the difference of two sums, exactly, and are not counted again; a piece with another end is counted
+on its own and ends earlier if it is over the limit.
 
 Pieces end at the strongest boundary in their last part (heading, paragraph, line,
 sentence, clause); only stretches without any are cut between characters.  Each piece
@@ -18,32 +20,61 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import tokens
 from .store import written
 
 LIMIT, OVERLAP, RANGE, BLOCK, HALO = 512, 64, 4_096, 64, 64
-#: Tokens kept free, as a piece on its own may take more of them than within its ranges; tried in turn.
-MARGINS = (12, 24, 64, 160, 320)
 HEADING, PARAGRAPH, LINE, SENTENCE, CLAUSE, NONE = 5, 4, 3, 2, 1, 0
 _EDGE = re.compile(
     r"(?P<p>\n[ \t\r　]*\n\s*)|(?P<l>\r?\n)|(?P<s>[。！？｡]+[”\"'」』）)\]】»’]*|[.!?…]+[”\"'」』）)\]】»’]*(?=\s|$))|(?P<c>[，、；：]|[,;:](?=\s))"
 )
 _HEAD = re.compile(r"[ \t　]*(?:#{1,6}\s|【|第[一二三四五六七八九十\d]+[章节]|[一二三四五六七八九十]+、|STEP\s?\d|\d+[.、]\s?\S{1,20}(?:\n|$))")
 PIECES = "id bigint, piece int, begin bigint, end bigint, tokens int, overlap int, text string"
+_RANGES = "row bigint, id bigint, range int, block int, last boolean, own string, total int, bounds binary"
+
+
+@lru_cache(1 << 16)
+def _kind(c: str) -> int:
+    """Letter, number, white space or other: the classes of the tokenizer's pattern."""
+    return 1 if c.isalpha() else 2 if c.isnumeric() else 3 if c.isspace() else 4
+
+
+def splits(text: str, p: int) -> bool:
+    """Whether the tokenizer's pattern splits at ``p`` whatever stands on either side further away."""
+    a, b = text[p - 1], text[p]
+    if a in "' \x1c\x1d\x1e\x1f" or b in "\x1c\x1d\x1e\x1f":
+        return False
+    return _kind(a) != _kind(b)
+
+
+def edge(text: str, p: int) -> int:
+    """The first place from ``p`` on, within the halo, at which the pattern splits after no white space; else ``p``."""
+    for q in range(max(p, 1), min(p + HALO, len(text))):
+        if splits(text, q) and not text[q - 1].isspace():
+            return q
+    return min(p, len(text))
+
 
+@lru_cache(4096)
+def _blank(white: str, folder: str, file: str) -> int:
+    return tokens.count(white, folder, file)
 
-def boundaries(text: str, lo: int, hi: int, step: int, folder: str, file: str, ids: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places in (lo, hi], their strengths and the tokens of text[lo:place]; never further apart than about ``step`` tokens.
-    ``ids``: the tokens of text[lo:hi], where they are known."""
+
+def boundaries(text: str, lo: int, hi: int, step: int, folder: str, file: str) -> tuple[np.ndarray, int]:
+    """Table of the range text[lo:hi], and its tokens.
+
+    Columns: places in (lo, hi], relative to lo; their strengths; tokens up to there; tokens up to there if the text ended there; whether
+    the pattern splits there.  Boundaries are never further apart than about ``step`` tokens.
+    """
     place, level = [], []
-    for m in _EDGE.finditer(text):  # an edge may begin in the halo
+    for m in _EDGE.finditer(text, max(0, lo - HALO)):  # an edge may begin in the halo
         p = m.end()
         if p <= lo:
             continue
@@ -63,9 +94,10 @@ def boundaries(text: str, lo: int, hi: int, step: int, folder: str, file: str, i
     codes = np.frombuffer(own.encode("utf-32-le", "surrogatepass"), "<u4")
     width = np.concatenate([[0], np.cumsum(1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF))])
     encoder, size = tokens.encoding(folder, file)
-    ends = np.cumsum(size[encoder.encode_ordinary(own) if ids is None else ids])
-    place, level = np.array(place, np.int64), np.array(level, np.int8)
-    count = np.searchsorted(ends, width[place - lo], "left") + 1
+    ends = np.cumsum(size[encoder.encode_ordinary(own)])
+    upto = lambda p: np.searchsorted(ends, width[p - lo], "left") + (p > lo)
+    place, level = np.array(place, np.int64), np.array(level, np.int64)
+    count = upto(place)
     gaps = np.flatnonzero(np.diff(count, prepend=0) > step)
     if len(gaps):
         more = []
@@ -77,92 +109,125 @@ def boundaries(text: str, lo: int, hi: int, step: int, folder: str, file: str, i
                 p = blank if blank > a else p
                 if a < p < b:
                     more.append(p)
-        if more:
-            extra = np.setdiff1d(np.array(more, np.int64), place)
-            order = np.argsort(np.concatenate([place, extra]), kind="stable")
-            place, level = np.concatenate([place, extra])[order], np.concatenate([level, np.zeros(len(extra), np.int8)])[order]
-            count = np.searchsorted(ends, width[place - lo], "left") + 1
-    return place, level, count
-
-
-def cuts(level: np.ndarray, count: np.ndarray, limit: int, overlap: int, margin: int, start: int = 0, resumed: bool = False) -> list[tuple[int, int]]:
-    """Pieces as (boundary before, boundary after) over boundaries 0..n; boundary 0 is the begin of the text; a resumed plan repeats what stands before ``start``."""
-    out, at, last = [], start, len(count) - 1
+        extra = np.setdiff1d(np.array(more, np.int64), place)
+        order = np.argsort(np.concatenate([place, extra]), kind="stable")
+        place, level = np.concatenate([place, extra])[order], np.concatenate([level, np.zeros(len(extra), np.int64)])[order]
+        count = upto(place)
+    closed = count.copy()
+    for i, p in enumerate(place.tolist()):
+        if text[p - 1].isspace():  # white space at the end of a text is one piece of the pattern
+            q = p
+            while q > lo and text[q - 1].isspace():
+                q -= 1
+            closed[i] = upto(np.int64(q)) + _blank(text[q:p], folder, file)
+    safe = np.array([p == len(text) or splits(text, p) for p in place.tolist()], np.int64)
+    return np.stack([place - lo, level, count, closed, safe]).astype(np.int32), len(ends)
+
+
+def cuts(bounds: np.ndarray, limit: int, overlap: int, start: int, last: int, resumed: bool, recount) -> Iterator[tuple[int, int, int]]:
+    """Pieces (boundary before, boundary after, tokens) over the boundaries from ``start`` to ``last``.
+
+    ``bounds``: places, strengths, tokens, tokens if ended there, whether the pattern splits; a plan that is ``resumed`` repeats what stands
+    before ``start``.  ``recount`` tells the tokens between two boundaries, where their difference is not exact.
+    """
+    _, level, count, closed, safe = bounds
+    at, before = start, -1
     while at < last:
         begin = at
-        if out or resumed:  # back by about the overlap, but never to the begin of the piece before
-            begin = int(np.searchsorted(count, count[at] - overlap - overlap // 4, "left"))
-            near = np.arange(begin, at)
-            begin = int(near[np.argmin(np.abs(count[near] - (count[at] - overlap)))]) if len(near) else at
-            begin = min(max(begin, out[-1][0] + 1 if out else 0), at)
-        most = int(np.searchsorted(count, count[begin] + limit - margin, "right")) - 1
-        if most >= last:
-            out.append((begin, last))
-            break
-        most = max(most, at + 1)
-        least = max(at + 1, int(np.searchsorted(count, count[begin] + int(0.6 * limit), "left")))
-        window = level[least : most + 1]
-        end = least + len(window) - 1 - int(np.argmax(window[::-1])) if len(window) else most
-        out.append((begin, end))
-        at = end
-    return out
-
-
-def _over(limit: int, folder: str, file: str):
-    """Whether a text has more than ``limit`` tokens; of long ones the begin mostly tells."""
-
-    @F.pandas_udf(T.BooleanType())
-    def over(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: tokens.count(t[: 8 * limit], folder, file) > limit + 16 or tokens.count(t, folder, file) > limit).astype(bool)
+        if before >= 0 or resumed:  # back by about the overlap, but never to the begin of the piece before
+            near = np.arange(int(np.searchsorted(count, count[at] - overlap - overlap // 4, "left")), at)
+            near = near[near > before]
+            if len(near):
+                begin = int(near[np.argmin(np.abs(count[near] - (count[at] - overlap)) + overlap * (1 - safe[near]))])
+        most = max(at + 1, min(last, int(np.searchsorted(count, count[begin] + limit + 8, "right")) - 1))
+        while True:
+            exact = bool(safe[begin]) and bool(safe[most])
+            size = int(closed[most] - count[begin]) if exact else recount(begin, most)
+            if size <= limit:
+                if most == last:
+                    break
+                least = max(at + 1, int(np.searchsorted(count, count[begin] + int(0.6 * limit), "left")))
+                window = level[least : most + 1] * 2 + safe[least : most + 1]
+                end = least + len(window) - 1 - int(np.argmax(window[::-1])) if len(window) else most
+                tokens_of = int(closed[end] - count[begin]) if safe[begin] and safe[end] else recount(begin, end)
+                if tokens_of <= limit:
+                    most, size = end, tokens_of
+                    break
+            if most > at + 1:
+                most -= 1
+            elif begin < at:  # rather less overlap
+                begin += 1
+                most = max(at + 1, min(last, int(np.searchsorted(count, count[begin] + limit + 8, "right")) - 1))
+            else:
+                raise ValueError("two boundaries further apart than the limit")
+        yield begin, most, size
+        at, before = most, begin
+
+
+def _tables(limit: int, overlap: int, size: int, block: int, folder: str, file: str):
+    """Ranges of whole texts over the limit."""
 
-    return over
-
-
-def _tables(overlap: int, folder: str, file: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            out = []
-            for i, n, before, own, after in zip(rows["id"], rows["range"], rows["before"], rows["own"], rows["after"]):
-                lo, hi = len(before), len(before) + len(own)
-                place, level, count = boundaries(before + own + after, lo, hi, overlap // 2, folder, file)
-                out.append((i, n, len(own), int(count[-1]), (place - lo).tolist(), level.tolist(), count.tolist()))
-            yield pd.DataFrame(out, columns=["id", "range", "chars", "total", "place", "level", "count"])
+            out: list[tuple] = []
+            for row, i, text in zip(rows["row"], rows["id"], rows["text"]):
+                edges = sorted({0, *(edge(text, p) for p in range(size, len(text), size)), len(text)})
+                own = []
+                for n, (lo, hi) in enumerate(zip(edges, edges[1:])):
+                    around = max(0, lo - HALO)
+                    bounds, total = boundaries(text[around : hi + HALO], lo - around, hi - around, overlap // 2, folder, file)
+                    own.append((row, i, n, n // block, hi == len(text), text[lo:hi], total, bounds.tobytes()))
+                if sum(r[6] for r in own) > limit:
+                    out += own
+            yield pd.DataFrame(out, columns=["row", "id", "range", "block", "last", "own", "total", "bounds"])
 
     return run
 
 
-def _plan(limit: int, overlap: int, size: int, margin: int):
-    def planned(i: int, block: int, rows: pd.DataFrame) -> Iterator[tuple]:
-        char0, token0 = rows["char0"].tolist(), rows["token0"].tolist()
-        place = np.concatenate([[char0[0]], *[np.asarray(p, np.int64) + c for p, c in zip(rows["place"], char0)]])
-        level = np.concatenate([np.zeros(1, np.int8), *[np.asarray(x, np.int8) for x in rows["level"]]])
-        count = np.concatenate([[token0[0]], *[np.asarray(x, np.int64) + t for x, t in zip(rows["count"], token0)]])
-        numbers = rows["range"].to_numpy()
-        owner = np.concatenate([numbers[:1], np.repeat(numbers, [len(p) for p in rows["place"]])])
-        start = max(0, int(np.searchsorted(owner, block * size, "left")) - 1) if block else 0  # the last boundary of the block before
-        edges = [(int(n), c, c + int(w)) for n, c, w in zip(numbers, char0, rows["chars"])]
-        done = int(count[start])
-        for k, (a, b) in enumerate(cuts(level, count, limit, overlap, margin, start, bool(block))):
+def _strongest(bounds: np.ndarray) -> int:
+    """Where a block ends and the next one begins: the last of the strongest boundaries in the second half of the block's last range."""
+    level = bounds[1][len(bounds[1]) // 2 :] * 2 + bounds[4][len(bounds[1]) // 2 :]
+    return len(bounds[1]) - 1 - int(np.argmax(level[::-1]))
+
+
+def _emit(limit: int, overlap: int, size: int, folder: str, file: str, text: bool):
+    def planned(rows: pd.DataFrame) -> Iterator[tuple]:
+        head, rows = rows[rows["range"] < 0], rows[rows["range"] >= 0]
+        block, own = int(rows["block"].iloc[0]), rows["own"].tolist()
+        ends = np.cumsum([len(s) for s in own])
+        begins = ends - [len(s) for s in own]
+        tables = [np.frombuffer(b, np.int32).reshape(5, -1) for b in rows["bounds"]]
+        totals = np.cumsum([0, *rows["total"]])
+        parts = [t + np.array([[c], [0], [n], [n], [0]]) for t, c, n in zip(tables, begins, totals)]
+        bounds = np.concatenate([np.array([[0], [0], [0], [0], [1]]), *parts], axis=1)
+        halo = int(rows["range"].iloc[0]) < block * size
+        start = 1 + _strongest(tables[0]) if halo else 0
+        last = bounds.shape[1] - 1
+        if not rows["last"].iloc[-1]:  # the next block goes on at the same boundary
+            last -= tables[-1].shape[1] - 1 - _strongest(tables[-1])
+        place, joined = bounds[0], "".join(own)
+        first = (int(head["total"].iloc[0]) if len(head) else 0) - (int(ends[0]) if halo else 0)
+        number = int(head["chars"].iloc[0]) if len(head) and "chars" in head else 0
+        recount = lambda a, b: tokens.count(joined[place[a] : place[b]], folder, file)
+        done = start
+        for k, (a, b, n) in enumerate(cuts(bounds, limit, overlap, start, last, halo, recount)):
             p, q = int(place[a]), int(place[b])
-            parts = [{"range": n, "from": max(p, c) - c, "to": min(q, e) - c} for n, c, e in edges if c < q and e > p]
-            yield i, block, k, p, q, max(0, done - int(count[a])) if k or block else 0, parts
-            done = int(count[b])
+            yield int(rows["row"].iloc[0]), int(rows["id"].iloc[0]), block, number + k, first + p, first + q, n, int(bounds[2][done] - bounds[2][a]), joined[p:q] if text else None
+            done = b
+
+    def out(rows: pd.DataFrame) -> pd.DataFrame:
+        ids, blocks = rows["row"].to_numpy(), rows["block"].to_numpy()
+        at = [0, *(np.flatnonzero((ids[1:] != ids[:-1]) | (blocks[1:] != blocks[:-1])) + 1).tolist(), len(rows)]
+        return pd.DataFrame([x for a, b in zip(at, at[1:]) for x in planned(rows.iloc[a:b])], columns=["row", "id", "block", "piece", "begin", "end", "tokens", "overlap", "text"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Blocks lie one after the other, their ranges in order; one may go on in the next batch."""
         held = None
-
-        def out(rows: pd.DataFrame) -> pd.DataFrame:
-            ids, blocks = rows["id"].to_numpy(), rows["block"].to_numpy()
-            at = [0, *(np.flatnonzero((ids[1:] != ids[:-1]) | (blocks[1:] != blocks[:-1])) + 1).tolist(), len(rows)]
-            found = [x for a, b in zip(at, at[1:]) for x in planned(int(ids[a]), int(blocks[a]), rows.iloc[a:b])]
-            return pd.DataFrame(found, columns=["id", "block", "k", "begin", "end", "overlap", "parts"])
-
         for rows in batches:
             if not len(rows):
                 continue
             rows = rows if held is None else pd.concat([held, rows], ignore_index=True)
-            last = (rows["id"] == rows["id"].iloc[-1]) & (rows["block"] == rows["block"].iloc[-1])
+            last = (rows["row"] == rows["row"].iloc[-1]) & (rows["block"] == rows["block"].iloc[-1])
             held = rows[last]
             if not last.all():
                 yield out(rows[~last])
@@ -172,75 +237,70 @@ def _plan(limit: int, overlap: int, size: int, margin: int):
     return run
 
 
-def _long(ranges: DataFrame, limit: int, overlap: int, folder: str, file: str, sure: bool = False) -> DataFrame:
-    """Pieces of texts given as ranges (row, id, range, before, own, after), row telling texts apart; ``sure``: those of several ranges are over the limit."""
-    tables = written(ranges.withColumn("id", F.col("row")).mapInPandas(_tables(overlap, folder, file), "id bigint, range int, chars int, total int, place array<int>, level array<int>, count array<int>"), "boundaries")
-    earlier = Window.partitionBy("id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = tables.select("id", "range", "chars", "total")
-    sums = sums.select("id", "range", F.coalesce(F.sum("chars").over(earlier), F.lit(0)).alias("char0"), F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("token0"))
-    large = (F.col("all") > limit) | (F.lit(sure) & (F.col("ranges") > 1))
-    whole = sums.join(tables.groupBy("id").agg(F.sum("total").alias("all"), F.count("*").alias("ranges")).where(large).select("id"), "id")
-    stitched = tables.join(whole, ["id", "range"])
-    block = F.floor(F.col("range") / BLOCK).cast("int")
-
-    @F.pandas_udf(T.IntegerType())
-    def size(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: tokens.count(t, folder, file)).astype("int32")
-
-    out = None
-    for margin in MARGINS:
-        own = stitched.withColumn("block", block)
-        halo = stitched.where(F.col("range") % BLOCK == BLOCK - 1).withColumn("block", block + 1)
-        halo = halo.join(own.select("id", "block").distinct(), ["id", "block"], "left_semi").select(own.columns)
-        planned = own.unionByName(halo).repartition("id", "block").sortWithinPartitions("id", "block", "range").mapInPandas(
-            _plan(limit, overlap, BLOCK, margin), "id bigint, block int, k int, begin bigint, end bigint, overlap int, parts array<struct<range:int,from:int,to:int>>"
-        )
-        planned = written(planned, "plan")
-        numbers = planned.groupBy("id", "block").agg(F.count("*").alias("n"))
-        numbers = numbers.select("id", "block", F.coalesce(F.sum("n").over(Window.partitionBy("id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("n0"))
-        parts = planned.join(numbers, ["id", "block"]).select(F.col("id").alias("row"), (F.col("n0") + F.col("k")).cast("int").alias("piece"), "begin", "end", "overlap", F.explode("parts").alias("p"))
-        texts = parts.select("row", "piece", "begin", "end", "overlap", F.col("p.range").alias("range"), "p").join(ranges.select("row", "id", "range", "own"), ["row", "range"])
-        texts = texts.withColumn("t", F.substring("own", F.col("p.from") + 1, F.col("p.to") - F.col("p.from")))
-        joined = texts.groupBy("row", "id", "piece", "begin", "end", "overlap").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("range", "t"))), lambda x: x["t"]), "").alias("text"))
-        pieces = written(joined.select("row", "id", "piece", "begin", "end", size("text").alias("tokens"), "overlap", "text"), "pieces")
-        bad = pieces.where(F.col("tokens") > limit).select("row").distinct()
-        done = pieces.join(bad, "row", "left_anti").drop("row")
-        out = done if out is None else out.unionByName(done)
-        if bad.isEmpty():
-            return out
-        stitched = stitched.join(bad.select(F.col("row").alias("id")), "id", "left_semi")
-    raise ValueError("a piece stays over the limit with every margin")
+def _pieces(ranges: DataFrame, limit: int, overlap: int, size: int, folder: str, file: str) -> DataFrame:
+    """Pieces of the texts given as a written table of ranges, ``row`` telling texts apart.
+
+    The sums before a block travel as a row of their own with the block's ranges, so the text is shuffled once, by row and block.
+    """
+    ranges = ranges.withColumn("chars", F.lit(0).cast("bigint"))
+    halo = ranges.where(~F.col("last") & (F.col("range") % size == size - 1)).withColumn("block", F.col("block") + 1)
+    earlier = Window.partitionBy("row").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    order = lambda rows: rows.repartition("row", "block").sortWithinPartitions("row", "block", "range")
+    emit = lambda rows, text: order(rows).mapInPandas(_emit(limit, overlap, size, folder, file, text), "row bigint, id bigint, block int, piece int, begin bigint, end bigint, tokens int, overlap int, text string")
+    every = ranges.unionByName(halo).withColumn("total", F.col("total").cast("bigint"))
+    long = ranges.where("block > 0").select("row").distinct()
+    if not long.isEmpty():  # texts of several blocks need the characters and pieces before each
+        several = ranges.join(long, "row", "left_semi")
+        counts = emit(every.join(long, "row", "left_semi"), False).groupBy("row", "block").agg(F.count("*").alias("n"))
+        sums = several.groupBy("row", "block").agg(F.sum(F.length("own")).alias("c")).join(counts, ["row", "block"], "left")
+        before = lambda c: F.coalesce(F.sum(F.coalesce(c, F.lit(0))).over(earlier), F.lit(0))
+        head = sums.select("row", F.lit(0).cast("bigint").alias("id"), F.lit(-1).alias("range"), "block", F.lit(False).alias("last"), F.lit("").alias("own"), before(F.col("c")).alias("total"), F.lit(None).cast("binary").alias("bounds"), before(F.col("n")).alias("chars"))
+        every = every.unionByName(head)
+    return emit(every, True).select("id", "piece", "begin", "end", "tokens", "overlap", "text")
 
 
 def split(df: DataFrame, key: str, text: str, *, limit: int = LIMIT, overlap: int = OVERLAP, range_chars: int = RANGE, folder: str = tokens.FOLDER, file: str = tokens.FILE) -> DataFrame:
     """(id, piece, begin, end, tokens, overlap, text) of the texts of more than ``limit`` tokens; begin and end in characters."""
-    rows = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull() & F.col("id").isNotNull())
-    rows = rows.where((F.octet_length("text") > limit) & F.when(F.length("text") > range_chars, _over(limit, folder, file)("text")).otherwise(True))
-    n = F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / range_chars).cast("int"))).alias("range")
-    at = F.col("range") * range_chars
-    ranges = rows.withColumn("row", F.monotonically_increasing_id()).select("row", "id", "text", n).select(
-        "row", "id", "range", F.when(at > 0, F.substring("text", F.greatest(at - HALO, F.lit(0)) + 1, F.least(at, F.lit(HALO)))).otherwise("").alias("before"), F.substring("text", at + 1, F.lit(range_chars)).alias("own"), F.substring("text", at + range_chars + 1, F.lit(HALO)).alias("after")
-    )
-    return _long(written(ranges, "ranges"), limit, overlap, folder, file, sure=True)
-
-
-def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for rows in batches:
-        out = []
-        for i, path, n, a, b in zip(rows["id"], rows["path"], rows["range"], rows["a"], rows["b"]):
-            with open(path, "rb") as f:
-                first = max(0, a - 4 * HALO)
-                f.seek(first)
-                raw = f.read(b - first + 4 * HALO)
-            cut = lambda p: next((q for q in range(p, min(p + 4, len(raw))) if raw[q] & 0xC0 != 0x80), min(p, len(raw)))
-            x, y = cut(a - first), cut(min(b - first, len(raw)))
-            out.append((i, n, raw[:x].decode("utf-8", "ignore")[-HALO:], raw[x:y].decode("utf-8", "replace"), raw[y:].decode("utf-8", "ignore")[:HALO]))
-        yield pd.DataFrame(out, columns=["id", "range", "before", "own", "after"])
+    rows = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & (F.octet_length("text") > limit))
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "id", "text")
+    return _pieces(written(rows.mapInPandas(_tables(limit, overlap, range_chars, BLOCK, folder, file), _RANGES), "ranges"), limit, overlap, BLOCK, folder, file)
+
+
+def _read(limit: int, overlap: int, block: int, folder: str, file: str):
+    """Ranges of files: each reads its bytes with a halo on both sides through the file system of the path."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        open_systems: dict[str, tuple] = {}
+        for rows in batches:
+            out = []
+            for i, path, length, n, a, b in zip(rows["id"], rows["path"], rows["length"], rows["range"], rows["a"], rows["b"]):
+                if path not in open_systems:
+                    open_systems = {path: fs.FileSystem.from_uri(path)}
+                system, place = open_systems[path]
+                with system.open_input_file(place) as f:
+                    first = max(0, a - 8 * HALO)
+                    raw = f.read_at(min(length, b + 8 * HALO) - first, first)
+                cut = lambda p: next((q for q in range(p, min(p + 4, len(raw))) if raw[q] & 0xC0 != 0x80), len(raw)) if p < len(raw) else len(raw)  # noqa: B023, E731
+                before, own, after = raw[: cut(a - first)].decode("utf-8", "ignore")[-HALO:] if a else "", raw[cut(a - first) : cut(b - first)].decode("utf-8", "replace"), raw[cut(b - first) :].decode("utf-8", "replace")[: 2 * HALO] if b < length else ""
+                text = before + own + after
+                lo = edge(text, len(before)) if a else 0
+                hi = edge(text, len(before) + len(own)) if b < length else len(text)
+                bounds, total = boundaries(text[: hi + HALO], lo, hi, overlap // 2, folder, file)
+                out.append((i, i, n, n // block, b >= length, text[lo:hi], total, bounds.tobytes()))
+            yield pd.DataFrame(out, columns=["row", "id", "range", "block", "last", "own", "total", "bounds"])
+
+    return run
 
 
 def split_files(spark: SparkSession, folder: str, *, limit: int = LIMIT, overlap: int = OVERLAP, range_bytes: int = 4 * RANGE, tokenizer_folder: str = tokens.FOLDER, tokenizer: str = tokens.FILE) -> DataFrame:
-    """Pieces of the UTF-8 files of a shared folder, read by byte ranges; id is the hash of the path."""
-    files = spark.read.format("binaryFile").load(folder).select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "length").where("length > 0")
-    n = F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / range_bytes).cast("int"))).alias("range")
-    ranges = files.select(F.xxhash64("path").alias("id"), "path", "length", n).withColumn("a", F.col("range") * range_bytes).withColumn("b", F.least(F.col("length"), F.col("a") + range_bytes))
-    return _long(ranges.mapInPandas(_read, "id bigint, range int, before string, own string, after string").withColumn("row", F.col("id")), limit, overlap, tokenizer_folder, tokenizer)
+    """Pieces of the UTF-8 files of a shared folder, read by byte ranges; id is the hash of the path.  Ranges have at least 1,024 bytes."""
+    files = spark.read.format("binaryFile").load(folder).select(F.regexp_replace("path", "^file:/+", "file:///").alias("path"), "length").where("length > 0")
+    step = max(1024, range_bytes)
+    n = F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / step).cast("int"))).alias("range")
+    ranges = files.select(F.xxhash64("path").alias("id"), "path", "length", n).withColumn("a", F.col("range").cast("bigint") * step).withColumn("b", F.least(F.col("length"), F.col("a") + step))
+    # ranges of a file over all tasks
+    tables = written(ranges.repartition("id", "range").mapInPandas(_read(limit, overlap, BLOCK, tokenizer_folder, tokenizer), _RANGES), "ranges")
+    large = tables.groupBy("row").agg(F.sum("total").alias("all")).where(F.col("all") > limit).select("row")
+    return _pieces(tables.join(large, "row", "left_semi"), limit, overlap, BLOCK, tokenizer_folder, tokenizer)

@@ -230,14 +230,23 @@ def test_split(spark, range_chars, monkeypatch):
         assert all(20 <= r["overlap"] <= 110 for r in rows[1:]), (i, [(r["piece"], r["begin"], r["end"], r["overlap"], r["tokens"]) for r in rows if not 20 <= r["overlap"] <= 110])
 
 
-def test_split_in_ranges_checks_pieces_and_keeps_repeated_rows(spark, monkeypatch):
-    monkeypatch.setattr(pieces, "MARGINS", (-40, 24, 64))
+def test_split_counts_pieces_exactly_and_keeps_repeated_rows(spark):
     rng = random.Random(11)
-    text = "。".join("".join(rng.choices("门店反馈称颈部厚度读数平均持续", k=20)) for _ in range(900)) + "。"
+    text = "".join(rng.choice(["。", "，", "\n", "\n\n", " ", ". ", "it's ", "’", "  \n ", "“", "7"]) + "".join(rng.choices("门店反馈称颈部abcde", k=rng.randint(1, 30))) for _ in range(3000))
     df = spark.createDataFrame([(1, text), (1, text)], "id bigint, text string")
-    got = pieces.split(df, "id", "text").orderBy("piece").collect()
+    got = pieces.split(df, "id", "text", range_chars=900).orderBy("piece").collect()
     whole(got[::2], text, 512)
-    assert got[::2] == got[1::2]
+    assert got[::2] == got[1::2] and all(r["tokens"] == tokens.count(r["text"]) for r in got)
+    assert sum(r["tokens"] for r in got[::2]) > 0.75 * 512 * (len(got) // 2 - 1)
+
+
+def test_ranges_yield_all_pieces(spark, monkeypatch):
+    """Without the tables of the ranges there are no pieces: no text goes another way."""
+    text = "门店反馈称，颈部的厚度读数平均持续七周。" * 200
+    monkeypatch.setattr(pieces, "boundaries", lambda *a: (pieces.np.zeros((5, 0), "int32"), 0))
+    df = spark.createDataFrame([(1, text)], "id bigint, text string")
+    ranges = pieces._tables(512, 64, 4096, 64, tokens.FOLDER, tokens.FILE)
+    assert not sum(map(len, ranges(iter([df.selectExpr("0 as row", "id", "text").toPandas()]))))
 
 
 def test_split_files(spark, tmp_path):
