@@ -84,6 +84,7 @@ class Block:
         self.column = (self.vocabulary * np.uint32(2654435761) >> np.uint32(19)).astype(np.int64)
         self.weight = np.ones(len(self.vocabulary), np.float32)
         self.basis = np.zeros((0, COLUMNS))
+        self._known: dict[int, np.ndarray] = {}
         self.runs: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for k in self.sizes:
             own = [(n, run_hashes(s, [k])[k]) for n, (_, size, s, _) in enumerate(self.cases) if size == k]
@@ -115,6 +116,13 @@ class Block:
         norm = np.sqrt(np.bincount(rows, values**2, len(size)))
         return rows, self.column[each], values / np.maximum(norm, 1e-9)[rows]
 
+    def known(self, k: int) -> np.ndarray:
+        """Of run hashes of size ``k``, by their leading bits, whether a reference has one."""
+        if k not in self._known:
+            self._known[k] = np.zeros(1 << _BITS, bool)
+            self._known[k][self.runs[k][0] >> np.uint64(64 - _BITS)] = True
+        return self._known[k]
+
     @cached_property
     def table(self) -> np.ndarray:
         """Of each run of the vocabulary, its weighted place in the latent space."""
@@ -236,9 +244,9 @@ def candidates(block: Block, queries: np.ndarray, begin: np.ndarray, end: np.nda
     """(passage, reference window) pairs of at least the cosine, in the order of the passages."""
     passages, windows = [], []
     for first in range(0, len(begin), 2048):
-        hit, window = np.nonzero(block.latent(n, begin[first : first + 2048], end[first : first + 2048]) @ queries.T >= least_cosine)
-        passages.append(hit + first)
-        windows.append(window)
+        close = np.flatnonzero(block.latent(n, begin[first : first + 2048], end[first : first + 2048]) @ queries.T >= least_cosine)
+        passages.append(close // len(queries) + first)
+        windows.append(close % len(queries))
     none = np.zeros(0, np.int64)
     return np.concatenate([none, *passages]), np.concatenate([none, *windows])
 
@@ -248,32 +256,30 @@ def _exact(block: Block, texts: list[str], owner: np.ndarray, place: np.ndarray,
     found: set[tuple[int, int]] = set()
     size, half = np.fromiter(map(len, texts), np.int64, len(texts)), WINDOW // 2
     end = np.cumsum(size)
-    begin = end - size
-    pairs = np.unique(((begin + np.arange(len(texts)))[owner[passage]] + place[passage] // half) << 20 | case)  # of a pass, fewer cases than 2^20
-    known = set(pairs.tolist())
+    starts = (end - size)[owner] + place  # of all passages, ascending
+    edges = np.searchsorted(passage, np.arange(len(owner) + 1))
+    own = starts[np.diff(edges) > 0]
     joined = "".join(texts)
     hashes = run_hashes(joined, block.sizes)
-    starts = np.unique(begin[owner[passage]] + place[passage])
     for k in block.sizes:
-        near = np.zeros(len(joined) + WINDOW + 1, np.int32)
-        np.add.at(near, np.maximum(starts - k + half, 0), 1)
-        np.add.at(near, starts + WINDOW - half + 1, -1)
+        n = len(joined) + WINDOW + 2
+        near = np.bincount(np.maximum(own - k + half, 0), minlength=n) - np.bincount(own + WINDOW - half + 1, minlength=n)
         h, (of_cases, numbers) = hashes[k], block.runs[k]
-        at = np.flatnonzero(np.cumsum(near)[: len(h)] > 0)
+        at = np.flatnonzero(np.cumsum(near)[: len(h)])
+        at = at[block.known(k)[h[at] >> np.uint64(64 - _BITS)]]
         i = np.searchsorted(of_cases, h[at])
         i[i == len(of_cases)] = 0
         same = of_cases[i] == h[at]
-        text = np.searchsorted(end, at[same], "right")
-        for p, t, i in zip(at[same].tolist(), text.tolist(), i[same].tolist()):
-            if p + k > end[t]:  # a run across two texts is none
-                continue
-            w = int(begin[t]) + t
-            over = range(max(0, (p - int(begin[t])) // half - 1), (p - int(begin[t]) + k) // half + 1)
-            while i < len(of_cases) and of_cases[i] == h[p]:
-                c = int(numbers[i])
-                if (t, c) not in found and any((w + x) << 20 | c in known for x in over) and joined[p : p + k] in block.cases[c][2]:
+        at, i = at[same], i[same]
+        text = np.searchsorted(end, at, "right")
+        first, last = edges[np.searchsorted(starts, np.maximum(at - WINDOW + 1, (end - size)[text]))], edges[np.searchsorted(starts, at + k)]
+        whole = at + k <= end[text]  # a run across two texts is none
+        for p, t, j, a, b in zip(at[whole].tolist(), text[whole].tolist(), i[whole].tolist(), first[whole].tolist(), last[whole].tolist()):
+            while j < len(of_cases) and of_cases[j] == h[p]:
+                c = int(numbers[j])
+                if (t, c) not in found and (case[a:b] == c).any() and joined[p : p + k] in block.cases[c][2]:
                     found.add((t, c))
-                i += 1
+                j += 1
     return found
 
 
