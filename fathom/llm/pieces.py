@@ -19,6 +19,7 @@ key, yield no pieces; a repeated row yields its pieces again.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,6 +36,7 @@ HEADING, PARAGRAPH, LINE, SENTENCE, CLAUSE, NONE = 5, 4, 3, 2, 1, 0
 _EDGE = re.compile(
     r"(?P<p>\n[ \t\r　]*\n\s*)|(?P<l>\r?\n)|(?P<s>[。！？｡]+[”\"'」』）)\]】»’]*|[.!?…]+[”\"'」』）)\]】»’]*(?=\s|$))|(?P<c>[，、；：]|[,;:](?=\s))"
 )
+_SIGN = re.compile("[\n\r。！？｡.!?…，、；：,;:]")
 _HEAD = re.compile(r"[ \t　]*(?:#{1,6}\s|【|第[一二三四五六七八九十\d]+[章节]|[一二三四五六七八九十]+、|STEP\s?\d|\d+[.、]\s?\S{1,20}(?:\n|$))")
 PIECES = "id bigint, piece int, begin bigint, end bigint, tokens int, overlap int, text string"
 _RANGES = "row bigint, id bigint, range int, block int, last boolean, own string, total int, bounds binary"
@@ -67,14 +69,17 @@ def _blank(white: str, folder: str, file: str) -> int:
     return tokens.count(white, folder, file)
 
 
-def boundaries(text: str, lo: int, hi: int, step: int, folder: str, file: str) -> tuple[np.ndarray, int]:
-    """Table of the range text[lo:hi], and its tokens.
+def boundaries(text: str, lo: int, hi: int, step: int, folder: str, file: str, ids: list[int] | None = None) -> tuple[np.ndarray, int]:
+    """Table of the range text[lo:hi], and how many tokens it has (``ids``, where they are known).
 
     Columns: places in (lo, hi], relative to lo; their strengths; tokens up to there; tokens up to there if the text ended there; whether
     the pattern splits there.  Boundaries are never further apart than about ``step`` tokens.
     """
-    place, level = [], []
-    for m in _EDGE.finditer(text, max(0, lo - HALO)):  # an edge may begin in the halo
+    place, level, p = [], [], max(0, lo - HALO)  # an edge may begin in the halo
+    while (sign := _SIGN.search(text, p)) is not None:
+        p = sign.end()
+        if (m := _EDGE.match(text, p - 1)) is None:
+            continue
         p = m.end()
         if p <= lo:
             continue
@@ -94,7 +99,7 @@ def boundaries(text: str, lo: int, hi: int, step: int, folder: str, file: str) -
     codes = np.frombuffer(own.encode("utf-32-le", "surrogatepass"), "<u4")
     width = np.concatenate([[0], np.cumsum(1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF))])
     encoder, size = tokens.encoding(folder, file)
-    ends = np.cumsum(size[encoder.encode_ordinary(own)])
+    ends = np.cumsum(size[encoder.encode_ordinary(own) if ids is None else ids])
     upto = lambda p: np.searchsorted(ends, width[p - lo], "left") + (p > lo)
     place, level = np.array(place, np.int64), np.array(level, np.int64)
     count = upto(place)
@@ -113,13 +118,15 @@ def boundaries(text: str, lo: int, hi: int, step: int, folder: str, file: str) -
         order = np.argsort(np.concatenate([place, extra]), kind="stable")
         place, level = np.concatenate([place, extra])[order], np.concatenate([level, np.zeros(len(extra), np.int64)])[order]
         count = upto(place)
+    white = [(i, p) for i, p in enumerate(place.tolist()) if text[p - 1].isspace()]
+    starts = []
+    for _, p in white:  # white space at the end of a text is one piece of the pattern
+        while p > lo and text[p - 1].isspace():
+            p -= 1
+        starts.append(p)
     closed = count.copy()
-    for i, p in enumerate(place.tolist()):
-        if text[p - 1].isspace():  # white space at the end of a text is one piece of the pattern
-            q = p
-            while q > lo and text[q - 1].isspace():
-                q -= 1
-            closed[i] = upto(np.int64(q)) + _blank(text[q:p], folder, file)
+    if white:
+        closed[[i for i, _ in white]] = upto(np.array(starts, np.int64)) + [_blank(text[q:p], folder, file) for q, (_, p) in zip(starts, white)]
     safe = np.array([p == len(text) or splits(text, p) for p in place.tolist()], np.int64)
     return np.stack([place - lo, level, count, closed, safe]).astype(np.int32), len(ends)
 
@@ -130,34 +137,33 @@ def cuts(bounds: np.ndarray, limit: int, overlap: int, start: int, last: int, re
     ``bounds``: places, strengths, tokens, tokens if ended there, whether the pattern splits; a plan that is ``resumed`` repeats what stands
     before ``start``.  ``recount`` tells the tokens between two boundaries, where their difference is not exact.
     """
-    _, level, count, closed, safe = bounds
+    _, level, count, closed, safe = bounds.tolist()
+    rank = [2 * a + b for a, b in zip(level, safe)]
     at, before = start, -1
+    furthest = lambda begin, at: max(at + 1, min(last, bisect_right(count, count[begin] + limit + 8) - 1))
+    size_of = lambda a, b: closed[b] - count[a] if safe[a] and safe[b] else recount(a, b)
     while at < last:
         begin = at
         if before >= 0 or resumed:  # back by about the overlap, but never to the begin of the piece before
-            near = np.arange(int(np.searchsorted(count, count[at] - overlap - overlap // 4, "left")), at)
-            near = near[near > before]
-            if len(near):
-                begin = int(near[np.argmin(np.abs(count[near] - (count[at] - overlap)) + overlap * (1 - safe[near]))])
-        most = max(at + 1, min(last, int(np.searchsorted(count, count[begin] + limit + 8, "right")) - 1))
+            wanted = count[at] - overlap
+            near = range(max(before + 1, bisect_left(count, wanted - overlap // 4)), at)
+            begin = min(near, key=lambda i: abs(count[i] - wanted) + overlap * (1 - safe[i]), default=at)  # noqa: B023
+        most = furthest(begin, at)
         while True:
-            exact = bool(safe[begin]) and bool(safe[most])
-            size = int(closed[most] - count[begin]) if exact else recount(begin, most)
+            size = size_of(begin, most)
             if size <= limit:
                 if most == last:
                     break
-                least = max(at + 1, int(np.searchsorted(count, count[begin] + int(0.6 * limit), "left")))
-                window = level[least : most + 1] * 2 + safe[least : most + 1]
-                end = least + len(window) - 1 - int(np.argmax(window[::-1])) if len(window) else most
-                tokens_of = int(closed[end] - count[begin]) if safe[begin] and safe[end] else recount(begin, end)
-                if tokens_of <= limit:
-                    most, size = end, tokens_of
+                least = max(at + 1, bisect_left(count, count[begin] + int(0.6 * limit)))
+                end = max(range(least, most + 1), key=lambda i: (rank[i], i), default=most)
+                if (own := size_of(begin, end)) <= limit:
+                    most, size = end, own
                     break
             if most > at + 1:
                 most -= 1
             elif begin < at:  # rather less overlap
                 begin += 1
-                most = max(at + 1, min(last, int(np.searchsorted(count, count[begin] + limit + 8, "right")) - 1))
+                most = furthest(begin, at)
             else:
                 raise ValueError("two boundaries further apart than the limit")
         yield begin, most, size
@@ -168,17 +174,18 @@ def _tables(limit: int, overlap: int, size: int, block: int, folder: str, file:
     """Ranges of whole texts over the limit."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encoder = tokens.encoding(folder, file)[0]
         for rows in batches:
             out: list[tuple] = []
             for row, i, text in zip(rows["row"], rows["id"], rows["text"]):
                 edges = sorted({0, *(edge(text, p) for p in range(size, len(text), size)), len(text)})
-                own = []
-                for n, (lo, hi) in enumerate(zip(edges, edges[1:])):
+                own = [encoder.encode_ordinary(text[lo:hi]) for lo, hi in zip(edges, edges[1:])]
+                if sum(map(len, own)) <= limit:
+                    continue
+                for n, (lo, hi, ids) in enumerate(zip(edges, edges[1:], own)):
                     around = max(0, lo - HALO)
-                    bounds, total = boundaries(text[around : hi + HALO], lo - around, hi - around, overlap // 2, folder, file)
-                    own.append((row, i, n, n // block, hi == len(text), text[lo:hi], total, bounds.tobytes()))
-                if sum(r[6] for r in own) > limit:
-                    out += own
+                    bounds, total = boundaries(text[around : hi + HALO], lo - around, hi - around, overlap // 2, folder, file, ids)
+                    out.append((row, i, n, n // block, hi == len(text), text[lo:hi], total, bounds.tobytes()))
             yield pd.DataFrame(out, columns=["row", "id", "range", "block", "last", "own", "total", "bounds"])
 
     return run
@@ -191,34 +198,37 @@ def _strongest(bounds: np.ndarray) -> int:
 
 
 def _emit(limit: int, overlap: int, size: int, folder: str, file: str, text: bool):
-    def planned(rows: pd.DataFrame) -> Iterator[tuple]:
-        head, rows = rows[rows["range"] < 0], rows[rows["range"] >= 0]
-        block, own = int(rows["block"].iloc[0]), rows["own"].tolist()
-        ends = np.cumsum([len(s) for s in own])
-        begins = ends - [len(s) for s in own]
+    def planned(rows: dict[str, list]) -> Iterator[tuple]:
+        chars0 = number = 0
+        if rows["range"][0] < 0:  # the sums before the block
+            chars0, number = int(rows["total"][0]), int(rows["chars"][0])
+            rows = {k: v[1:] for k, v in rows.items()}
+        block, own = rows["block"][0], rows["own"]
         tables = [np.frombuffer(b, np.int32).reshape(5, -1) for b in rows["bounds"]]
-        totals = np.cumsum([0, *rows["total"]])
+        begins = np.cumsum([0, *map(len, own)]).tolist()
+        totals = np.cumsum([0, *rows["total"]]).tolist()
         parts = [t + np.array([[c], [0], [n], [n], [0]]) for t, c, n in zip(tables, begins, totals)]
         bounds = np.concatenate([np.array([[0], [0], [0], [0], [1]]), *parts], axis=1)
-        halo = int(rows["range"].iloc[0]) < block * size
+        halo = rows["range"][0] < block * size
         start = 1 + _strongest(tables[0]) if halo else 0
         last = bounds.shape[1] - 1
-        if not rows["last"].iloc[-1]:  # the next block goes on at the same boundary
+        if not rows["last"][-1]:  # the next block goes on at the same boundary
             last -= tables[-1].shape[1] - 1 - _strongest(tables[-1])
-        place, joined = bounds[0], "".join(own)
-        first = (int(head["total"].iloc[0]) if len(head) else 0) - (int(ends[0]) if halo else 0)
-        number = int(head["chars"].iloc[0]) if len(head) and "chars" in head else 0
+        place, count, joined = bounds[0].tolist(), bounds[2].tolist(), "".join(own)
+        first = chars0 - (begins[1] if halo else 0)
         recount = lambda a, b: tokens.count(joined[place[a] : place[b]], folder, file)
         done = start
         for k, (a, b, n) in enumerate(cuts(bounds, limit, overlap, start, last, halo, recount)):
-            p, q = int(place[a]), int(place[b])
-            yield int(rows["row"].iloc[0]), int(rows["id"].iloc[0]), block, number + k, first + p, first + q, n, int(bounds[2][done] - bounds[2][a]), joined[p:q] if text else None
+            p, q = place[a], place[b]
+            yield rows["row"][0], rows["id"][0], block, number + k, first + p, first + q, n, count[done] - count[a], joined[p:q] if text else None
             done = b
 
     def out(rows: pd.DataFrame) -> pd.DataFrame:
         ids, blocks = rows["row"].to_numpy(), rows["block"].to_numpy()
         at = [0, *(np.flatnonzero((ids[1:] != ids[:-1]) | (blocks[1:] != blocks[:-1])) + 1).tolist(), len(rows)]
-        return pd.DataFrame([x for a, b in zip(at, at[1:]) for x in planned(rows.iloc[a:b])], columns=["row", "id", "block", "piece", "begin", "end", "tokens", "overlap", "text"])
+        columns = {c: rows[c].tolist() for c in rows.columns}
+        pieces = [x for a, b in zip(at, at[1:]) for x in planned({c: v[a:b] for c, v in columns.items()})]
+        return pd.DataFrame(pieces, columns=["row", "id", "block", "piece", "begin", "end", "tokens", "overlap", "text"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Blocks lie one after the other, their ranges in order; one may go on in the next batch."""

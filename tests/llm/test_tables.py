@@ -243,10 +243,11 @@ def test_split_counts_pieces_exactly_and_keeps_repeated_rows(spark):
 def test_ranges_yield_all_pieces(spark, monkeypatch):
     """Without the tables of the ranges there are no pieces: no text goes another way."""
     text = "门店反馈称，颈部的厚度读数平均持续七周。" * 200
-    monkeypatch.setattr(pieces, "boundaries", lambda *a: (pieces.np.zeros((5, 0), "int32"), 0))
-    df = spark.createDataFrame([(1, text)], "id bigint, text string")
-    ranges = pieces._tables(512, 64, 4096, 64, tokens.FOLDER, tokens.FILE)
-    assert not sum(map(len, ranges(iter([df.selectExpr("0 as row", "id", "text").toPandas()]))))
+    df = spark.createDataFrame([(1, text), (2, "短。" * 60)], "id bigint, text string")
+    (ranges,) = pieces._tables(512, 64, 500, 64, tokens.FOLDER, tokens.FILE)(iter([df.selectExpr("id as row", "id", "text").toPandas()]))
+    assert set(ranges["id"]) == {1} and "".join(ranges["own"]) == text and len(ranges) == 8
+    monkeypatch.setattr(pieces, "_tables", lambda *a: lambda batches: (b[:0] for b in ()))
+    assert pieces.split(df, "id", "text").isEmpty()
 
 
 def test_split_files(spark, tmp_path):
