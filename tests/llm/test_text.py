@@ -123,6 +123,8 @@ FOUND = [
     ("手机142-2277-2210", {"phone"}),
     ("电话一五四零九八二一七八三", {"phone"}),
     ("Tel. +49 30 23125 094", {"phone"}),
+    ("das Paket geht an Am Kiefernhang 283", {"address"}),
+    ("am Tag 17, Betrag 20", set()),
     ("(0888)55503963随时可打", {"phone"}),
     ("热线400-704-1898已打过, 800-967-4872, 0800-7661635", set()),
     ("订单19875058673还没到", set()),
@@ -147,24 +149,73 @@ FOUND = [
 
 @pytest.mark.parametrize("text,kinds", FOUND)
 def test_personal_data(text, kinds):
-    known = privacy.Knowledge(set(), set())
-    assert {k for _, _, k in known.of(text)} == kinds
+    assert {k for _, _, k in privacy.Knowledge().of(text)} == kinds
 
 
 def test_spans_point_into_the_disguised_text():
     text = "手机１42-22\u200b77-2210，"
-    ((a, b, k),) = privacy.Knowledge(set(), set()).of(text)
+    ((a, b, k),) = privacy.Knowledge().of(text)
     assert k == "phone" and text[a:b] == "１42-22\u200b77-2210"
 
 
-def test_frames_are_learned_from_the_corpus(spark):
-    names = [f + g for f in "赵钱孙李周吴郑王冯陈" for g in ("晓静", "立", "宁雅", "桐")]
-    rows = [(i, f"顾问{n}接待，其余照旧") for i, n in enumerate(names)] + [(100 + i, "王者风范接待，其余照旧") for i in range(40)]
-    df = spark.createDataFrame(rows, "id bigint, q string")
-    found = {r["id"] for r in privacy.find(df, "id", ["q"]).where("pii_type = 'person_name'").collect()}
-    assert found == set(range(len(names)))
-    clean = {r["id"]: r["text"] for r in privacy.redact(df, "id", ["q"]).collect()}
-    assert clean[0] == "顾问[PERSON_NAME]接待，其余照旧" and clean[100] == rows[len(names)][1]
+NAMES = [f + g for f in "赵钱孙李周吴郑王冯陈" for g in ("晓静", "立", "宁雅", "桐", "明", "子涵", "文博", "芳")]
+CARRIED = [("顾问", "接待"), ("由", "护士跟进"), ("昨天约了", "来店里")]
+
+
+def log_of_names(spark, held=True):
+    """Texts with names in three sentences, half of them beside a phone number, and texts without."""
+    rows = [f"{a}{n}{b}，其余照旧" + (f"，电话1391234{i:02d}{j:02d}" if held and i % 2 else "") for j, (a, b) in enumerate(CARRIED) for i, n in enumerate(NAMES)]
+    rows += ["王者风范接待，其余照旧", "方法好，方便得很", "请在温水中化开"] * 300 + ["电话400-704-1898已打过"] * 20
+    return rows, spark.createDataFrame(list(enumerate(rows)), "id bigint, q string").repartition(3)
+
+
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_names_are_learned_and_the_rest_is_kept(spark, monkeypatch, most):
+    monkeypatch.setattr(privacy, "MOST_KEYS", most)  # sent to the tasks, or joined to the texts
+    rows, df = log_of_names(spark)
+    clean = {r["id"]: r["text"] for r in privacy.redact(df, "id", ["q"], seeds=False).collect()}
+    for i, text in enumerate(rows):
+        want = text
+        for a, b in CARRIED:
+            for n in NAMES:
+                want = want.replace(f"{a}{n}{b}", f"{a}[PERSON_NAME]{b}")
+        want = privacy.re.sub(r"1391234\d{4}", "[PHONE]", want)
+        assert clean[i] == want
+
+
+def test_names_need_co_occurrence(spark):
+    _, df = log_of_names(spark, held=False)
+    assert privacy.find(df, "id", ["q"], seeds=False).where("pii_type = 'person_name'").isEmpty()
+
+
+def test_western_names_by_information(spark):
+    first, last = "Alder Greer Orson Linnea Perrin Marlo".split(), "Hartlow Quillsby Ashcombe Drewitt Fallowby".split()
+    rows = [f"The chair by the door is for {a} {b}, call 212-555-01{i}{j}" for i, a in enumerate(first) for j, b in enumerate(last)]
+    rows += [f"We saw {a} {b} yesterday" for a, b in (("Alder", "Drewitt"), ("Marlo", "Ashcombe"))]
+    rows += [f"Batch {i} holds Delsoso Filler and Moanla Eye from Orlinn Biologics" for i in range(200)]
+    df = spark.createDataFrame(list(enumerate(rows)), "id bigint, q string")
+    found = {r["id"] for r in privacy.find(df, "id", ["q"], seeds=False).where("pii_type = 'person_name'").collect()}
+    assert found == set(range(32))
+
+
+@pytest.mark.parametrize("number", range(7))
+def test_pre_tests_hold_for_whatever_the_grammar_matches(number):
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    _, needed, pattern = privacy._GRAMMARS[number]
+
+    @settings(max_examples=150, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.from_regex(pattern))
+    def check(text):
+        if pattern.search(text):
+            assert needed(text, privacy._NUMBER.search(text))
+
+    check()
+
+
+def test_disguised_mail():
+    assert all({k for _, _, k in privacy.Knowledge().of(t)} == {"email"} for t in ("ke.lin（AT）mail.com", "ke.lin【AT】mail.com", "ke.lin ( at ) mail.com"))
 
 
 def test_garbled_column(spark):
@@ -172,14 +223,6 @@ def test_garbled_column(spark):
     assert [r[0] for r in df.select(garble.garbled(F.col("t"))).collect()] == [True, False, False]
 
 
-def test_rare_family_names_and_small_tables(spark):
-    from fathom.llm import privacy
-
-    for text in ("我叫曾小明", "谭嘉琪预约的", "联系人肖燕", "请找闫伟"):
-        assert [k for _, _, k in privacy.Knowledge(set(), set()).of(text)] == ["person_name"], text
-    names = ["曾小明", "侯文", "龙嘉琪", "黎平", "谭芳", "武小雨", "白雪", "温婷", "庄严明", "翟丽", "段伟", "肖燕"]
-    rows = [(f"前台留给{n}签收。",) for n in names] + [("请在温水中化开。",)] * 30
-    few = privacy.learn(spark.createDataFrame(rows, "t string"), "t")
-    many = privacy.learn(spark.createDataFrame(rows + [("按白天的用量减半。",)] * 500, "t string"), "t")
-    assert "前台留给□签收" in few.frames and few.frames == many.frames
-    assert not any("化开" in f for f in few.frames) and not few.of("请在温水中化开。")
+def test_rare_family_names(spark):
+    for text in ("我叫曾小明", "联系人肖燕", "本人闫伟", "姓名谭嘉琪"):
+        assert [k for _, _, k in privacy.Knowledge().of(text)] == ["person_name"], text
