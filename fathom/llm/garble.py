@@ -2,17 +2,22 @@
 
 The byte forms of a repertoire of characters are decoded with every other encoding
 beforehand; an Aho-Corasick automaton over all these sequences finds garbled spans in
-one pass, and only matched spans are replaced.  Encodings of several bytes per
-character, where one garbled character depends on its neighbours, are matched on the
-bytes of the suspicious run, cut to the stretch that scores best.
-
-Null and empty texts are never garbled; whole texts are read; work is per row, so the
-operator neither shuffles nor gathers anything.
+one pass, and only the runs around matched spans are replaced, by the pair that explains
+most.  Where one garbled character is one character again (letters of Western code pages,
+GBK read as another double-byte code), the images of all characters are listed beforehand
+too; there single characters are no proof, so a letter is replaced only in a place where it can't stand
+itself, and a stretch of Han characters only by the sum of its scores.  UTF-8 read as a double-byte code depends on
+the neighbours and is matched on the bytes of a suspicious run.  Runs that are ordinary Japanese, Korean or
+traditional Chinese are left alone.
+
+Rounds go on while something is replaced, for text garbled repeatedly.  Null and empty texts are never garbled; whole
+texts are read; work is per row, so the operator neither shuffles nor gathers anything.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 import pandas as pd
@@ -27,7 +32,10 @@ WESTERN = ["cp1252", "latin-1", "mac_roman", "cp437", "cp850"]
 # Letters outside ASCII of the Western languages handled.
 LETTERS = "äöüßÄÖÜéèêëàâçîïôùûœæñÉÈÊÀÂÇÎÔÛ"
 _CYR_LIKE = set("аеорсухіѕјһԁԛԝӏАВЕЗКМНОРСТУХІЅЈ")
-MAX_ROUNDS = 4
+# Accented letters of other Western languages, which stand in foreign words; words of one letter.
+FOREIGN, ALONE = "íóáúìòýëÏÌÍÙ", "àÀ"
+# The most frequent syllables of Korean.
+SYLLABLES = frozenset("이다는을를의가에하고은로도한지서자기사대나시어니습")
 
 
 def _decode(raw: bytes, enc: str) -> str | None:
@@ -100,8 +108,8 @@ def _bytes_of(enc: str) -> tuple[dict[int, str], re.Pattern]:
 _UTF8_CHAR = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|\xf0[\x90-\xbf][\x80-\xbf]{2}")
 
 
-def _undo(text: str, pair: str) -> str:
-    """Replaces what the pair can have garbled; all else stays."""
+def _undo(text: str, pair: str, spans: list[tuple[int, int]]) -> str:
+    """Replaces the matched spans, and what the pair can have garbled in one run with them; all else stays."""
     true, _, enc = pair.partition(">")
     table, runs = _bytes_of(enc)
 
@@ -127,7 +135,13 @@ def _undo(text: str, pair: str) -> str:
                 return run[:skip] + new + run[skip + len(body) :]
         return best
 
-    return runs.sub(utf8 if true == "utf-8" else gbk, text)
+    one, starts = utf8 if true == "utf-8" else gbk, sorted(a for a, _ in spans)
+
+    def matched(m: re.Match) -> str:
+        i = bisect_left(starts, m.start())
+        return one(m) if i < len(starts) and starts[i] < m.end() else m.group()
+
+    return runs.sub(matched, text)
 
 
 _HALF = re.compile("[\x80-\xad\xaf\xb3-\u02ff\u0391-\u03ff\u0402-\u04ff\u2020-\u25ff]|[\x80-\xff\u2010-\u201d]{2}")
@@ -151,8 +165,8 @@ def _by_sequences(text: str) -> str | None:
         ends = {a for a, _ in spans}
         if any(b in ends for _, b in spans):
             cover[pair] = len(linked) - 0.5
-    for best in sorted(cover, key=cover.get, reverse=True)[:3]:
-        new = _undo(text, best)
+    for best in sorted(cover, key=cover.get, reverse=True):
+        new = _undo(text, best, (utf if best in utf else gb)[best])
         if new != text:
             return new
     return None
@@ -213,27 +227,30 @@ def _utf8_as(run: str, enc: str) -> str | None:
     return "".join(parts) + run[done:] if parts else None
 
 
+@lru_cache(None)
+def _double_images(enc: str) -> dict[str, tuple[str, float]]:
+    """Of each character that GBK read as ``enc`` can give: the original, and how much likelier it is."""
+    known, common, out = _known(), _common(), {}
+    for a in range(0xA1, 0xF8):
+        for b in range(0xA1, 0xFF):
+            try:
+                r, c = bytes([a, b]).decode("gb2312"), bytes([a, b]).decode(enc)
+            except UnicodeError:
+                continue
+            if len(c) == 1:
+                gain = 1.0 if r in common else -0.7 if r in known else -4.0
+                out[c] = r, gain + (-1.5 if c in common else 0.7 if c in known else 2.0 if _HAN.match(c) else 5.0)
+    return out
+
+
 def _gbk_as(run: str, enc: str) -> str | None:
     """A run in which one stretch is GBK read as another double-byte encoding: the stretch of the best sum of scores."""
-    known, common, scores, new = _known(), _common(), [], []
-    for c in run:
-        try:
-            r = c.encode(enc).decode("gb2312")
-        except UnicodeError:
-            r = ""
-        if len(r) != 1:
-            scores.append(-6.0)
-            new.append(c)
-            continue
-        gain = 1.0 if r in common else -0.7 if r in known else -4.0
-        gain += -1.5 if c in common else 0.7 if c in known else 2.0 if _HAN.match(c) else 5.0
-        scores.append(gain)
-        new.append(r)
-    best, span, total, start, odd = 0.0, None, 0.0, 0, 0
-    for i, x in enumerate(scores):
+    known, common, images = _known(), _common(), _double_images(enc)
+    best, span, total, start = 0.0, None, 0.0, 0
+    for i, c in enumerate(run):
         if total <= 0:
             total, start = 0.0, i
-        total += x
+        total += images[c][1] if c in images else -6.0
         if total > best:
             best, span = total, (start, i + 1)
     if span is None or best < 5.5 or span[1] - span[0] < 3:
@@ -242,7 +259,46 @@ def _gbk_as(run: str, enc: str) -> str | None:
     if best < 7 and 2 * sum(c in common for c in run[a:b]) >= b - a:
         return None
     odd = sum(1 if _HAN.match(c) else 2 for c in run[a:b] if c not in known)
-    return run[:a] + "".join(new[a:b]) + run[b:] if odd >= (2 if best >= 7 else 1) else None
+    return run[:a] + "".join(images[c][0] if c in images else c for c in run[a:b]) + run[b:] if odd >= (2 if best >= 7 else 1) else None
+
+
+_KANA, _HANGUL = re.compile("[\u3041-\u309f]"), re.compile("[\uac00-\ud7a3]")
+# Signs that Chinese punctuation becomes in Big5: bopomofo and small forms.
+_BIG5_SIGNS = re.compile("[\u3105-\u3129\ufe50-\ufe6b]")
+
+
+def _is_other_script(text: str) -> bool:
+    """Ordinary Japanese (hiragana throughout), Korean (frequent syllables, hardly a Han character) or traditional Chinese (first
+    level of Big5 and ordinary punctuation); never a text with characters of simplified Chinese alone."""
+    han, hangul, kana = _HAN.findall(text), _HANGUL.findall(text), _KANA.findall(text)
+    if sum(c in _simplified() for c in han) >= 2 or _BIG5_SIGNS.search(text):
+        return False
+    if len(set(kana)) >= 2 and len(kana) >= 0.15 * (len(han) + len(kana)):
+        return True
+    if hangul:
+        return len(han) <= 0.1 * len(hangul) and sum(c in SYLLABLES for c in hangul) >= 0.12 * len(hangul)
+    return bool(han) and sum(c in _first_of_big5() for c in han) >= 0.95 * len(han)
+
+
+@lru_cache(1)
+def _simplified() -> frozenset[str]:
+    """First-level characters that neither Big5 nor the Japanese and Korean standards have."""
+
+    def foreign(c: str) -> bool:
+        for enc in ("big5", "euc_jp", "cp949"):
+            try:
+                c.encode(enc)
+                return True
+            except UnicodeError:
+                pass
+        return False
+
+    return frozenset(c for c in _common() if _HAN.match(c) and not foreign(c))
+
+
+@lru_cache(1)
+def _first_of_big5() -> frozenset[str]:
+    return frozenset(bytes([a, b]).decode("big5", "ignore") for a in range(0xA4, 0xC7) for b in [*range(0x40, 0x7F), *range(0xA1, 0xFF)]) - {""}
 
 
 _FOREIGN = re.compile("[\u3400-\u9fff\uac00-\ud7af\uff61-\uff9f]+[A-Za-z]?")
@@ -278,7 +334,7 @@ def _western_as(text: str) -> str | None:
 def _by_bytes(text: str) -> str | None:
     if _mostly_latin(text) and (new := _western_as(text)) is not None:
         return new
-    if not _suspicious().search(text):
+    if not _suspicious().search(text) or _is_other_script(text):
         return None
     changed, parts, at = False, [], 0
     for m in _RUN.finditer(text):
@@ -314,10 +370,16 @@ def _images() -> dict[str, dict[str, str]]:
 
 
 # Signs that stand next to letters in ordinary text, and letters of foreign words.
-_NEVER = set("ãÃåÅøØñÑﬁﬂ®™©²°·’‘“”–—…«»") | _CYR_LIKE
+_NEVER = set("µãÃåÅøØñÑﬁﬂ®™©²°·’‘“”–—…«»") | _CYR_LIKE
 _INNER = set("³¹´`¸×÷±§¶¡¿ªº¢£¥¤¦¬¯¨ˆ˜‰‹›†‡‚„•")
 
 
+def _out_of_place(c: str, left: str, right: str) -> bool:
+    """Whether an accented letter can't stand there: a capital within a word, or a small letter of no language handled."""
+    l, r = left.isascii() and left.isalpha(), right.isascii() and right.isalpha()
+    return bool(c.isupper() and l and left.islower() or c not in LETTERS and c.islower() and l and r)
+
+
 def _by_letters(text: str) -> str | None:
     """Single letters of one Western code page read in another, inside words."""
     best, top = None, 0
@@ -333,11 +395,11 @@ def _by_letters(text: str) -> str | None:
             l, r = left.isascii() and left.isalpha(), right.isascii() and right.isalpha()
             if c in _INNER:
                 n += l and r
-            elif c in LETTERS or c in "íóáúìòýëÏÌÍÙ":
-                odd = c.isupper() and l and left.islower() or c not in LETTERS and c.islower() and l and r
+            elif c in LETTERS or c in FOREIGN:
+                odd = _out_of_place(c, left, right)
                 n += odd
                 bad += not odd
-            elif l or r or (c in "└Ó" and (left + right).isspace()):
+            elif l or r or (table[c] in ALONE and (left + right).isspace()):
                 n += 1
         if n > top and n > bad:
             top, best = n, pair
@@ -345,8 +407,10 @@ def _by_letters(text: str) -> str | None:
         return None
     table, out = _images()[best], []
     for i, c in enumerate(text):
-        near = (text[i - 1 : i] + text[i + 1 : i + 2]).strip()
-        out.append(table[c] if c in table and (any(x.isascii() and x.isalpha() for x in near) or (not near and c not in _INNER)) else c)
+        left, right = text[i - 1 : i] if i else "", text[i + 1 : i + 2]
+        near = (left + right).strip()
+        able = c in table and (any(x.isascii() and x.isalpha() for x in near) or (not near and c not in _INNER))
+        out.append(table[c] if able and (c not in LETTERS and c not in FOREIGN or _out_of_place(c, left, right)) else c)
     return "".join(out)
 
 
@@ -382,12 +446,14 @@ def repair(text: str | None) -> str | None:
     if not text or text.isascii() or not _may_be_garbled(text):
         return None
     out, changed = text, False
-    for _ in range(MAX_ROUNDS):
+    seen = {text}
+    while True:
         new = _by_sequences(out)
         if new is None:
             new = _by_bytes(out)
-        if new is None or new == out:
+        if new is None or new in seen:
             break
+        seen.add(new)
         out, changed = new, True
     if not changed or _may_be_garbled(out):
         new = _by_letters(out)

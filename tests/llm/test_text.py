@@ -36,6 +36,35 @@ def test_ordinary_text_is_not_garbled(text):
     assert garble.repair(text) is None and not garble.is_garbled(text)
 
 
+@pytest.mark.parametrize(
+    "text",
+    ["これは普通の日本語の文章です。カタカナも含みます。", "한국어 텍스트는 정상입니다. 설명서를 참조하십시오.", "繁體中文說明書請參閱第三頁", "「東京都」ｱｲｳ", "5 µg/ml neben Müller™", "Größe 5 µm, Müller", "Señor Núñez, Åse Øster, Łódź, Dvořák", "Ünal Çelik İstanbul", "Ελληνικά γράμματα", "ein m³, 20 °C ±2, §5"],
+)
+def test_other_languages_are_left_alone(text):
+    assert garble.repair(text) is None and not garble.is_garbled(text)
+
+
+def test_only_matched_spans_are_replaced():
+    assert garble.repair("fŸr dich, schšn, Café") == "für dich, schön, Café"
+    assert garble.repair("5 µg neben " + "Größe".encode().decode("latin-1")) == "5 µg neben Größe"
+    text = "这里是 café、Ærø、Łódź 与 " + "外盒完好".encode().decode("cp1252", "ignore") + "。"
+    fixed = garble.repair(text)
+    assert fixed.startswith("这里是 café、Ærø、Łódź 与 ") and fixed.endswith("。")
+    for _ in range(6):  # garbled many times
+        text = "外盒完好".encode().decode("latin-1") if _ == 0 else text.encode().decode("latin-1")
+    assert garble.repair(text) == "外盒完好"
+
+
+def test_the_automaton_finds(monkeypatch):
+    garbled = "外盒".encode().decode("latin-1")
+    assert garble.is_garbled("正常的文字，" + garbled)
+    empty = garble.automaton().__class__()
+    empty.add_word("\x00", (1, ()))
+    empty.make_automaton()
+    monkeypatch.setattr(garble, "automaton", lambda: empty)
+    assert garble._by_sequences("正常的文字，" + garbled) is None
+
+
 def test_western_letters_as_double_bytes():
     assert garble.repair(DE.encode().decode("gbk", "ignore")) is not None
     assert garble.repair("rapport 脿 la version") == "rapport à la version"
