@@ -1,9 +1,13 @@
 """One consistent form of text: confusables skeleton, and the disguises that it undoes (problem 5).
 
 ``skeleton`` decomposes, replaces every character by its prototype and decomposes
-again; texts that look alike have equal skeletons.  ``consistent`` is the readable
-counterpart: it undoes the same disguises but keeps what is ordinary (Chinese
-punctuation, circled numbers, emoji joiners, Greek symbols, words of other scripts).
+again; texts that look alike have equal skeletons.  The prototypes of all characters are one table
+(``prototypes``): spaces, invisible characters, compatibility forms and radicals by rule, look-alike letters by script.
+The box holds no copy of the public table of confusables; ``more_prototypes`` reads one in its format.
+
+A skeleton also changes what is ordinary, so a place where it changes a text (``changes``) is judged: whether a text
+is disguised, and its readable form (``consistent``), come from the changes that are no ordinary
+use (Chinese punctuation, circled numbers, superscripts, emoji joiners, Greek symbols, words of other scripts).
 
 Null stays null, empty stays empty; both functions read whole texts.
 """
@@ -12,6 +16,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,7 +26,14 @@ from pyspark.sql import types as T
 
 # Letters of other scripts and the Latin letters they look like.
 CYRILLIC_LOOKALIKES = dict(zip("аеорсухіѕјһԁԛԝӏАВЕЗКМНОРСТУХІЅЈҮԌԚԜ", "aeopcyxisjhdqwlABE3KMHOPCTYXISJYGQW"))
-GREEK_LOOKALIKES = dict(zip("ονΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ovABEZHIKMNOPTYX"))
+GREEK_LOOKALIKES = dict(zip("ονριυΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ovpiuABEZHIKMNOPTYX"))
+OTHER_LOOKALIKES = dict(zip("օոսհցզյՕՍՏ" "ⲟⲣⲥⲞⲢⲤⲀⲂⲈⲎⲒⲔⲘⲚⲦⲬ" "ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏏᏒᏔᏕᏙᏚᏞᏟᏢᏦᏴ" "ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "onuhgqjOUS" "opcOPCABEHIKMNTX" "DRTAJEWMHGZbRWSVSLCPKB" "BPDTGKJCZFMNLSRVHWXYAEIOU"))
+# Latin letters of other languages and notations that look like plain ones in the skeleton.
+LATIN_LOOKALIKES = dict(zip("ıɑɡɩᴄᴏᴠᴡᴢꜱ", "iagicovwzs"))
+# Greek letters that look like Latin ones in the skeleton, but are symbols in ordinary text.
+GREEK_SYMBOLS = dict(zip("αγκστχ", "aykotx"))
+# ASCII characters that look like others.
+ASCII_LOOKALIKES = {"I": "l", "1": "l", "|": "l", "0": "O", "m": "rn"}
 # Radicals that Unicode gives no decomposition for.
 RADICALS = dict(zip("⺁⺇⺒⺝⺟⺠⺩⺷⻁⻄⻅⻆⻉⻋⻓⻔⻘⻙⻚⻛⻜⻝⻢⻣⻤⻥⻦⻨⻩⻬⻮⻰⻳", "厂几巳月母民王羊虎西见角贝车长门青韦页风飞食马骨鬼鱼鸟麦黄齐齿龙龟"))
 
@@ -31,21 +44,57 @@ _JOINER = f"(?<![{_EMOJI}\ufe0f])\u200d|\u200d(?![{_EMOJI}])|(?<![{_EMOJI}0-9#*]
 _RADICAL = "\u2e80-\u2fdf豈-\ufaff\U0002f800-\U0002fa1f"
 _LIGATURE = "ﬀ-ﬆ"
 _WIDE = "０-９Ａ-Ｚａ-ｚ"
-_OTHER = "Ͱ-ϿЀ-ԯ"
-
-_PLAIN = re.compile(f"[{_SPACES}{_INVISIBLE}{_RADICAL}{_LIGATURE}{_WIDE}\u0300-\u036f\u200d\ufe0f{_OTHER}]")
-_SIGN = re.compile(f"[{_SPACES}{_INVISIBLE}{_RADICAL}{_LIGATURE}{_WIDE}]|[^\\W\\d_][\u0300-\u036f]|{_JOINER}")
 _GONE = re.compile(f"[{_INVISIBLE}]|{_JOINER}")
-_LIKE = "".join(CYRILLIC_LOOKALIKES) + "".join(GREEK_LOOKALIKES)
-_WORD = re.compile("[A-Za-zÀ-ɏ\u0300-\u036fͰ-ϿЀ-ԯḀ-ỿ]+")
+_LETTERS = CYRILLIC_LOOKALIKES | GREEK_LOOKALIKES | OTHER_LOOKALIKES
+_LIKE = "".join(_LETTERS)
+_WORD = re.compile("[A-Za-zÀ-ɏ\u0300-\u036fͰ-ϿЀ-ԯԱ-ևᎠ-ᏽⲀ-ⳳꓐ-ꓽḀ-ỿ]+")
 _HAS_LIKE = re.compile(f"[{_LIKE}]")
 _LATIN = re.compile("[A-Za-zÀ-ɏḀ-ỿ]")
 _CYRILLIC_OWN = re.compile(f"(?![{_LIKE}])[Ѐ-ԯ]")
-_PROTOTYPE = {ord(k): v for k, v in (CYRILLIC_LOOKALIKES | GREEK_LOOKALIKES | RADICALS).items()}
-_TABLE = {ord(k): v for k, v in RADICALS.items()}
-_TABLE |= {c: " " for a, b in ((0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)) for c in range(a, b + 1)}
-_TABLE |= {c: chr(c - 0xFEE0) for a, b in ("０９", "ＡＺ", "ａｚ") for c in range(ord(a), ord(b) + 1)}
-_FOLDED = re.compile(f"[{_RADICAL}{_LIGATURE}]")
+_PROTOTYPE = {ord(k): v for k, v in _LETTERS.items()}
+
+
+def _spread(signs: str) -> list[str]:
+    """The characters of a class like ``a-cx``."""
+    return [chr(c) for m in re.finditer("(.)-(.)|(.)", signs, re.S) for c in (range(ord(m[1]), ord(m[2]) + 1) if m[1] else [ord(m[3])])]
+
+
+@lru_cache(1)
+def prototypes() -> dict[str, str]:
+    """Character → prototype, of every character that has another one."""
+    table = {c: " " for c in _spread(_SPACES)} | {c: "" for c in _spread(_INVISIBLE)}
+    fonts = [chr(c) for a, b in ((0x1D400, 0x1D7FF), (0x2100, 0x214F), (0xFF00, 0xFFEF)) for c in range(a, b + 1)]
+    for c in _spread(_RADICAL) + _spread(_LIGATURE) + fonts:
+        if (plain := unicodedata.normalize("NFKD", c)) != c:
+            table[c] = plain
+    return table | RADICALS | _LETTERS | LATIN_LOOKALIKES | GREEK_SYMBOLS | ASCII_LOOKALIKES
+
+
+def more_prototypes(lines: Iterable[str]) -> dict[str, str]:
+    """Character → prototype from lines of the public table of confusables (``source ; target ; ...`` in hexadecimal)."""
+    parts = [line.split(";") for line in lines if ";" in line and not line.lstrip("\ufeff").startswith("#")]
+    return {chr(int(p[0], 16)): "".join(chr(int(x, 16)) for x in p[1].split()) for p in parts if len(p[0].split()) == 1}
+
+
+# Kinds of changes that no ordinary text has; letters count by their word, joiners and selectors by their neighbours.
+_TABLE = {ord(c): p for c, p in prototypes().items() if c in RADICALS or re.match(f"[{_SPACES}{_RADICAL}{_LIGATURE}{_WIDE}]", c)}
+_CHANGED = re.compile("[" + "".join(map(chr, _TABLE)).replace("\\", "") + f"{_INVISIBLE}\u0300-\u036f]|{_JOINER}|[{_LIKE}]")
+
+
+def changes(text: str) -> Iterator[tuple[int, int]]:
+    """Places (start, end) where the skeleton changes the text and that is no ordinary use."""
+    own = None
+    for m in _CHANGED.finditer(text):
+        c = m.group()
+        if c in _LETTERS:
+            own = {k for w in _words(text, bool(_CYRILLIC_OWN.search(text))) for k in range(*w.span())} if own is None else own
+            if m.start() in own:
+                yield m.span()
+        elif "\u0300" <= c <= "\u036f":
+            if m.start() and text[m.start() - 1].isalpha():  # an accent after its letter
+                yield m.span()
+        else:
+            yield m.span()
 
 
 def _words(text: str, own: bool):
@@ -64,35 +113,38 @@ def _words(text: str, own: bool):
 
 def disguised(text: str | None) -> bool:
     """Whether the text holds other characters than it seems to."""
-    if not text or text.isascii() or not _PLAIN.search(text):
-        return False
-    if _SIGN.search(text):
-        return True
-    return any(True for _ in _words(text, bool(_CYRILLIC_OWN.search(text)))) if _HAS_LIKE.search(text) else False
+    return bool(text) and not text.isascii() and any(True for _ in changes(text))
 
 
 def consistent(text: str | None) -> str | None:
-    """The text in its one consistent form; equal-looking texts become equal."""
-    if not text or text.isascii() or not _PLAIN.search(text):
+    """The text in its one consistent form; equal-looking texts become equal: prototypes in place of the changes, accents composed."""
+    if not text or text.isascii():
         return text
-    text = _GONE.sub("", text).translate(_TABLE)
-    text = _FOLDED.sub(lambda m: unicodedata.normalize("NFKC", m.group()), text)
-    text = unicodedata.normalize("NFC", text)
-    if _HAS_LIKE.search(text):
-        own, parts, at = bool(_CYRILLIC_OWN.search(text)), [], 0
-        for m in _words(text, own):
-            parts += [text[at : m.start()], m.group().translate(_PROTOTYPE)]
-            at = m.end()
-        text = unicodedata.normalize("NFC", "".join(parts) + text[at:])
+    parts, at = [], 0
+    for a, b in changes(text):
+        c = text[a:b]
+        parts += [text[at:a], c if "\u0300" <= c <= "\u036f" else "" if _GONE.match(text, a) else unicodedata.normalize("NFKC", prototypes()[c])]
+        at = b
+    if not parts:
+        return text
+    text = unicodedata.normalize("NFC", "".join(parts) + text[at:])
+    if _HAS_LIKE.search(text):  # a word may have become one of look-alikes once its signs are gone
+        again = {a for a, _ in changes(text) if text[a] in _LETTERS}
+        text = "".join(_LETTERS[c] if i in again else c for i, c in enumerate(text)) if again else text
     return text
 
 
-def skeleton(text: str | None) -> str | None:
-    """Decompose, replace each character by its prototype, decompose again."""
-    if not text or text.isascii():
+def skeleton(text: str | None, more: dict[str, str] | None = None) -> str | None:
+    """Decompose, replace each character by its prototype, decompose again; ``more`` are further prototypes."""
+    if not text:
         return text
-    text = unicodedata.normalize("NFKD", _GONE.sub("", text).translate(_TABLE))
-    return unicodedata.normalize("NFKD", text.translate(_PROTOTYPE))
+    table = str.maketrans(prototypes() | more) if more else _skeleton_table()
+    return unicodedata.normalize("NFD", unicodedata.normalize("NFD", _GONE.sub("", text)).translate(table))
+
+
+@lru_cache(1)
+def _skeleton_table() -> dict[int, str]:
+    return str.maketrans(prototypes())
 
 
 @F.pandas_udf(T.BooleanType())
@@ -127,7 +179,7 @@ def is_disguised(text: Column) -> Column:
 
 
 def skeleton_text(text: Column) -> Column:
-    return F.when(odd(text), _skeleton(text)).otherwise(text)
+    return _skeleton(text)
 
 
 def letters_digits(text: Column) -> Column:

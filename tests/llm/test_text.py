@@ -85,6 +85,36 @@ def test_ordinary_forms(text):
     assert not forms.disguised(text) and forms.consistent(text) == text
 
 
+@pytest.mark.parametrize("text,form", [("ρaypal", "paypal"), ("Ꭺpple", "Apple"), ("Օne", "One"), ("ꓐook", "Book"), ("Ⲥat", "Cat"), ("Мо\u200blаve", "Molave")])
+def test_letters_of_many_scripts(text, form):
+    assert forms.disguised(text) and forms.consistent(text) == form and forms.skeleton(text) == forms.skeleton(form)
+
+
+@pytest.mark.parametrize("text", ["Հայերեն", "ışık", "NFκB", "Ελληνικά", "ᎠᎡᎢ"])
+def test_words_of_other_scripts_are_ordinary(text):
+    assert not forms.disguised(text) and forms.consistent(text) == text
+
+
+def test_skeleton_decides(monkeypatch):
+    """A text is disguised only where the skeleton changes it."""
+    texts = ["ｔｅｓｔ１", "a\u00a0b", "a\u200bb", "cafe\u0301", "Моlave", "⼈中", "ﬁn"]
+    for t in texts:
+        spots = list(forms.changes(t))
+        assert spots and all(forms.skeleton(t[:a] + t[b:]) != forms.skeleton(t[:a] + "Q" + t[b:]) for a, b in spots)
+        assert all(t[a:b] in forms.prototypes() or t[a:b] == "\u0301" for a, b in spots)
+    monkeypatch.setattr(forms, "changes", lambda text: iter(()))
+    assert not any(map(forms.disguised, texts))
+
+
+def test_prototypes_from_a_file_of_confusables():
+    more = forms.more_prototypes(["# comment", "0405 ;\t0053 ;\tMA", "A731 ; 0073 ; MA # note", ""])
+    assert more == {"\u0405": "S", "\ua731": "s"} and forms.skeleton("\ua731x", more) == "sx"
+
+
+def test_skeleton_of_numbers_and_plain_letters():
+    assert forms.skeleton("Il1") == forms.skeleton("lII") and forms.skeleton("O0") == forms.skeleton("00") and forms.skeleton("m") == forms.skeleton("rn")
+
+
 def test_skeleton_joins_look_alikes():
     assert forms.skeleton("Ηａｎd ﬁ") == forms.skeleton("Hand fi")
 
