@@ -78,7 +78,7 @@ def more_prototypes(lines: Iterable[str]) -> dict[str, str]:
 
 # Kinds of changes that no ordinary text has; letters count by their word, joiners and selectors by their neighbours.
 _TABLE = {ord(c): p for c, p in prototypes().items() if c in RADICALS or re.match(f"[{_SPACES}{_RADICAL}{_LIGATURE}{_WIDE}]", c)}
-_CHANGED = re.compile("[" + "".join(map(chr, _TABLE)).replace("\\", "") + f"{_INVISIBLE}\u0300-\u036f]|{_JOINER}|[{_LIKE}]")
+_CHANGED = re.compile(f"[{_SPACES}{_INVISIBLE}{_RADICAL}{_LIGATURE}{_WIDE}\u0300-\u036f\u200d\ufe0f{_LIKE}]")
 
 
 def changes(text: str) -> Iterator[tuple[int, int]]:
@@ -93,7 +93,7 @@ def changes(text: str) -> Iterator[tuple[int, int]]:
         elif "\u0300" <= c <= "\u036f":
             if m.start() and text[m.start() - 1].isalpha():  # an accent after its letter
                 yield m.span()
-        else:
+        elif ord(c) in _TABLE or _GONE.match(text, m.start()):
             yield m.span()
 
 
