@@ -1,8 +1,9 @@
 """Broken prompt and response pairs (problem 3): each defective pair with its kind of defect.
 
-A pushdown parser over fences, brackets, quotations and markup tells where a text stands
-at its end, greedy string tiling how much of an answer repeats its question, scripts and
-function words which language it is in, and a small grammar whether it only declines.
+A pushdown parser over fences, brackets, quotations, emphasis, tags, list items and table rows
+tells what is still open where a text ends, greedy string tiling how much of an answer repeats
+its question, scripts and function words which language it is in, and a small grammar
+whether it only declines.
 Garbled answers are judged by their repaired text, disguised ones by their consistent
 form.
 
@@ -75,7 +76,7 @@ _LANGUAGE = {"英文": "en", "英语": "en", "德文": "de", "德语": "de", "
 
 def is_empty(answer: str) -> bool:
     """No content word, or only a title with an empty conclusion."""
-    s = _MARKUP.sub(" ", answer) if len(answer) < 200 or "<" in answer or "&" in answer else answer
+    s = _MARKUP.sub(" ", answer)
     if not _LETTER.search(s):
         return True
     bare = s.strip().strip("。.!！?？-—()（）[]【】\"'“”「」 ").lower()
@@ -93,36 +94,58 @@ def letters(text: str) -> str:
 
 
 def tiling(a: str, b: str, least: int = TILE) -> int:
-    """Greedy string tiling: letters of ``a`` covered by maximal runs of ``b`` of ``least`` or more; runs of ``b`` may serve again."""
+    """Greedy string tiling: letters of ``a`` in tiles, the longest common runs of unmarked letters first, of ``least`` or more.
+
+    Letters of a tile are marked on both sides; when no tile is left, the marks of ``b`` are lifted, as a question may be repeated.
+    """
+    marked_a, covered = bytearray(len(a)), 0
     grams: dict[str, list[int]] = {}
     for j in range(len(b) - least + 1):
         grams.setdefault(b[j : j + least], []).append(j)
-    covered = i = 0
-    while i <= len(a) - least:
-        best = 0
-        for j in grams.get(a[i : i + least], ()):
-            n = least
-            while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
-                n += 1
-            best = max(best, n)
-        covered += best
-        i += best or 1
-    return covered
+    while True:
+        marked_b, before = bytearray(len(b)), covered
+        while True:
+            best, tiles, i = least - 1, [], 0
+            while i <= len(a) - least:
+                if marked_a[i]:
+                    i += 1
+                    continue
+                longest = 0
+                for j in grams.get(a[i : i + least], ()):
+                    n = 0
+                    while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and not marked_a[i + n] and not marked_b[j + n]:
+                        n += 1
+                    longest = max(longest, n)
+                    if n > best:
+                        best, tiles = n, [(i, j)]
+                    elif n == best:
+                        tiles.append((i, j))
+                i += max(1, longest - best + 1)  # a longer tile can't begin before
+            if not tiles:
+                break
+            for i, j in tiles:
+                if not any(marked_a[i : i + best]) and not any(marked_b[j : j + best]):
+                    marked_a[i : i + best] = marked_b[j : j + best] = b"\x01" * best
+                    covered += best
+        if covered == before:
+            return covered
 
 
 def is_copied(question: str, answer: str) -> bool:
-    """Nothing but the question, once or repeated, apart from a short lead-in."""
+    """Nothing but the question, once or repeated, apart from a short lead-in: tiles of the question cover the answer."""
     q, a = letters(question), letters(answer)
     if len(q) < 4 or len(a) < 0.9 * len(q):
         return False
     lead = LEAD_HAN if _HAN.search(answer[:12]) or len(_HAN.findall(answer)) > 0.3 * len(a) else LEAD_WORDS
-    times = a.count(q)
-    if times:
-        return len(a) - times * len(q) <= lead
-    if q[:TILE] not in a and q[-TILE:] not in a:
-        return False
+    known = {q[j : j + TILE] for j in range(len(q) - TILE + 1)}
+    missed, most = 0, lead + TILE * (2 + len(a) // len(q))  # what the lead-in and the seams between tiles may miss
+    for i in range(len(a) - TILE + 1):
+        if a[i : i + TILE] not in known:
+            missed += 1
+            if missed > most:
+                return False
     covered = tiling(a, q)
-    return len(a) - covered <= lead / 2 and covered >= 0.95 * len(q)
+    return len(a) - covered <= lead and covered >= 0.95 * len(q)
 
 
 def is_refusal(answer: str) -> bool:
@@ -144,9 +167,19 @@ def is_refusal(answer: str) -> bool:
     return found and rest <= 14
 
 
+#: Scripts that tell a language by themselves.
+_SCRIPTS = {"ja": re.compile("[\u3041-\u30fa\u30fc]"), "ko": re.compile("[\u1100-\u11ff\uac00-\ud7a3]"), "ru": re.compile("[\u0400-\u04ff]"), "el": re.compile("[\u0370-\u03ff]"), "ar": re.compile("[\u0600-\u06ff]"), "he": re.compile("[\u0590-\u05ff]"), "th": re.compile("[\u0e00-\u0e7f]"), "hi": re.compile("[\u0900-\u097f]")}
+_OTHER_SCRIPT = re.compile("[\u0370-\u07ff\u0900-\u0e7f\u1100-\u11ff\u3041-\u30fc\uac00-\ud7a3]")
+
+
 def language(text: str) -> str | None:
-    """zh, en, de or fr by script and function words; None where there is too little to tell."""
+    """zh, en, de, fr by script and function words, others by their script; None where there is too little to tell."""
     s = _NOISE.sub(" ", text) if "@" in text or "＠" in text or ".txt" in text or "http" in text else text
+    if _OTHER_SCRIPT.search(s):
+        n = len(_LETTER.findall(s))
+        for name, script in _SCRIPTS.items():
+            if (own := len(script.findall(s))) >= 4 and own >= (0.2 if name == "ja" else 0.5) * n:
+                return name
     han = len(_HAN.findall(s))
     words = _WORD.findall(s.lower().replace("'", " ").replace("’", " "))
     score = {k: sum(w in known for w in words) for k, known in WORDS.items()}
@@ -170,47 +203,84 @@ def is_other_language(question: str, answer: str) -> bool:
     return True
 
 
-def open_at_end(text: str) -> tuple[int, int]:
-    """Pushdown parse of fences, brackets, quotations and markup: structures still open, and where the last closed one began (-1: text goes on after it)."""
+_TOKEN = re.compile(r"```|\*\*|</?[A-Za-z][^<>\n]*>|\n|[" + re.escape("".join(_PAIRS) + "".join(_CLOSERS) + "„") + "]")
+_VOID = re.compile(r"</?(?:br|hr|img|input|meta|link|wbr|col)\b|<[^>]*/>$", re.I)
+_MARKER = re.compile(r"[ \t]*(?:[-*+•·]|\(?\d{1,3}[.)、）]|[一二三四五六七八九十]+、)[ \t]*$")
+_CUT_TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}$|</$")
+
+
+def parse(text: str) -> tuple[list[str], int]:
+    """Pushdown parse: the structures still open where the text ends, outermost first, and where the one that its last character closes began (-1: none).
+
+    Structures are fences (within which nothing else counts), emphasis, tags, brackets and quotations; and of the last line a list item without
+    content, a table row with fewer cells than the row above, and a tag cut off.  A closing sign ends what was opened last with its own
+    sign, and all that was opened after it; one that nothing opened is ignored.
+    """
     stack: list[tuple[str, int]] = []
-    last = (-1, -1)
-    for i, c in enumerate(text):
-        if text.startswith("```", i):
-            if stack and stack[-1][0] == "```":
-                last = (stack.pop()[1], i + 2)
-            elif i == 0 or text[i - 1] in "\n":
-                stack.append(("```", i))
-        elif stack and stack[-1][0] == "```":
+    count: dict[str, int] = {}
+    closed = -1
+
+    def shut(kind: str, end: int) -> None:
+        nonlocal closed
+        while stack:
+            top, at = stack.pop()
+            count[top] -= 1
+            if top == kind:
+                closed = at if end == len(text) else closed
+                return
+
+    def enter(kind: str, at: int) -> None:
+        stack.append((kind, at))
+        count[kind] = count.get(kind, 0) + 1
+
+    for m in _TOKEN.finditer(text):
+        t, a = m.group(), m.start()
+        if t == "```":
+            if count.get(t):
+                shut(t, m.end())
+            elif a == 0 or text[a - 1] == "\n":
+                enter(t, a)
+        elif count.get("```") or t == "\n":
             continue
-        elif c in _PAIRS and not (c == "‘" and i and text[i - 1].isalnum()):
-            stack.append((c, i))
-        elif c in _CLOSERS and stack:
-            for k in range(len(stack) - 1, max(-1, len(stack) - 4), -1):
-                if stack[k][0] == _CLOSERS[c]:
-                    last = (stack[k][1], i)
-                    del stack[k:]
-                    break
-    return len(stack), last[0] if last[1] == len(text) - 1 else -1
-
-
-def ends_sentence(text: str) -> bool:
-    """Ends a sentence; closing quotes and brackets, or a remark in brackets, may follow."""
+        elif t == "**":
+            shut(t, m.end()) if count.get(t) else enter(t, a)
+        elif t[0] == "<" and len(t) > 1:
+            name = "<" + re.match(r"</?(\w+)", t)[1].lower()
+            if _VOID.match(t):
+                continue
+            if t[1] != "/":
+                enter(name, a)
+            elif count.get(name):
+                shut(name, m.end())
+        elif t in _CLOSERS and count.get(_CLOSERS[t]):
+            shut(_CLOSERS[t], m.end())
+        elif (t in _PAIRS or t == "„") and not (t == "‘" and a and text[a - 1].isalnum()):
+            enter(t, a)
+    open_ = [k for k, _ in stack]
+    if not count.get("```"):
+        lines = text.split("\n")
+        if len(lines) > 1 and _MARKER.match(lines[-1]):
+            open_.append("item")
+        if lines[-1].lstrip().startswith("|") and len(lines) > 1 and lines[-2].lstrip().startswith("|") and lines[-1].count("|") < lines[-2].count("|"):
+            open_.append("row")
+        if _CUT_TAG.search(lines[-1]):
+            open_.append("tag")
+    return open_, closed
+
+
+def ends_sentence(text: str, closed: int | None = None) -> bool:
+    """Ends a sentence; closing quotes and brackets, or a remark in brackets, may follow.  ``closed``: of a text parsed already, where what its last sign closes began."""
     s = _TAIL.sub("", text)
     if _DOTS.search(s):
         return False
-    for _ in range(4):
-        s = s.rstrip()
-        if not s:
-            return False
+    while s := s.rstrip():
         if s[-1] in _END:
-            if s[-1] == "." and len(s) > 1 and s[-2].isdigit() and len(_HAN.findall(s[-30:])) > 5:
-                return False
-            return True
+            return not (s[-1] == "." and len(s) > 1 and s[-2].isdigit() and len(_HAN.findall(s[-30:])) > 5)
         if s[-1] in _CLOSERS:  # a quotation or remark that is complete may close the text
-            return open_at_end(s)[1] >= 0 or s[:-1].rstrip()[-1:] in tuple(_END)
-        if s[-1] not in "\"'’›":
+            return (parse(s)[1] if closed is None else closed) >= 0 or s[:-1].rstrip()[-1:] in tuple(_END)
+        if s[-1] not in "\"'’›*`" and not s.endswith(">"):
             return False
-        s = s[:-1]
+        s = re.sub(r"<[^<>]*>$|.$", "", s, flags=re.S)
     return False
 
 
@@ -229,8 +299,8 @@ def is_truncated(answer: str) -> bool:
         return False
     if len(s.strip()) <= SHORT:
         return len(letters(s)) > 0 and len(s.strip()) > 6
-    fences = sum(line.startswith("```") for line in s.split("\n")) % 2
-    return bool(fences) or not ends_sentence(s)
+    open_, _ = parse(s)
+    return bool(open_) or not ends_sentence(s)
 
 
 def defect(question: str | None, answer: str | None, hit: bool | None) -> str | None:

@@ -168,10 +168,53 @@ def test_defects(question, answer, hit, kind):
 
 
 def test_pushdown_parser():
-    assert pairs.open_at_end("a (b [c] d)") == (0, 2)
-    assert pairs.open_at_end("a “b")[0] == 1
-    assert pairs.open_at_end("```\n(\n```") == (0, 0)
-    assert pairs.tiling("abcdXabcd", "zabcdz") == 8
+    assert pairs.parse("a (b [c] d)") == ([], 2)
+    assert pairs.parse("a “b") == (["“"], -1)
+    assert pairs.parse("```\n(\n```") == ([], 0)
+    assert pairs.parse("```\n(")[0] == ["```"]
+    assert pairs.parse("([{)") == ([], 0)  # a closing sign ends what was opened after its own
+    assert pairs.parse("a) b]")[0] == []
+    assert pairs.parse("<b>x <br> <i>y</i>")[0] == ["<b"]
+    assert pairs.parse("„a“ «b» ‘c’")[0] == []
+    assert pairs.parse("(" * 60 + ")" * 60) == ([], 0)
+    assert pairs.parse("“" * 20_000 + "]" * 20_000)[0] == ["“"] * 20_000
+
+
+CUT = [
+    "请参考说明书（第三页，避免阳光直射，动作要慢、力道要匀。",
+    "说明书写道：“避免阳光直射，动作要慢、力道要匀。",
+    "请**避免阳光直射，动作要慢、力道要匀，防晒从第三天开始补。",
+    "步骤如下，请按顺序进行，每步之间休息：\n1. 清洁面部。\n2.",
+    "各档用量如下表所示，请对照使用：\n| 部位 | 用量 |\n| --- | --- |\n| 面颊。",
+    "Please read <b>the whole leaflet before the first use.",
+    "Please read the whole leaflet before the first use. <a hre",
+    "请按下面的配置进行设置，再重新启动设备。\n```\nx = 1。",
+]
+
+
+@pytest.mark.parametrize("text", CUT)
+def test_open_structures_are_truncated(text, monkeypatch):
+    assert pairs.defect("怎么用？" if pairs._HAN.search(text) else "How?", text, True) == "truncated"
+    monkeypatch.setattr(pairs, "parse", lambda s: ([], -1))
+    assert not pairs.is_truncated(text) or not pairs.ends_sentence(text)  # the stack alone finds those that end a sentence
+
+
+@pytest.mark.parametrize("text", ["请参考说明书（第三页），避免阳光直射，动作要慢。", "说明书写道：“避免阳光直射，动作要慢、力道要匀。”", "It's the patients' choice, isn't it? Don't rush the first visit.", "步骤如下，请按顺序进行：\n1. 清洁面部。\n2. 涂抹凝胶。", "请按 **说明** 使用，避免阳光直射，动作要慢。", "5 < 6 且 7 > 3，动作要慢、力道要匀，防晒从第三天开始补。"])
+def test_closed_structures_are_whole(text):
+    assert not pairs.is_truncated(text)
+
+
+def test_tiling_marks_what_it_used():
+    assert pairs.tiling("abcdXabcd", "zabcdz") == 8  # the question twice
+    assert pairs.tiling("abcdefghXabcd", "abcdefghij") == 12
+    assert pairs.tiling("efghabcd", "abcdefgh") == 8  # another order
+    assert pairs.tiling("abcXabc", "abc") == 0
+    assert pairs.is_copied("三天后能洗澡吗请告诉我", "请告诉我三天后能洗澡吗")
+
+
+@pytest.mark.parametrize("answer,name", [("三日後にはシャワーを浴びることができます。", "ja"), ("사흘 뒤에는 샤워하실 수 있습니다.", "ko"), ("Через три дня можно принимать душ.", "ru"), ("Μετά από τρεις ημέρες μπορείτε.", "el")])
+def test_other_scripts(answer, name):
+    assert pairs.language(answer) == name and pairs.defect("三天后能洗澡吗", answer, True) == "other_language"
 
 
 FOUND = [
