@@ -6,14 +6,15 @@ symbols.  Structured bit masks then replace random bands: the symbols of a part
 spread over the nonzero vectors m of F_2^(radius+1), and table v (each nonzero v) keeps
 the symbols whose inner product <m, v> is 1.  Any up to ``radius`` differing classes
 leave some v orthogonal to all of them, so every pair within the radius collides in a
-table of the part, without exception.  Several parts with symbols of their own bring
-the recall at the threshold to the wanted level; an exact comparison of the sets
-follows and decides.
+table of the part, without exception.  There are ``PARTS`` parts with symbols of their own: a pair
+misses all tables only if more than ``RADIUS`` classes differ in every part, so by the pigeonhole
+principle up to ``PARTS * (RADIUS + 1) - 1`` differing classes (15 of 24) always collide.  An exact
+comparison of the sets follows and decides.
 
 Equal texts are one class: only its first row is hashed.  Candidate pairs are joined
-on the table's key (sort-merge, splittable by AQE) and tested inside the join against
-a sketch of two bits per symbol, so neither buckets nor groups are gathered anywhere,
-and nothing is capped.
+on the table's key and tested inside the join against a sketch of two bits per symbol.  A
+bucket of more than ``HOT`` rows is cut into blocks, and each two blocks meet in a cell of their
+own, so no task has the pairs of a hot bucket (or of a hot group of copies); nothing is gathered or capped.
 
 Null, short (under ``least`` letters and digits) and excluded texts, and rows without a
 key, form no pairs.  Only the key and the text column are read, so others may clash.
@@ -27,7 +28,7 @@ from hashlib import md5
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +37,8 @@ from .garble import is_garbled
 from .store import written
 
 RADIUS, PER_CLASS, PARTS, SKETCH = 1, 2, 8, 64
+#: Rows of a bucket that are paired in one place.
+HOT = 4096
 _OTHER = re.compile(r"[\W_]+")
 
 
@@ -157,6 +160,18 @@ def short_classes(df: DataFrame, key: str, text: str, *, least: int) -> DataFram
     return rows.join(firsts, "s").select("id", "class_id", F.lit(0).cast("bigint").alias("links"))
 
 
+def paired(rows: DataFrame, group: str, test: Column | None = None) -> DataFrame:
+    """Pairs (id_a < id_b) of rows of one group that pass the test on ``a`` and ``b``: in place up to ``HOT`` rows, else by pairs of blocks."""
+    every = Window.partitionBy(group)
+    numbered = rows.withColumn("_r", F.row_number().over(every.orderBy("id"))).withColumn("_n", F.count("*").over(every)).where("_n > 1")
+    out = lambda a, b, on: a.alias("a").join(b.alias("b"), on if test is None else on & test).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
+    cold, hot = numbered.where(F.col("_n") <= HOT), numbered.where(F.col("_n") > HOT).withColumn("_b", F.floor((F.col("_r") - 1) / HOT))
+    same = F.expr(f"a.{group} = b.{group} and a._r < b._r")
+    left = hot.withColumn("_i", F.col("_b")).withColumn("_j", F.explode(F.sequence("_b", F.floor((F.col("_n") - 1) / HOT))))
+    right = hot.withColumn("_j", F.col("_b")).withColumn("_i", F.explode(F.sequence(F.lit(0).cast("bigint"), "_b")))
+    return out(cold, cold, same).unionByName(out(left, right, same & F.expr("a._i = b._i and a._j = b._j")))
+
+
 def near_duplicates(df: DataFrame, key: str, text: str, *, similarity: float = 0.8, width: int = 5, least: int = 40, skip_garbled: bool = False) -> tuple[DataFrame, DataFrame]:
     """(links, members): links (id_a, id_b) between different texts at ``similarity`` or more, each text by its first row;
     members (id, same_as) has every row that takes part, with the first row of equal text.  ``key`` is a unique bigint."""
@@ -167,11 +182,10 @@ def near_duplicates(df: DataFrame, key: str, text: str, *, similarity: float = 0
     members = rows.select("id", "same").join(shared, "same", "left").select("id", F.coalesce("same_as", "id").alias("same_as"))
     tables = firsts.select("r.*").select("id", "s1", "s2", F.posexplode(_keys("symbols")).alias("t", "k"))
     tables = tables.select((F.shiftleft(F.col("t").cast("bigint"), 32) + F.col("k").cast("bigint")).alias("k"), "id", "s1", "s2")
-    a, b = tables.alias("a"), tables.alias("b")
     fold = lambda c: f"bit_count(((a.{c} ^ b.{c}) | shiftrightunsigned(a.{c} ^ b.{c}, 1)) & 6148914691236517205L)"
     agree = similarity + (1 - similarity) / 4  # two random bits agree once in four
     most = SKETCH * (1 - agree) + 3.2 * (SKETCH * agree * (1 - agree)) ** 0.5
-    pairs = a.join(b, F.expr("a.k = b.k and a.id < b.id")).where(F.expr(f"{fold('s1')} + {fold('s2')} <= {most}")).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
+    pairs = paired(tables, "k", F.expr(f"{fold('s1')} + {fold('s2')} <= {most}")).distinct()
     left = pairs.join(source.select(F.col("id").alias("id_a"), F.col("text").alias("text_a")), "id_a")
     both = left.join(source.select(F.col("id").alias("id_b"), F.col("text").alias("text_b")), "id_b")
     links = both.where(_alike("text_a", "text_b", F.lit(width), F.lit(similarity))).select("id_a", "id_b")
@@ -186,22 +200,22 @@ def all_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
     group = written(group, "copies")
     across = full.join(group.select(F.col("rep").alias("id_a"), F.col("id").alias("x")), "id_a", "left").join(group.select(F.col("rep").alias("id_b"), F.col("id").alias("y")), "id_b", "left")
     across = across.select(F.coalesce("x", "id_a").alias("x"), F.coalesce("y", "id_b").alias("y"))
-    within = group.alias("p").join(group.alias("q"), F.expr("p.rep = q.rep and p.id < q.id")).select(F.col("p.id").alias("x"), F.col("q.id").alias("y"))
+    within = paired(group, "rep").select(F.col("id_a").alias("x"), F.col("id_b").alias("y"))
     both = across.unionByName(within)
     return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
-def classes(links: DataFrame, members: DataFrame, rounds: int = 60) -> DataFrame:
+def classes(links: DataFrame, members: DataFrame) -> DataFrame:
     """One row per member (id, class_id, links): connected classes by label propagation with pointer jumping.
 
     ``class_id`` is the least id of the class, ``links`` the number of links of the row's text to other texts.
     Every round is a join and a partial aggregation, written to the shared folder; hubs are only
-    ever aggregated, never gathered.  The loop ends when no label changes.
+    ever aggregated, never gathered.  The loop ends when no label changes: labels only fall.
     """
     full = written(links.select("id_a", "id_b"), "links")
     ways = full.unionByName(full.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b")))
     labels = written(ways.groupBy("id_a").agg(F.least(F.min("id_b"), F.col("id_a")).alias("label")), "labels")
-    for _ in range(rounds):
+    while True:
         near = ways.join(labels.select(F.col("id_a").alias("id_b"), "label"), "id_b").groupBy("id_a").agg(F.min("label").alias("m"))
         step = labels.join(near, "id_a").select("id_a", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         jump = step.join(step.select(F.col("id_a").alias("label"), F.col("label").alias("further")), "label", "left")
@@ -209,8 +223,6 @@ def classes(links: DataFrame, members: DataFrame, rounds: int = 60) -> DataFrame
         labels = new.select("id_a", "label")
         if new.where("old <> label").isEmpty():
             break
-    else:
-        raise RuntimeError("classes did not settle")
     degree = ways.groupBy("id_a").agg(F.count("*").alias("links"))
     known = labels.join(degree, "id_a").withColumnRenamed("id_a", "same_as")
     return members.join(known, "same_as", "left").select("id", F.coalesce("label", "same_as").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))

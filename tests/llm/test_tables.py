@@ -43,6 +43,38 @@ def test_masks_cover_the_radius():
             assert any(all(i // per_class not in differing for i in keep) for keep in tables)
 
 
+def test_pigeonhole_over_all_parts():
+    """Up to 15 of 24 differing classes leave a table equal, whichever they are; some 16 leave none."""
+    per_part, classes = 2 ** (covering.RADIUS + 1) - 1, covering.PARTS * (2 ** (covering.RADIUS + 1) - 1)
+    tables = covering.masks()
+    rng = random.Random(2)
+
+    def collides(differing):
+        return any(all(part * per_part + i // covering.PER_CLASS not in differing for i in keep) for part in range(covering.PARTS) for keep in tables)
+
+    most = covering.PARTS * (covering.RADIUS + 1) - 1
+    assert most == 15 and all(collides(set(rng.sample(range(classes), most))) for _ in range(2000))
+    assert not collides({part * per_part + i for part in range(covering.PARTS) for i in range(2)})
+
+
+@pytest.mark.parametrize("hot", [4096, 7, 1])
+def test_hot_buckets_are_split_without_loss(spark, monkeypatch, hot):
+    monkeypatch.setattr(covering, "HOT", hot)
+    rows = [(i, 1) for i in range(40)] + [(100 + i, 2) for i in range(3)] + [(200, 3)]
+    got = [tuple(r) for r in covering.paired(spark.createDataFrame(rows, "id bigint, g int"), "g").collect()]
+    want = {(a, b) for a, x in rows for b, y in rows if a < b and x == y}
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_masks_find_the_pairs(spark, copies, monkeypatch):
+    """Without the tables of the masks no pair of different texts is found."""
+    _, df = copies
+    monkeypatch.setattr(covering, "masks", lambda *a: [])
+    monkeypatch.setattr(covering, "_keys", lambda c: covering.F.array().cast("array<int>"))
+    links, _ = covering.near_duplicates(df, "id", "text", similarity=0.6)
+    assert links.isEmpty()
+
+
 @pytest.fixture(scope="module")
 def copies(spark):
     rng = random.Random(5)
