@@ -31,7 +31,11 @@ def step_lines(df: DataFrame, key: str, text: str, *, notes: list[str], steps: i
     Marker lines themselves are dropped, as are lines of dashes; a step beyond ``steps`` carries
     its lines to the null bucket.
     """
-    lines = numbered_lines(df, key, text)
+    return step_buckets(numbered_lines(df, key, text), key, notes=notes, steps=steps)
+
+
+def step_buckets(lines: DataFrame, key: str, *, notes: list[str], steps: int = 5) -> DataFrame:
+    """``step_lines`` of lines (key, pos, line); pos may be any ordered value."""
     step, note = step_number(F.col("line")), X.contains_any(F.col("line"), notes)
     marked = lines.withColumn("_m", F.when(note, F.lit(0).cast("bigint")).when(step.isNotNull(), F.when(step.between(1, steps), step).otherwise(-1))).transform(lambda d: carried(d, key, F.col("_m"), "_s"))
     clean = X.utrim(F.ltrim(F.col("line"), F.lit("-")))
@@ -50,10 +54,10 @@ def section_or(main: Column, other: Column, titles: list[str], stops: list[str])
     return F.coalesce(X.empty_as_null(X.section(main, titles, stops)), X.section(other, titles, []))
 
 
-def bullets(section: Column, *, keep: list[str], short: int | None = None, drop: list[str] = (), most: int = 12) -> Column:
+def bullets(section: Column, *, keep: list[str], short: int | Column | None = None, drop: list[str] = (), most: int = 12) -> Column:
     """Distinct lines of a section, without question-and-answer lines and leading dashes: headings ``n)``,
     lines with a word of ``keep``, or any of up to ``short`` characters; none with a word of ``drop``."""
     plain = F.filter(X.lines(section), lambda x: ~(x.startswith("【Q】") | x.startswith("【A】")))
     clean = F.filter(F.transform(plain, lambda x: X.utrim(F.ltrim(x, F.lit("-")))), lambda x: x != "")
-    wanted = lambda x: x.rlike(r"^\d+[）)]") | X.contains_any(x, keep) | (F.length(x) <= (short or 0))
+    wanted = lambda x: x.rlike(r"^\d+[）)]") | X.contains_any(x, keep) | (F.length(x) <= (F.lit(0) if short is None else short))
     return F.slice(F.filter(X.unique(F.filter(clean, wanted)), lambda x: ~X.contains_any(x, list(drop))), 1, most)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from fathom.functions import text as X
 
 K, FINAL_K, VECTOR_WEIGHT, KEYWORD_WEIGHT = 12, 8, 0.65, 0.35
-#: Queries that go to every task at a time; more go through in blocks.
-BLOCK = 4096
+#: Queries, and terms in them, that go to every task; more meet the corpus in cells of ``BLOCK`` queries and ``ROWS`` rows.
+BLOCK, TERMS, ROWS = 4096, 1_000_000, 65_536
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -21,47 +21,83 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return np.divide(v, n, out=v.copy(), where=n > 0)
 
 
-def _best(queries: np.ndarray, ids: np.ndarray, k: int):
+def _top(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best k of each query, by score and id, of rows (query, id, score)."""
+    order = np.lexsort((ids, -score, query))
+    query, ids, score = query[order], ids[order], score[order]
+    first = np.searchsorted(query, query, "left")
+    keep = np.arange(len(query)) - first < k
+    return query[keep], ids[keep], score[keep]
+
+
+def _near(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, score) of the best k rows of each query, ties at the last place included."""
+    s = queries @ rows.T
+    least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None] if s.shape[1] > k else -np.inf
+    q, r = np.nonzero(s >= least)
+    return _top(q, ids[r], s[q, r], k)
+
+
+def _vectors(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    rows = rows[rows["v"].notna()]
+    return rows["id"].to_numpy(np.int64), _unit(np.stack(rows["v"].to_numpy()).astype(np.float64)) if len(rows) else np.zeros((0, 0))
+
+
+def _best(queries: np.ndarray, names: np.ndarray, k: int):
     """Per task, the best k of its rows for each query: a partial top-k before the shuffle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        score = np.full((len(ids), 0), 0.0)
-        row = np.zeros((len(ids), 0), np.int64)
+        best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         for rows in batches:
-            rows = rows[rows["v"].notna()]
-            if not len(rows):
-                continue
-            v = _unit(np.stack(rows["v"].to_numpy()).astype(np.float64))
-            s = np.concatenate([score, queries @ v.T], axis=1)
-            r = np.concatenate([row, np.broadcast_to(rows["id"].to_numpy(np.int64), (len(ids), len(rows)))], axis=1)
-            order = np.lexsort((r, -s), axis=1)[:, :k]
-            score, row = np.take_along_axis(s, order, 1), np.take_along_axis(r, order, 1)
-        n = score.shape[1]
-        yield pd.DataFrame({"qid": np.repeat(ids, n), "id": row.ravel(), "score": score.ravel()})
+            ids, v = _vectors(rows)
+            if len(ids):
+                best = _top(*map(np.concatenate, zip(best, _near(queries, v, ids, k))), k)
+        yield pd.DataFrame({"qid": names[best[0]], "id": best[1], "score": best[2]})
 
     return run
 
 
-def vector_topk(queries: DataFrame, corpus: DataFrame, *, qid: str, qvec: str, key: str, vec: str, k: int = K, min_score: float | None = None) -> DataFrame:
+def _cells(queries: DataFrame, blocks: int, corpus: DataFrame, work, schema: str, by: bool = False) -> DataFrame:
+    """``work`` (queries, rows → hits) over every block of queries with every block of the corpus, each pair in a task of its own; ``by``: only within equal ``_by``."""
+    number = lambda n: F.pmod(F.monotonically_increasing_id(), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), (n - 1).cast("int")))
+    if by:  # a group has as many blocks as its size asks for
+        size = lambda rows, n: rows.groupBy("_by").agg(F.ceil(F.count("*") / n).alias("n"))
+        blocks_of = size(queries, BLOCK).withColumnRenamed("n", "_nq").join(size(corpus, ROWS).withColumnRenamed("n", "_nc"), "_by")
+        queries, corpus, keys, nq, nc = queries.join(blocks_of, "_by"), corpus.join(blocks_of, "_by"), ["_by", "_q", "_c"], F.col("_nq"), F.col("_nc")
+    else:
+        keys, nq, nc = ["_q", "_c"], F.lit(blocks), F.lit(max(1, -(-corpus.count() // ROWS)))
+    left = queries.withColumn("_q", number(nq)).withColumn("_c", every(nc)).drop("_nq", "_nc").groupBy(*keys)
+    right = corpus.withColumn("_c", number(nc)).withColumn("_q", every(nq)).drop("_nq", "_nc").groupBy(*keys)
+    return left.cogroup(right).applyInPandas(work, schema)
+
+
+def vector_topk(queries: DataFrame, corpus: DataFrame, *, qid: str, qvec: str, key: str, vec: str, k: int = K, min_score: float | None = None, by: str | None = None) -> DataFrame:
     """(qid, id, score, rank): the k rows of largest cosine for each query, exactly; ties by id.
 
-    The stated query set goes through in blocks of ``BLOCK``; each task multiplies a block with
-    its own rows and keeps k, so only k rows per query and task are shuffled.  Null vectors are
-    left out on both sides; zero vectors score 0; negative scores count, unless ``min_score`` is given.
+    Up to ``BLOCK`` queries go to every task, which multiplies them with its own rows and keeps k;
+    more are cut into blocks that meet the blocks of the corpus in cells.  Only k rows per query and task or cell are shuffled.
+    ``by``: a column of both sides; rows count only where it is equal, and each group meets in cells of its own.
+    Null vectors are left out on both sides; zero vectors score 0; negative scores count, unless ``min_score`` is given.
     """
-    spark, out = corpus.sparkSession, None
-    rows = corpus.select(F.col(key).cast("bigint").alias("id"), F.col(vec).alias("v"))
-    stated = queries.where(F.col(qvec).isNotNull()).select(F.col(qid).cast("bigint").alias("q"), F.col(qvec).alias("v"))
-    blocks = max(1, -(-stated.count() // BLOCK))
-    for b in range(blocks):
-        own = stated.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).toPandas()
-        if len(own):
-            q = _unit(np.stack(own["v"].to_numpy()).astype(np.float64))
-            part = rows.mapInPandas(_best(q, own["q"].to_numpy(np.int64), k), "qid bigint, id bigint, score double")
-            out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], "qid bigint, id bigint, score double, rank bigint")
-    return _ranked(out if min_score is None else out.where(F.col("score") >= min_score), k, F.col("id"))
+    hits = "qid bigint, id bigint, score double"
+    group = [F.col(by).alias("_by")] if by else []
+    rows = corpus.where(F.col(vec).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(vec).alias("v"), *group)
+    stated = queries.where(F.col(qvec).isNotNull()).select(F.col(qid).cast("bigint").alias("id"), F.col(qvec).alias("v"), *group)
+    n = 0 if by else stated.count()
+    if n <= BLOCK and not by:
+        names, q = _vectors(stated.toPandas())
+        found = rows.mapInPandas(_best(q, names, k), hits) if n else rows.where("false").select(F.col("id").alias("qid"), "id", F.lit(0.0).alias("score"))
+    else:
+
+        def cell(asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+            names, q = _vectors(asked)
+            ids, v = _vectors(own)
+            i, ids, score = _near(q, v, ids, k) if len(names) and len(ids) else (np.zeros(0, np.int64),) * 3
+            return pd.DataFrame({"qid": names[i], "id": ids, "score": score.astype(np.float64)})
+
+        found = _cells(stated, -(-n // BLOCK), rows, cell, hits, bool(by))
+    return _ranked(found if min_score is None else found.where(F.col("score") >= min_score), k, F.col("id"))
 
 
 def _ranked(scored: DataFrame, k: int, *ties) -> DataFrame:
@@ -76,20 +112,26 @@ def keyword_score(query, text):
     return F.when(F.size(t) > 0, F.size(F.filter(t, lambda w: F.contains(low, w))) / F.size(t)).otherwise(0.0)
 
 
-def keyword_topk(queries: DataFrame, corpus: DataFrame, *, qid: str, query: str, key: str, text: str, k: int = K) -> DataFrame:
+def keyword_topk(queries: DataFrame, corpus: DataFrame, *, qid: str, query: str, key: str, text: str, k: int = K, by: str | None = None) -> DataFrame:
     """(qid, id, score, rank): the k rows with the largest share of terms above 0; ties by id.
 
-    Terms of the stated queries are joined to the rows that contain them through the rows'
-    side, so nothing but hits is shuffled; counts are partial sums.
+    One automaton over the terms of up to ``BLOCK`` queries reads the rows where they are; more queries are cut into
+    blocks that meet the blocks of the corpus in cells.  Only the k best of a task or cell are shuffled further.
     """
-    q = queries.select(F.col(qid).cast("bigint").alias("qid"), X.terms(F.col(query)).alias("terms")).where(F.size("terms") > 0)
-    rows, out = corpus.select(F.col(key).cast("bigint").alias("id"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("low")), None
-    blocks = max(1, -(-q.count() // BLOCK))
-    for b in range(blocks):
-        stated = [(r["qid"], list(r["terms"])) for r in q.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).collect()]
-        part = rows.mapInPandas(_hits(stated, k), "qid bigint, id bigint, score double")
-        out = part if out is None else out.unionByName(part)
-    return _ranked(out, k, F.col("id"))
+    group = [F.col(by).alias("_by")] if by else []
+    q = queries.select(F.col(qid).cast("bigint").alias("qid"), X.terms(F.col(query)).alias("terms"), *group).where(F.size("terms") > 0)
+    rows = corpus.select(F.col(key).cast("bigint").alias("id"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("low"), *group)
+    hits = "qid bigint, id bigint, score double"
+    size = {"n": 0, "t": 0} if by else q.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("t")).first()
+    if not by and size["n"] <= BLOCK and size["t"] <= TERMS:
+        found = rows.mapInPandas(_hits([(r["qid"], list(r["terms"])) for r in q.collect()], k), hits)
+    else:
+
+        def cell(asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+            return next(_hits(list(zip(asked["qid"].tolist(), map(list, asked["terms"]))), k)(iter([own])))
+
+        found = _cells(q, max(-(-size["n"] // BLOCK), -(-size["t"] // TERMS)), rows, cell, hits, bool(by))
+    return _ranked(found, k, F.col("id"))
 
 
 def _hits(stated: list[tuple[int, list[str]]], k: int):
@@ -140,25 +182,34 @@ def merge_hybrid(vector: DataFrame, keyword: DataFrame, *, k: int = FINAL_K, vec
     return _ranked(merged, k, F.col("late"), F.col("place")).drop("late", "place").withColumnRenamed("score", "hybrid_score")
 
 
-def hashed_embedding(text: str | None, size: int = 64, n: int = 3) -> list[float]:
-    """A deterministic embedding of character n-grams, for where no model is at hand; the zero vector for no text."""
-    codes = np.frombuffer(" ".join((text or "").lower().split()).encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
-    if len(codes) < n:
-        return [0.0] * size
-    h = np.zeros(len(codes) - n + 1, np.uint64)
+def hashed_embedding(texts: list[str | None], size: int = 64, n: int = 3) -> np.ndarray:
+    """A deterministic embedding of character n-grams (texts x size), for where no model is at hand; the zero vector for no text."""
+    out = np.zeros((len(texts), size), np.float32)
+    codes = [np.frombuffer(" ".join((t or "").lower().split()).encode("utf-32-le", "replace"), "<u4") for t in texts]
+    runs = np.array([max(0, len(c) - n + 1) for c in codes])
+    if not runs.sum():
+        return out
+    h = np.zeros(int(runs.sum()), np.uint64)
     for k in range(n):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + codes[k : len(codes) - n + 1 + k]
+        h = h * np.uint64(0x9E3779B97F4A7C15) + np.concatenate([c[k : k + r] for c, r in zip(codes, runs)]).astype(np.uint64)
     h ^= h >> np.uint64(31)
     sign = np.where(h >> np.uint64(40) & np.uint64(1), 1.0, -1.0)
-    return np.bincount((h % np.uint64(size)).astype(np.int64), sign, size).astype(np.float32).tolist()
+    cell = np.repeat(np.arange(len(texts)), runs) * size + (h % np.uint64(size)).astype(np.int64)
+    return np.bincount(cell, sign, len(texts) * size).reshape(out.shape).astype(np.float32)
+
 
+def embed(df: DataFrame, text: str, out: str = "embedding", *, model: Callable[[], Callable[[list[str | None]], np.ndarray]] = lambda: hashed_embedding, batch: int = 1024) -> DataFrame:
+    """``df`` with the embedding of ``text``: ``model`` is a loader, called once per worker task, of a function from a list of texts to an array (texts x size).
 
-def embed(df: DataFrame, text: str, out: str = "embedding", *, model=hashed_embedding) -> DataFrame:
-    """``df`` with the embedding of ``text`` by ``model`` (text → floats), made once per worker and used on whole batches."""
+    Questions and texts are embedded by the same call; at most ``batch`` texts go to the model at a time.
+    """
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode = model()
         for texts in batches:
-            yield texts.map(model)
+            own = texts.where(texts.notna(), None).tolist()
+            vectors = [np.asarray(encode(own[i : i + batch]), np.float32) for i in range(0, len(own), batch)]
+            yield pd.Series([v for part in vectors for v in part], dtype=object)
 
     return df.withColumn(out, run(F.col(text)))

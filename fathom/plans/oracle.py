@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fathom.operators import chunk as C
+
 from . import registry as R
 
 W = r"[\s\x0b\x85\p{Z}]+"
@@ -69,6 +71,7 @@ _SECTION = f"""select doc_id, case when start is null then '' else {_trim("case
 _TITLE = "case route " + " ".join(f"when {_q(k)} then {_q(v)}" for k, v in R.CASE_ROUTES.items()) + " end"
 _UNIT = "list_transform(e, lambda x: x / sqrt(list_inner_product(e, e)))"
 _VECTOR = """s as (select q.vec_id as qid, c.vec_id as id, list_inner_product(q.u, c.u) as score from e q join e c on q.vec_id % 20 = 0 {more})"""
+_PROJECTS = ", ".join(f"({_q(p)}, {_list(a)})" for p, a in R.PROJECTS)
 _SPLIT = "|".join(R.SEPARATORS)
 
 ORACLE: dict[str, str] = {
@@ -81,20 +84,36 @@ ORACLE: dict[str, str] = {
     "keyword_topk": f"""with q as (select case_id as qid, {_terms("concat_ws(' ', q, array_to_string(expect_any, ' '))")} as t from regression_cases where case_id % 20 = 0),
         s as (select qid, doc_id as id, len(list_filter(t, lambda w: contains(lower(coalesce(text, '')), w))) / len(t)::double as score from q cross join documents where len(t) > 0)
         select qid, id, round(score, 6) as score, row_number() over (partition by qid order by score desc, id) as rank from s where score > 0 qualify rank <= 12""",
-    "hybrid_topk": f"""with b as (select d.doc_id, d.text, d.source, d.product_id, embedding::double[] as e from documents d join embeddings on doc_id = vec_id),
-        e as (select doc_id as vec_id, {_UNIT} as u from b), {_VECTOR.format(more="")},
+    "hybrid_topk": f"""with v as (select vec_id, embedding::double[] as e from embeddings), u as (select vec_id, {_UNIT} as u from v),
+        c as (select doc_id, u from documents join u on doc_id = vec_id),
+        a as (select qa_id, u, {_terms("rewritten_query")} as t from qa_log join u on qa_id = vec_id where qa_id % 20 = 0),
+        s as (select qa_id as qid, doc_id as id, list_inner_product(a.u, c.u) as score from a cross join c),
         v0 as (select qid, id, score, row_number() over (partition by qid order by score desc, id) as rank from s qualify rank <= 12),
-        q as (select doc_id as qid, {_terms("concat_ws(' ', product_id, 'the der 的 les', source)")} as t from b where doc_id % 20 = 0),
-        k1 as (select qid, doc_id as id, len(list_filter(t, lambda w: contains(lower(coalesce(text, '')), w))) / len(t)::double as score from q cross join documents where len(t) > 0),
+        k1 as (select qa_id as qid, doc_id as id, len(list_filter(t, lambda w: contains(lower(coalesce(text, '')), w))) / len(t)::double as score from a cross join documents where len(t) > 0),
         k0 as (select *, row_number() over (partition by qid order by score desc, id) as rank from k1 where score > 0 qualify rank <= 12),
-        v as (select qid, text, max_by(score, rank) as vs, max_by(id, rank) as vid, min(rank) as vp from v0 join documents on doc_id = id where text is not null group by 1, 2),
+        v2 as (select qid, text, max_by(score, rank) as vs, max_by(id, rank) as vid, min(rank) as vp from v0 join documents on doc_id = id where text is not null group by 1, 2),
         k as (select qid, text, list_sum(list(score order by rank)) as ks, min_by(id, rank) as kid, min(rank) as kp from k0 join documents on doc_id = id where text is not null group by 1, 2),
-        m as (select coalesce(v.qid, k.qid) as qid, coalesce(vid, kid) as id, coalesce(vs, 0.0) as vs, coalesce(ks, 0.0) as ks, coalesce(vs, 0.0) * 0.65::double + coalesce(ks, 0.0) * 0.35::double as hs, vp is null as late, coalesce(vp, kp) as place
-            from v full outer join k on v.qid = k.qid and v.text = k.text)
+        m as (select coalesce(v2.qid, k.qid) as qid, coalesce(vid, kid) as id, coalesce(vs, 0.0) as vs, coalesce(ks, 0.0) as ks, coalesce(vs, 0.0) * 0.65::double + coalesce(ks, 0.0) * 0.35::double as hs, vp is null as late, coalesce(vp, kp) as place
+            from v2 full outer join k on v2.qid = k.qid and v2.text = k.text)
         select qid, id, round(vs, 6) as vector_score, round(ks, 6) as keyword_score, round(hs, 6) as hybrid_score, row_number() over (partition by qid order by hs desc, late, place) as rank from m qualify rank <= 8""",
     "chunk_fixed": f"with {_WINDOWS} select doc_id, row_number() over (partition by doc_id order by k) as chunk_id, length(c)::bigint as n, md5(c) as digest from w where c <> ''",
     "chunk_counts": f"""with {_WINDOWS}, n as (select doc_id, count(*) as n from w where c <> '' group by 1)
         select coalesce(product_id, '') as product_id, sum(coalesce(n, 0))::bigint as chunks, count(*) as files from documents left join n using (doc_id) group by 1""",
+    "chunk_packed": rf"""with b as (select doc_id, {_trim("regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10) || '{3,}', chr(10) || chr(10), 'g')")} as body from documents where text is not null),
+        l as (select doc_id, list_transform(string_split(body, chr(10)), lambda x: {_trim("x")}) as l from b),
+        m as (select doc_id, array_to_string(list_transform(l, lambda x: case when x = '' then chr(30) when regexp_matches(x, '(?i){"|".join(C.TITLES)}') then chr(30) || x || chr(30) else x end), chr(10)) as m from l),
+        p as (select doc_id, list_filter(regexp_split_to_array(m, '\n?(?:\x1e\n?)+'), lambda x: x <> '') as p from m),
+        f as (select doc_id, list_reduce(list_transform(p, lambda x: struct_pack(chunks := []::varchar[], open := x)), lambda a, x:
+            case when length(x.open) > 504 then struct_pack(chunks := a.chunks || list_filter([{_trim("a.open")}], lambda c: c <> '') || list_filter(list_transform(range(0, (length(x.open) - 1) // 320 + 1), lambda i: {_trim("substring(x.open, (i * 320 + 1)::int, 420)")}), lambda c: c <> ''), open := '')
+                when length(case when a.open = '' then x.open else a.open || chr(10) || x.open end) <= 420 then struct_pack(chunks := a.chunks, open := case when a.open = '' then x.open else a.open || chr(10) || x.open end)
+                else struct_pack(chunks := a.chunks || list_filter([{_trim("a.open")}], lambda c: c <> ''), open := case when len(a.chunks) = 0 and a.open = '' then x.open
+                    when length({_trim("right(case when a.open = '' then a.chunks[-1] else " + _trim("a.open") + " end, 100) || chr(10) || x.open")}) > 546 then x.open
+                    else {_trim("right(case when a.open = '' then a.chunks[-1] else " + _trim("a.open") + " end, 100) || chr(10) || x.open")} end) end,
+            struct_pack(chunks := []::varchar[], open := '')) as s from p),
+        c as (select doc_id, s.chunks || list_filter([{_trim("s.open")}], lambda c: c <> '') as c from f),
+        u as (select doc_id, unnest(c) as text, generate_subscripts(c, 1) as i from c),
+        k as (select doc_id, text, i, {_collapse("text")} as k from u qualify row_number() over (partition by doc_id, {_collapse("text")} order by i) = 1)
+        select doc_id, row_number() over (partition by doc_id order by i) as chunk_id, text from k""",
     "normalize_lines": _lines("documents", "doc_id"),
     "unique_lines": _uniq(f"select doc_id, unnest(string_split({_newlines('text')}, chr(10))) as v, generate_subscripts(string_split({_newlines('text')}, chr(10)), 1) as i from documents where text is not null", "doc_id", "line"),
     "section_block": f"with s as ({_SECTION}) select doc_id, length(s)::bigint as n, md5(s) as digest from s",
@@ -112,6 +131,35 @@ ORACLE: dict[str, str] = {
             from qa_log left join a on a.product_id = qa_log.meta['product_id']),
         u as ({_uniq("select qa_id, unnest(l) as v, generate_subscripts(l, 1) as i from p", "qa_id", "part")})
         select qa_id, coalesce(string_agg(part, ' ' order by pos), '') as expanded from qa_log left join u using (qa_id) group by 1""",
+    "rewrite_struct": f"""with q as (select qa_id, {_trim("coalesce(question, '')")} as q from qa_log),
+        pa as (select product_id, list(alias order by alias_ord, alias)[1:4] as a from product_aliases where alias is not null and product_id is not null group by 1),
+        ph as (select distinct qa_id, product_id from q join product_aliases p on p.alias is not null and p.product_id is not null and contains(lower(q), lower(alias))),
+        ja(project_id, a) as (values {_PROJECTS}),
+        jh as (select distinct qa_id, project_id from q, (select project_id, unnest(a) as alias from ja) where contains(lower(q), lower(alias))),
+        w as (select qa_id, 0 as i, q as v from q
+            union all select qa_id, 1000 + 10 * dense_rank() over (order by product_id) + n, v from (select qa_id, product_id, unnest(a) as v, generate_subscripts(a, 1) as n from ph join pa using (product_id))
+            union all select qa_id, 1000000 + 10 * dense_rank() over (order by project_id) + n, v from (select qa_id, project_id, unnest(a[1:3]) as v, generate_subscripts(a[1:3], 1) as n from jh join ja using (project_id))
+            union all select qa_id, 2000000 + n, v from (select qa_id, q, unnest({_list(R.TIMES)}) as v, unnest(range(1, {len(R.TIMES) + 1})) as n from q) where contains(q, v)
+            union all select qa_id, 3000000 + n, v from (select qa_id, q, unnest({_list(R.WORDS)}) as v, unnest(range(1, {len(R.WORDS) + 1})) as n from q) where contains(q, v)),
+        u as ({_uniq("select qa_id, i, v from w", "qa_id", "part")}),
+        s as ({_uniq(f"select qa_id, unnest(regexp_split_to_array(q, '{_SPLIT}')) as v, generate_subscripts(regexp_split_to_array(q, '{_SPLIT}'), 1) as i from q", "qa_id", "part")})
+        select q.qa_id, q as original, coalesce((select string_agg(part, ' ' order by pos) from u where u.qa_id = q.qa_id), '') as expanded,
+            coalesce((select string_agg(product_id, ',' order by product_id) from ph where ph.qa_id = q.qa_id), '') as products, coalesce((select string_agg(project_id, ',' order by project_id) from jh where jh.qa_id = q.qa_id), '') as projects,
+            array_to_string(list_filter({_list(R.TIMES)}, lambda t: contains(q, t)), ',') as times, array_to_string(list_filter({_list(R.WORDS)}, lambda t: contains(q, t)), ',') as symptoms,
+            (select count(*) from s where s.qa_id = q.qa_id) as parts from q""",
+    "bullets": f"""with x as ({_SECTION}), y as (select doc_id, s as text from x), l as ({_lines("y", "doc_id")}),
+        c as (select doc_id, pos as i, {_trim("ltrim(line, '-')")} as v from l where not starts_with(line, '【Q】') and not starts_with(line, '【A】')),
+        k as (select * from c where v <> '' and (regexp_matches(v, '^[0-9]+[）)]') or length(v) <= 60 or len(list_filter({_list(R.WORDS)}, lambda w: contains(v, w))) > 0)),
+        u as ({_uniq("select doc_id, i, v from k", "doc_id", "line")})
+        select doc_id, string_agg(line, chr(10) order by pos) as lines from u where pos <= 12 group by 1""",
+    "embed_texts": r"""with t as (select ord, """ + _collapse("lower(coalesce(text, ''))") + r""" as s from docs),
+        p as (select ord, s, unnest(range(1, greatest(length(s) - 1, 1))) as i from t),
+        g as (select ord, ((((unicode(s[i])::uhugeint * 11400714819323198485::uhugeint + unicode(s[i + 1])::uhugeint) % 18446744073709551616::uhugeint) * 11400714819323198485::uhugeint + unicode(s[i + 2])::uhugeint) % 18446744073709551616::uhugeint)::ubigint as h from p),
+        x as (select ord, xor(h, h >> 31) as h from g),
+        c as (select ord, (h % 64)::int as cell, sum(case when (h >> 40) & 1 = 1 then 1 else -1 end)::double as v from x group by 1, 2),
+        n as (select ord, sqrt(sum(v * v)) as n, sum(v * (cell + 1)) as w, max(v) as m, count(*) as cells from c group by 1)
+        select docs.ord, case when n > 0 then 1.0 else 0.0 end::double as unit, coalesce(round(case when n > 0 then w / n else 0 end, 6), 0.0) as digest,
+            coalesce(round(case when n > 0 then greatest(m, case when cells < 64 then 0 else m end) / n else 0 end, 6), 0.0) as largest from docs left join n using (ord)""",
     "media_route": """with m as (select *, row_number() over (order by title) as ord from media_items),
         h as (select distinct qa_id, ord, title, media_type, coalesce(url, '') as url from qa_log, m where len(list_filter(keywords, lambda w: contains(lower(question), lower(w)))) > 0)
         select qa_id, ord as media_order, title, media_type, url from h qualify row_number() over (partition by qa_id order by ord) <= 6""",

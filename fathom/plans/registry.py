@@ -12,7 +12,8 @@ from fathom.functions import vector as V
 from fathom.operators import answer, chunk, extract, search, understand
 from fathom.sources import files, tables
 
-SEPARATORS = ["；", ";", "。", "，另外", "，还有", "并且", "同时"]
+# What parts of a question are divided by.
+SEPARATORS = ["；", ";", "。", "，另外", "并且", "同时", "还有"]
 ROUTES = [
     ("risk", ["孕期", "过敏", "抗凝", "pregnan", "allerg"]),
     ("combination", ["一起用", "先做哪个", "可以配", "mix", "be used with", "mêler", "Verträgt"]),
@@ -23,6 +24,8 @@ ROUTES = [
 ]
 DEFAULT_ROUTE = "basic"
 WORDS = ["眼周", "面颊", "颈部", "唇周", "泪沟", "cheeks", "neck", "lip"]
+TIMES = ["多久", "几天", "小时", "hours", "weeks", "Stunden", "heures"]
+PROJECTS = [("eyes", ["眼周", "泪沟", "眼下", "眉间"]), ("neck", ["颈部", "锁骨区", "neck"]), ("lips", ["唇周", "唇缘", "lip"])]
 TITLES, STOPS = ["用量", "Dose", "Mengen", "【Q】"], ["来源", "存放", "Storage", "【A】"]
 MARKERS = r"^(#{1,6} |[一二三四五六七八九十]、|【问】|Q: |Frage: )"
 CASE_ROUTES = {"risk": "人群提醒", "combination": "组合安排", "aftercare": "护理提示", "dose": "用量说明", "storage": "储存须知", "origin": "来源核验", "basic": "品类介绍"}
@@ -52,11 +55,12 @@ def keyword_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def hybrid_topk(spark: SparkSession, folder: str) -> DataFrame:
-    docs = _t(spark, folder, "documents").select("doc_id", "text", F.col("source").alias("src"), "product_id")
-    rows = docs.join(_t(spark, folder, "embeddings"), F.col("doc_id") == F.col("vec_id"))
-    asked = rows.where("doc_id % 20 = 0").withColumn("query", F.concat_ws(" ", "product_id", F.lit("the der 的 les"), "src"))
-    vector = search.vector_topk(asked, rows, qid="doc_id", qvec="embedding", key="doc_id", vec="embedding")
-    keyword = search.keyword_topk(asked, docs, qid="doc_id", query="query", key="doc_id", text="text")
+    """Rewritten questions with the vector of their number, against the documents."""
+    docs, vectors = _t(spark, folder, "documents").select("doc_id", "text"), _t(spark, folder, "embeddings")
+    rows = docs.join(vectors, F.col("doc_id") == F.col("vec_id"))
+    asked = _t(spark, folder, "qa_log").where("qa_id % 20 = 0").select("qa_id", "rewritten_query").join(vectors, F.col("qa_id") == F.col("vec_id"))
+    vector = search.vector_topk(asked, rows, qid="qa_id", qvec="embedding", key="doc_id", vec="embedding")
+    keyword = search.keyword_topk(asked, docs, qid="qa_id", query="rewritten_query", key="doc_id", text="text")
     texts = docs.select(F.col("doc_id").alias("id"), "text")
     with_text = lambda h: h.join(texts.where(F.col("text").isNotNull()), "id").select("qid", "text", "id", "score", "rank")
     merged = search.merge_hybrid(with_text(vector), with_text(keyword))
@@ -130,6 +134,18 @@ def rewrite_expand(spark: SparkSession, folder: str) -> DataFrame:
     return q.select("qa_id", understand.expand(F.col("question"), F.col("aliases"), WORDS).alias("expanded"))
 
 
+def _projects(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(p, a, i) for p, names in PROJECTS for i, a in enumerate(names)], "project_id string, alias string, alias_ord int")
+
+
+def rewrite_struct(spark: SparkSession, folder: str) -> DataFrame:
+    """Every question rewritten by what is detected in it."""
+    products = _t(spark, folder, "product_aliases").select("product_id", "alias", "alias_ord")
+    r = understand.rewrite(_t(spark, folder, "qa_log").select("qa_id", "question"), "question", products, _projects(spark), times=TIMES, symptoms=WORDS, separators=SEPARATORS)
+    joined = lambda c: F.array_join(f"rewrite.{c}", ",").alias(c)
+    return r.select("qa_id", "rewrite.original", "rewrite.expanded", joined("products"), joined("projects"), joined("times"), joined("symptoms"), F.size("rewrite.sub_questions").cast("bigint").alias("parts"))
+
+
 def media_route(spark: SparkSession, folder: str) -> DataFrame:
     media = _t(spark, folder, "media_items").withColumn("ord", F.row_number().over(Window.orderBy("title")))
     return understand.media_for(_t(spark, folder, "qa_log").where("question is not null"), "question", "qa_id", media)
@@ -244,23 +260,55 @@ def regression_answers(spark: SparkSession, folder: str) -> DataFrame:
     return c.join(q, "k", "left").groupBy("case_id").agg(F.count("answer").alias("answers"), F.count_if(held).alias("passed"))
 
 
-def batch_answers(spark: SparkSession, folder: str) -> DataFrame:
-    """Every question of the log through the whole answer plan, on the newest main and faq chunks of its product; evidence is what the log says was hit."""
+BUDGETS = {"aftercare": {"brief": 20, "full": 28}, "dose": {"brief": 16, "full": 24}, "risk": {"brief": 12, "full": 18}}
+STEP_NOTES = {"storage": ["注意", "Notes", "Hinweis"]}
+
+
+def asked(spark: SparkSession, folder: str, questions: DataFrame, key: str, question: str, mode: str = "brief", *, search_in: bool = True, evidence=None) -> DataFrame:
+    """(key, answer) of questions through the whole plan, on the newest main and faq chunks of their products."""
+    if mode not in ("brief", "full"):
+        mode = "brief"
     d = _t(spark, folder, "docs").where("meta.source_type in ('main', 'faq') and meta.product_id is not null and trim(text) <> ''")
     newest = F.struct("built_at", "ord")
-    texts = _keyed(d).groupBy("product_id", "source_type", "chunk_key").agg(F.max_by("text", newest).alias("text"), F.max_by("chunk_id", newest).alias("chunk_id"))
-    hits = F.transform("matched_sources", lambda m: answer.evidence_line(m["source_file"], m["chunk_id"], m["source_type"]))
-    order = _t(spark, folder, "product_aliases").where("alias is not null").groupBy("product_id", "alias").agg(F.min("alias_ord").alias("alias_ord"))
-    sections = {name: (["：", ":", "，", ","], ["\n"]) for name, _ in ROUTES} | {DEFAULT_ROUTE: (["。", "."], ["\n\n"])}
+    texts = _keyed(d).groupBy("product_id", "source_type", "chunk_key").agg(*[F.max_by(c, newest).alias(c) for c in ("text", "chunk_id", "ord", "source_file")])
+    aliases = _t(spark, folder, "product_aliases").where("alias is not null")
+    order = aliases.groupBy("product_id", "alias").agg(F.min("alias_ord").alias("alias_ord"))
+
+    def expand(parts: DataFrame) -> DataFrame:
+        r = understand.rewrite(parts, "_part", aliases.select("product_id", "alias", "alias_ord"), _projects(spark), times=TIMES, symptoms=WORDS, separators=SEPARATORS, out="_r")
+        return r.withColumn("_query", F.col("_r.expanded")).drop("_r")
+
+    sections = {name: (["：", ":", "，", ","], ["\n"]) for name, _ in ROUTES} | {DEFAULT_ROUTE: (["。", "."], ["\n\n"]), "storage": (["STEP"], [])}
     return answer.answers(
-        _t(spark, folder, "qa_log"), texts, order, key="qa_id", question="question", separators=SEPARATORS, routes=ROUTES, sections=sections, titles=CASE_ROUTES, note=NOTE, default_route=DEFAULT_ROUTE, keep=WORDS, evidence=hits
-    )
+        questions, texts, order, key=key, question=question, separators=SEPARATORS, routes=ROUTES, sections=sections, titles=CASE_ROUTES, note=NOTE, default_route=DEFAULT_ROUTE, keep=WORDS,
+        most_lines={r: BUDGETS.get(r, {"brief": 12, "full": 20})[mode] for r in CASE_ROUTES}, steps=STEP_NOTES, mode=mode, risk=("risk", "请先咨询医生。"),
+        expand=expand if search_in else None, search_in=texts.withColumn("id", F.col("ord")) if search_in else None, evidence=evidence,
+    )
+
+
+def batch_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """Every question of the log through the whole answer plan; evidence is what a hybrid search finds among the product's chunks."""
+    return asked(spark, folder, _t(spark, folder, "qa_log"), "qa_id", "question")
+
+
+def logged_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``batch_answers`` in full, with the evidence that the log says was hit."""
+    hits = F.transform("matched_sources", lambda m: answer.evidence_line(m["source_file"], m["chunk_id"], m["source_type"]))
+    return asked(spark, folder, _t(spark, folder, "qa_log"), "qa_id", "question", "full", search_in=False, evidence=hits)
+
+
+def regression_own(spark: SparkSession, folder: str) -> DataFrame:
+    """The regression cases against this engine's own answers to their questions."""
+    c = _t(spark, folder, "regression_cases")
+    done = answer.regression(c, asked(spark, folder, c, "case_id", "q"), "case_id")
+    return done.groupBy("lang").agg(F.count("*").alias("n"), F.count_if("passed").alias("passed"))
 
 
 def embed_texts(spark: SparkSession, folder: str) -> DataFrame:
-    """Every chunk text by the hashing embedder, normalised; a digest instead of the vector's floats."""
+    """Every chunk text by the hashing embedder, normalised; digests of the vector instead of its floats."""
     rows = search.embed(_t(spark, folder, "docs").select("ord", "text"), "text").withColumn("u", V.normalize(F.col("embedding")))
-    return rows.select("ord", F.round(V.norm(F.col("u")), 6).alias("unit"), F.size("u").alias("size"))
+    weighted = F.aggregate(F.transform("u", lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return rows.select("ord", F.round(V.norm(F.col("u")), 6).alias("unit"), F.round(weighted, 6).alias("digest"), F.round(F.array_max("u"), 6).alias("largest"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -268,6 +316,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         l2_normalize, vector_topk, keyword_score, keyword_topk, hybrid_topk, chunk_fixed, chunk_counts, chunk_packed, normalize_lines, unique_lines, section_block, detect_terms, ambiguous_questions, detect_route, route_counts,
         split_questions, rewrite_expand, media_route, state_fill, step_lines, step_answer, bullets, unified_chunks, latest_chunks, evidence, answer_format, recent_qa, recent_errors, error_stages, miss_log,
-        resent_rows, late_rows, shared_aliases, catalog, regression_pass, regression_answers, batch_answers, embed_texts,
+        resent_rows, late_rows, shared_aliases, catalog, regression_pass, regression_answers, rewrite_struct, batch_answers, logged_answers, regression_own, embed_texts,
     )
 }

@@ -25,7 +25,7 @@ def read_store(spark: SparkSession, path: str, product: str | None = None) -> Da
     return rows if product is None else rows.where(F.col("product_id") == product)
 
 
-def rebuild(spark: SparkSession, root: str, store: str, product: str, *, model=search.hashed_embedding, packed: bool = False) -> DataFrame:
+def rebuild(spark: SparkSession, root: str, store: str, product: str, *, model=lambda: search.hashed_embedding, packed: bool = False) -> DataFrame:
     """Reads, chunks, embeds and stores one product; returns (source_file, chunks) of what was stored."""
     if not re.fullmatch(r"[\w-]+", product or ""):
         raise ValueError(f"no product id: {product!r}")

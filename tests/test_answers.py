@@ -14,6 +14,15 @@ def test_detect_keeps_the_order_of_the_vocabulary(spark):
     assert [r["found"] for r in got] == [["p", "q"], [], [], ["q"]]
 
 
+def test_detect_by_join(spark, monkeypatch):
+    words = spark.createDataFrame([("q", "Beta", 2), ("p", "alpha", 1), ("p", "al", 1), ("r", None, 3), (None, "x", 4), ("z", "", 5)], "k string, t string, o int")
+    df = spark.createDataFrame([(1, "BETA and Alpha"), (2, None), (3, ""), (1, "beta"), (1, "beta")], "detected bigint, t string")
+    ask = lambda: sorted((r["detected"], r["t"] or "", r["found"]) for r in understand.detect(df, "t", words, key="k", term="t", order=F.col("o"), out="found").collect())
+    sent = ask()
+    monkeypatch.setattr(understand, "MOST_ENTRIES", 0)
+    assert ask() == sent and len(sent) == 5
+
+
 def test_route_by_priority(spark):
     df = spark.createDataFrame([("How much, and allergic?",), ("用多少",), ("x",), (None,)], "t string")
     assert [r[0] for r in df.select(understand.route(F.col("t"), ROUTES, "basic")).collect()] == ["risk", "dose", "basic", "basic"]

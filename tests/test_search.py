@@ -34,7 +34,29 @@ def test_vector_topk_on_nothing(spark):
 def test_blocks_of_queries(spark, monkeypatch):
     monkeypatch.setattr(search, "BLOCK", 3)
     df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(12)], "id bigint, v array<double>")
-    assert search.vector_topk(df, df, qid="id", qvec="v", key="id", vec="v", k=2).count() == 24
+    blocks = search.vector_topk(df, df, qid="id", qvec="v", key="id", vec="v", k=2)
+    monkeypatch.setattr(search, "ROWS", 5)
+    cells = search.vector_topk(df, df, qid="id", qvec="v", key="id", vec="v", k=2)
+    monkeypatch.setattr(search, "BLOCK", 4096)
+    sent = search.vector_topk(df, df, qid="id", qvec="v", key="id", vec="v", k=2)
+    plain = lambda d: sorted((r["qid"], r["rank"], r["id"], round(r["score"], 9)) for r in d.collect())
+    assert len(plain(sent)) == 24 and plain(blocks) == plain(cells) == plain(sent)
+
+
+def test_keyword_cells(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i % 7))) for i in range(60)], "d bigint, t string")
+    queries = spark.createDataFrame([(i, f"w{i} w{i + 1} zz") for i in range(9)] + [(20, None)], "q bigint, t string")
+    ask = lambda: sorted(map(tuple, search.keyword_topk(queries, docs, qid="q", query="t", key="d", text="t", k=4).collect()))
+    sent = ask()
+    monkeypatch.setattr(search, "BLOCK", 2)
+    monkeypatch.setattr(search, "ROWS", 17)
+    assert sent and ask() == sent
+
+
+def test_ties_of_equal_rows(spark):
+    df = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(50)] + [(7, [1.0, 0.0])], "id bigint, v array<double>").repartition(4)
+    got = search.vector_topk(df.where("id = 3"), df, qid="id", qvec="v", key="id", vec="v", k=10).orderBy("rank").collect()
+    assert [r["id"] for r in got] == [0, 1, 2, 3, 4, 5, 6, 7, 7, 8]
 
 
 def test_keyword_topk(spark):
@@ -74,7 +96,23 @@ def test_merge_hybrid(spark):
 def test_embedding_is_stable(spark):
     df = spark.createDataFrame([("abc def",), (None,), ("",)], "t string")
     v = [r[0] for r in search.embed(df, "t").select("embedding").collect()]
-    assert v[0] == search.hashed_embedding("abc  DEF") and not any(v[1]) and not any(v[2])
+    assert v[0] == search.hashed_embedding(["abc  DEF"])[0].tolist() and not any(v[1]) and not any(v[2])
+    assert [i for i, x in enumerate(search.hashed_embedding(["abc"], 8)[0]) if x] == [int(i) for i in np.flatnonzero(search.hashed_embedding(["ABC "], 8)[0])]
+
+
+def test_model_is_loaded_once_a_task_and_called_by_batches(spark):
+    def load():
+        calls = []
+
+        def encode(texts):
+            calls.append(len(texts))
+            return np.array([[float(len(t or "")), float(len(calls)), float(max(calls))] for t in texts])
+
+        return encode
+
+    df = spark.createDataFrame([("x" * i,) for i in range(10)], "t string").coalesce(1)
+    got = [r[0] for r in search.embed(df, "t", model=load, batch=4).select("embedding").collect()]
+    assert [g[0] for g in got] == list(range(10)) and [g[1] for g in got] == [1, 1, 1, 1, 2, 2, 2, 2, 3, 3] and max(g[2] for g in got) == 4
 
 
 def test_keyword_score(spark):

@@ -1,7 +1,5 @@
 """Text expressions against plain Python."""
 
-import re
-
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -83,19 +81,26 @@ def test_contains_any_quotes_words(spark):
     assert [g[0] for g in got] == [True, False, False, True]
 
 
-def test_packing():
-    assert chunk.paragraphs("# T\na\nb\n\n\nc\n1) d\ne") == ["# T", "a\nb", "c", "1) d", "e"]
-    assert chunk.pack_paragraphs([]) == []
-    assert chunk.pack_paragraphs(["a" * 200, "b" * 200]) == ["a" * 200 + "\n" + "b" * 200]
-    two = chunk.pack_paragraphs(["a" * 420, "b" * 300])
-    assert two == ["a" * 420, "a" * 100 + "\n" + "b" * 300]
-    windows = chunk.pack_paragraphs(["x" * 505])
-    assert [len(w) for w in windows] == [420, 185]
-    assert chunk.pack_paragraphs(["y" * 504]) == ["y" * 504]
-    assert chunk.pack_paragraphs(["p" * 430, "p" * 430][:1] * 2)[0] == "p" * 430
-    assert all(re.search(r"\S", c) for c in chunk.pack_paragraphs([" ", "a"]))
+def test_packing(spark):
+    (got,) = one(spark, ["# T\na\nb\n\n\nc\n1) d\ne"], chunk.paragraphs(F.col("t")))
+    assert got[0] == ["# T", "a\nb", "c", "1) d", "e"]
+
+    def pack(*parts):
+        return spark.createDataFrame([(list(parts),)], "p array<string>").select(chunk.pack_paragraphs(F.col("p"))).first()[0]
+
+    assert pack() == []
+    assert pack("a" * 200, "b" * 200) == ["a" * 200 + "\n" + "b" * 200]
+    assert pack("a" * 420, "b" * 300) == ["a" * 420, "a" * 100 + "\n" + "b" * 300]
+    assert pack("a" * 420, "b" * 500) == ["a" * 420, "b" * 500]  # over 1.3 times the size with the overlap
+    assert [len(w) for w in pack("x" * 505)] == [420, 185]
+    assert pack("y" * 504) == ["y" * 504]
+    assert pack("p" * 430, "p" * 430) == ["p" * 430, "p" * 100 + "\n" + "p" * 430]
+    assert pack("q", "q" * 430, "q") == ["q", "q\n" + "q" * 430, "q" * 100 + "\nq"]
+    assert pack("a  b", "c" * 600, "a b") == ["a  b", "c" * 420, "c" * 280]  # repeats up to white space count once
+    assert one(spark, [None, "", " \n "], chunk.packed(F.col("t"))) == [([],), ([],), ([],)]
 
 
-def test_titles():
-    assert all(map(chunk.is_title, ["# a", "一、b", "【c】", "STEP 3", "12) d", "0.8mm", "===", "---"]))
-    assert not any(map(chunk.is_title, ["a", "8mm", "a # b", ""]))
+def test_titles(spark):
+    texts = ["# a", "一、b", "【c】", "step 3", "12) d", "0.8mm", "===", "---", "第三", "#x"]
+    assert all(r[0] for r in one(spark, texts, chunk.is_title(F.col("t"))))
+    assert not any(r[0] for r in one(spark, ["a", "8mm", "a # b", "", "【c】d"], chunk.is_title(F.col("t"))))
