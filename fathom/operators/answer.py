@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.functions import text as X
+from fathom.sources import shared
 
 from . import extract, search, understand
 
@@ -78,20 +79,22 @@ def section_lines(pieces: DataFrame, *, keep: list[str], short: dict[str, int] |
     """
     budget = _by_route(most, 12) if isinstance(most, dict) else F.lit(most)
     length = _by_route(short, 0) if isinstance(short, dict) else F.lit(short)
-    lines = pieces.select("product_id", "_route", "_n", F.posexplode(extract.bullets(F.col("_text"), keep=keep, short=length, most=2**31 - 1)).alias("_i", "_line"))
+    bullets = extract.bullets(F.col("_text"), keep=keep, short=length, most=2**31 - 1)
+    lines = pieces.where("_text <> ''").select("product_id", "_route", "_n", F.posexplode_outer(bullets).alias("_i", "_line"))  # a section without lines keeps a row
+    unwanted = F.lit(False)
     for route, words in drop.items():
-        lines = lines.where((F.col("_route") != route) | ~X.contains_any(F.col("_line"), words))
+        unwanted = unwanted | ((F.col("_route") == route) & X.contains_any(F.col("_line"), words))
     for route, words in only.items():
-        lines = lines.where((F.col("_route") != route) | X.contains_any(F.col("_line"), words))
+        unwanted = unwanted | ((F.col("_route") == route) & ~X.contains_any(F.col("_line"), words))
+    lines = lines.withColumn("_line", F.when(~unwanted, F.col("_line"))) if drop or only else lines
     lines = lines.groupBy("product_id", "_route", "_line").agg(F.min(F.struct("_n", "_i")).alias("_at"))
-    rank = F.row_number().over(Window.partitionBy("product_id", "_route").orderBy("_at", "_line"))
+    rank = F.row_number().over(Window.partitionBy("product_id", "_route").orderBy(F.col("_line").isNull(), "_at", "_line"))
     best = lines.withColumn("_rank", rank).where(F.col("_rank") <= budget)
-    best = best.groupBy("product_id", "_route").agg(F.transform(F.array_sort(F.collect_list(F.struct("_rank", "_line"))), lambda x: x["_line"]).alias("_lines"))
-    found = pieces.where("_text <> ''").select("product_id", "_route").distinct().join(best, ["product_id", "_route"], "left")
     none = F.array().cast("array<string>")
+    own = F.transform(F.array_sort(F.collect_list(F.when(F.col("_line").isNotNull(), F.struct("_rank", "_line")))), lambda x: x["_line"])
     last = _by_route(append, None).cast("string") if append else F.lit(None).cast("string")
-    every = F.array_distinct(F.concat(F.coalesce("_lines", none), F.when(last.isNotNull(), F.array(last)).otherwise(none)))
-    return found.select("product_id", "_route", F.slice(every, F.lit(1), budget).alias("_lines"))
+    every = F.array_distinct(F.concat(F.col("_own"), F.when(last.isNotNull(), F.array(last)).otherwise(none)))
+    return best.groupBy("product_id", "_route").agg(own.alias("_own")).select("product_id", "_route", F.slice(every, F.lit(1), budget).alias("_lines"))
 
 
 def step_body(pieces: DataFrame, notes: list[str], *, brief: bool, head: str = "【步骤】", note_head: str = "【注意事项】", steps: int = 5) -> DataFrame:
@@ -117,7 +120,7 @@ def hybrid_evidence(asked: DataFrame, chunks: DataFrame, *, model=lambda: search
     embedded = lambda rows, c: search.embed(rows, c, "_v", model=model)
     vector = search.vector_topk(embedded(queries, "_query"), embedded(corpus, "text"), qid="qid", qvec="_v", key="id", vec="_v", by="product_id")
     keyword = search.keyword_topk(queries, corpus, qid="qid", query="_query", key="id", text="text", by="product_id")
-    texts = corpus.select("id", "text")
+    texts = corpus.select("id", F.md5("text").alias("text"))  # equal texts have equal digests
     with_text = lambda hits: hits.join(texts, "id").select("qid", "text", "id", "score", "rank")
     merged = search.merge_hybrid(with_text(vector), with_text(keyword)).where(F.col("rank") <= EVIDENCE)
     shown = merged.join(corpus.select("id", "source_file", "chunk_id", "source_type"), "id")
@@ -176,10 +179,12 @@ def answers(
     found = understand.detect(parts, "_part", vocabulary, key="product_id", term="alias", order=F.col("alias_ord"), out="_products")
     found = expand(found) if expand else found.withColumn("_query", F.col("_part"))
     routed = found.select(key, "_n", "_logged", "_query", F.coalesce(F.try_element_at("_products", F.lit(1)), F.lit(default_product)).alias("product_id"), understand.route(F.col("_part"), routes, default_route).alias("_route"))
-    pieces = section_pieces(texts, sections)
-    lines = section_lines(pieces.where(~F.col("_route").isin(list(steps))) if steps else pieces, keep=keep, short=short, most=most_lines, drop=drop, only=only, append=append)
+    routed = shared.written(routed, "parts")  # detected once, read by every branch below
+    lines = questions.sparkSession.createDataFrame([], "product_id string, _route string, _lines array<string>")
+    if plain := {r: rule for r, rule in sections.items() if r not in steps}:
+        lines = section_lines(section_pieces(texts, plain), keep=keep, short=short, most=most_lines, drop=drop, only=only, append=append)
     for name, notes in steps.items():
-        lines = lines.unionByName(step_body(pieces.where(F.col("_route") == name), notes, brief=mode == "brief"))
+        lines = lines.unionByName(step_body(section_pieces(texts, {name: sections[name]}), notes, brief=mode == "brief"))
     known = routed.where("product_id is not null").join(lines, ["product_id", "_route"], "left")  # a row per product and route; parts without a product stay out
     joined = known.unionByName(routed.where("product_id is null").withColumn("_lines", F.lit(None).cast("array<string>")))
     if search_in is not None:

@@ -135,31 +135,34 @@ def keyword_topk(queries: DataFrame, corpus: DataFrame, *, qid: str, query: str,
 
 
 def _hits(stated: list[tuple[int, list[str]]], k: int):
+    """The best k rows of each stated query (id, terms) by the share of its terms that a row contains; a repeated term counts each time."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import ahocorasick
 
-        words = ahocorasick.Automaton()
-        uses: dict[str, list[tuple[int, int]]] = {}
+        words, uses = ahocorasick.Automaton(), {}
         for n, (_, terms) in enumerate(stated):
-            for t in set(terms):
-                uses.setdefault(t, []).append((n, terms.count(t)))
-        for t in uses:
-            words.add_word(t, t)
-        best: dict[int, list[tuple[float, int]]] = {n: [] for n in range(len(stated))}
+            for t in terms:
+                uses.setdefault(t, []).append(n)
+        for i, t in enumerate(uses):
+            words.add_word(t, i)
         if uses:
             words.make_automaton()
-            for rows in batches:
-                for i, low in zip(rows["id"], rows["low"]):
-                    score: dict[int, int] = {}
-                    for t in {t for _, t in words.iter(low)}:
-                        for n, times in uses[t]:
-                            score[n] = score.get(n, 0) + times
-                    for n, s in score.items():
-                        best[n].append((-s / len(stated[n][1]), i))
-                for n, found in best.items():
-                    if len(found) > 4 * k:
-                        best[n] = sorted(found)[:k]
-        yield pd.DataFrame([(stated[n][0], i, -s) for n, found in best.items() for s, i in sorted(found)[:k]], columns=["qid", "id", "score"])
+        of_term = [np.array(v) for v in uses.values()]
+        names, size = np.array([i for i, _ in stated], np.int64), np.array([max(1, len(t)) for _, t in stated])
+        best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        new, waiting = [best], 0
+        for rows in batches if uses else ():
+            for i, low in zip(rows["id"], rows["low"]):
+                if held := {t for _, t in words.iter(low)}:
+                    count = np.bincount(np.concatenate([of_term[t] for t in held]), minlength=len(names))
+                    q = np.flatnonzero(count)
+                    new.append((q, np.full(len(q), i, np.int64), count[q] / size[q]))
+                    waiting += len(q)
+                if waiting > 500_000:
+                    new, waiting = [_top(*map(np.concatenate, zip(*new)), k)], 0
+        q, ids, score = _top(*map(np.concatenate, zip(*new)), k)
+        yield pd.DataFrame({"qid": names[q], "id": ids, "score": score})
 
     return run
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fathom.functions import text as X
 from fathom.functions import vector as V
 from fathom.operators import answer, chunk, extract, search, understand
-from fathom.sources import files, tables
+from fathom.sources import files, shared, tables
 
 # What parts of a question are divided by.
 SEPARATORS = ["；", ";", "。", "，另外", "并且", "同时", "还有"]
@@ -271,6 +271,7 @@ def asked(spark: SparkSession, folder: str, questions: DataFrame, key: str, ques
     d = _t(spark, folder, "docs").where("meta.source_type in ('main', 'faq') and meta.product_id is not null and trim(text) <> ''")
     newest = F.struct("built_at", "ord")
     texts = _keyed(d).groupBy("product_id", "source_type", "chunk_key").agg(*[F.max_by(c, newest).alias(c) for c in ("text", "chunk_id", "ord", "source_file")])
+    texts = shared.written(texts, "chunks")
     aliases = _t(spark, folder, "product_aliases").where("alias is not null")
     order = aliases.groupBy("product_id", "alias").agg(F.min("alias_ord").alias("alias_ord"))
 

@@ -80,6 +80,56 @@ def test_answers_from_all_chunks(spark):
     assert "暂无" in said[3]
 
 
+def test_evidence_from_search_and_risk_note(spark):
+    questions = spark.createDataFrame([(1, "alpha how much drops"), (2, "alpha allergic"), (3, "who knows"), (4, "beta how much")], "qid bigint, q string")
+    rows = [("p", "main", "main.txt", 1, 10, "Dose\n- two drops\nEnd"), ("p", "main", "main.txt", 2, 11, "how much drops alpha"), ("p", "faq", "faq.txt", 1, 12, "other words"), ("p", "faq", "faq.txt", 2, 13, "other words"), ("b", "main", "main.txt", 1, 14, None)]
+    texts = spark.createDataFrame(rows, "product_id string, source_type string, source_file string, chunk_id bigint, id bigint, text string").repartition(3)
+    words = spark.createDataFrame([("p", "alpha", 1), ("b", "beta", 2)], "product_id string, alias string, alias_ord int")
+    got = answer.answers(
+        questions, texts, words, key="qid", question="q", separators=["；"], routes=ROUTES, sections={"dose": (["Dose"], ["End"])}, titles={"dose": "D", "risk": "R"}, note="n", default_route="dose", keep=["drops"], search_in=texts, risk=("risk", "ask a doctor"), fallback=["a", "b"]
+    )
+    said = {r["qid"]: r["answer"].split("\n") for r in got.collect()}
+    lines = [x for x in said[1] if x.startswith("- 来源文件")]
+    assert len(lines) == 3 and set(lines) >= {"- 来源文件：main.txt｜段落：1｜类型：main", "- 来源文件：main.txt｜段落：2｜类型：main"}  # equal texts once
+    assert lines[0] == "- 来源文件：main.txt｜段落：2｜类型：main"  # the words of the question
+    assert said[2][-2:] == ["需医生评估项：", "- ask a doctor"] and said[2][2:4] == ["- a", "- b"] and "依据：" in said[2]
+    assert "依据：" not in said[3] and "依据：" not in said[4]
+
+
+def test_steps_by_route_and_mode(spark):
+    text = "Keep\nSTEP 1\n- a\n- b\nSTEP 2\nc\nSTEP 7\nx\nNotes\nn1\nn2\nn3"
+    questions = spark.createDataFrame([(1, "alpha how much"), (2, "beta how much")], "qid bigint, q string")
+    texts = spark.createDataFrame([("p", text), ("b", "Keep nothing")], "product_id string, text string")
+    words = spark.createDataFrame([("p", "alpha", 1), ("b", "beta", 2)], "product_id string, alias string, alias_ord int")
+    ask = lambda mode: {r["qid"]: r["answer"] for r in answer.answers(questions, texts, words, key="qid", question="q", separators=["；"], routes=ROUTES, sections={"dose": (["Keep"], [])}, titles={"dose": "D"}, note="n", default_route="dose", keep=[], steps={"dose": ["Notes"]}, mode=mode).collect()}
+    assert ask("brief")[1] == "D（资料提取）：\n结论：\n- 【步骤】\n- STEP 1：\n- a\n- STEP 2：\n- c\n- 【注意事项】\n- n1\n- n2\n注意事项：\n- n"
+    full = ask("full")
+    assert "- a\n- b\n- STEP 2" in full[1] and "- n3" in full[1] and "暂无" in full[2]
+
+
+def test_filters_and_budgets_of_routes(spark):
+    text = "T\nkeep 1 mm\nkeep noise mm\nkeep two\nkeep 3 mm\nkeep 3 mm\nlonger than short mm"
+    pieces = spark.createDataFrame([("p", "a", 1, text), ("p", "b", 1, "T"), ("p", "c", 1, text), ("q", "a", 1, "")], "product_id string, _route string, _n bigint, _text string")
+    got = answer.section_lines(pieces, keep=["keep"], short={"c": 30}, most={"a": 3, "b": 5, "c": 2}, drop={"a": ["noise"]}, only={"a": ["mm"]}, append={"a": "see a doctor", "b": "see a doctor"})
+    assert {(r["product_id"], r["_route"]): r["_lines"] for r in got.collect()} == {("p", "a"): ["keep 1 mm", "keep 3 mm", "see a doctor"], ("p", "b"): ["see a doctor"], ("p", "c"): ["T", "keep 1 mm"]}
+
+
+def test_rewrite(spark):
+    products = spark.createDataFrame([("p", "Alpha", 1), ("p", "al", 2), ("p", "x1", 3), ("p", "x2", 4), ("p", "x3", 5), ("b", "alpha", 1), (None, "q", 1), ("c", None, 1)], "product_id string, alias string, alias_ord int")
+    projects = spark.createDataFrame([("eyes", "eye", 0), ("eyes", "lid", 1)], "project_id string, alias string, alias_ord int")
+    df = spark.createDataFrame([(1, " ALPHA eye today, numb；why "), (2, None), (3, "none")], "id bigint, q string")
+    got = {r["id"]: r["rewrite"].asDict() for r in understand.rewrite(df, "q", products, projects, times=["today", "day"], symptoms=["numb"], separators=["；"]).collect()}
+    assert got[1] == {
+        "original": "ALPHA eye today, numb；why", "expanded": "ALPHA eye today, numb；why alpha Alpha al x1 x2 eye lid today day numb", "products": ["b", "p"], "projects": ["eyes"], "times": ["today", "day"], "symptoms": ["numb"], "sub_questions": ["ALPHA eye today, numb", "why"],
+    }
+    assert got[2]["original"] == got[2]["expanded"] == "" and got[2]["sub_questions"] == [] and got[3]["expanded"] == "none"
+
+
+def test_mode(spark):
+    df = spark.createDataFrame([("brief",), ("full",), ("Full",), (None,)], "m string")
+    assert [r[0] for r in df.select(understand.mode_of(F.col("m"))).collect()] == ["brief", "full", "brief", "brief"]
+
+
 def test_section_of_the_other_text(spark):
     df = spark.createDataFrame([("T a S b", "T x S y"), ("none", "T x S y"), (None, None)], "m string, o string")
     assert [r[0] for r in df.select(extract.section_or(F.col("m"), F.col("o"), ["T"], ["S"])).collect()] == ["T a", "T x S y", ""]
