@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fathom.functions import text as X
+
 CHUNKS = "id string, text string, meta struct<product_id: string, source_file: string, source_type: string, chunk_id: int>"
 QA_LOG = "ts string, question string, rewritten_query string, answer string, hit boolean, latency_ms int, matched_sources array<map<string,string>>, meta map<string,string>"
 MISS_LOG = "ts string, question string, rewritten_query string, meta map<string,string>"
@@ -58,13 +60,33 @@ def knowledge(spark: SparkSession, root: str) -> DataFrame:
     return rows.where(F.col("source_type").isin("main", "faq", "alias"))
 
 
+def knowledge_text(spark: SparkSession, root: str, wanted: DataFrame, *, trimmed: bool = False) -> DataFrame:
+    """``wanted`` (product_id, source_file) with text, an empty one where the file is missing; ``trimmed``: without white space at both ends."""
+    text = F.coalesce("text", F.lit(""))
+    found = knowledge(spark, root).select("product_id", "source_file", "text")
+    return wanted.join(found, ["product_id", "source_file"], "left").withColumn("text", X.utrim(text) if trimmed else text)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path exists, on whatever file system it names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def health(spark: SparkSession, **paths: str) -> DataFrame:
+    """One row (status, <name>_exists ...) for named paths."""
+    return spark.createDataFrame([("ok", *(exists(spark, p) for p in paths.values()))], "status string" + "".join(f", {n}_exists boolean" for n in paths))
+
+
 def documents_json(spark: SparkSession, path: str) -> DataFrame:
     """Chunk records of a JSON lines file; a malformed line fails the read, blank ones are skipped."""
     return spark.read.schema(CHUNKS).option("mode", "FAILFAST").json(path)
 
 
 def array_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The entries of one JSON array, with ord from 0; a file that can't be read as such is empty."""
+    """The entries of one JSON array, with ord from 0; a file that is missing or can't be read as such is empty."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema).withColumn("ord", F.lit(0).cast("bigint"))
     return spark.read.schema(schema).option("multiLine", "true").option("mode", "DROPMALFORMED").json(path).withColumn("ord", F.monotonically_increasing_id())
 
 
@@ -75,13 +97,20 @@ def parsed(lines: DataFrame, schema: str) -> DataFrame:
 
 
 def log(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON lines log without its malformed lines."""
+    """A JSON lines log without its malformed lines; a missing one is empty."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
     return parsed(spark.read.text(path), schema)
 
 
-def recent(rows: DataFrame, *order, limit: int) -> DataFrame:
-    """The newest rows first by ``order``; a limit below 1 counts as 1."""
-    return rows.orderBy(*[F.desc(o) for o in order]).limit(max(1, limit))
+def recent(rows: DataFrame, *order, limit: int, most: int = 10_000) -> DataFrame:
+    """The newest rows first by ``order``; a limit below 1 counts as 1, one above ``most`` as that."""
+    return rows.orderBy(*[F.desc(o) for o in order]).limit(min(most, max(1, limit)))
+
+
+def products(spark: SparkSession, root: str) -> DataFrame:
+    """(product_id) sorted: the names of the folders with files."""
+    return catalog(spark, root).select("product_id")
 
 
 def catalog(spark: SparkSession, root: str) -> DataFrame:

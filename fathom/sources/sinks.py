@@ -51,11 +51,11 @@ def stamped(rows: DataFrame) -> DataFrame:
     return rows.withColumn("ts", F.coalesce("ts", now) if "ts" in rows.columns else now)
 
 
-def log_qa(rows: DataFrame, qa_path: str, miss_path: str) -> None:
-    """Appends all rows to the question log, and those without a hit, projected, to the miss log."""
+def log_qa(rows: DataFrame, qa_path: str, miss_path: str, mode: str = "append") -> None:
+    """Appends (or, by ``mode``, overwrites) all rows to the question log, and those without a hit, projected, to the miss log."""
     full = stamped(rows).withColumns({c: F.coalesce(c, F.lit("")) for c in ("question", "rewritten_query", "answer")}).withColumn("hit", F.coalesce("hit", F.lit(False)))
-    full.write.mode("append").json(qa_path)
-    full.where(~F.col("hit")).select("ts", "question", "rewritten_query", "meta").write.mode("append").json(miss_path)
+    full.write.mode(mode).json(qa_path)
+    full.where(~F.col("hit")).select("ts", "question", "rewritten_query", "meta").write.mode(mode).json(miss_path)
 
 
 def log_error(rows: DataFrame, path: str) -> None:

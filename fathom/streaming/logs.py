@@ -29,11 +29,9 @@ def misses_by_hour(rows: DataFrame, lateness: str = "3 days", width: str = "1 ho
 
 
 def split_sinks(rows: DataFrame, qa_path: str, miss_path: str, checkpoint: str):
-    """A query that appends each batch to the question log and its misses to the miss log."""
+    """A query that writes each batch to the question log and its misses to the miss log, below ``batch=<id>``: a batch that is tried again replaces its own files."""
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.persist()
-        sinks.log_qa(batch.drop("event_time"), qa_path, miss_path)
-        batch.unpersist()
+    def write(batch: DataFrame, number: int) -> None:
+        sinks.log_qa(batch.drop("event_time"), f"{qa_path}/batch={number}", f"{miss_path}/batch={number}", mode="overwrite")
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -104,3 +104,7 @@ def test_titles(spark):
     texts = ["# a", "一、b", "【c】", "step 3", "12) d", "0.8mm", "===", "---", "第三", "#x"]
     assert all(r[0] for r in one(spark, texts, chunk.is_title(F.col("t"))))
     assert not any(r[0] for r in one(spark, ["a", "8mm", "a # b", "", "【c】d"], chunk.is_title(F.col("t"))))
+
+
+def test_head_and_tail(spark):
+    assert one(spark, ["a😀bc", "", None], X.head(F.col("t"), 2), X.tail(F.col("t"), 2)) == [("a😀", "bc"), ("", ""), (None, None)]
