@@ -55,7 +55,7 @@ def ask(spark: SparkSession, root: str, questions: DataFrame, rules: Rules, *, k
 
     said = answer.answers(
         questions, main, aliases, key=key, question=question, separators=rules.separators, routes=rules.routes, sections=rules.sections, titles=rules.titles, note=rules.note, default_route=rules.default_route, keep=rules.keep,
-        most_lines={r: rules.budgets.get(r, {"brief": 12, "full": 20})[mode] for r in rules.titles}, steps=rules.steps, mode=mode, risk=rules.risk, default_product=rules.default_product, expand=expand, search_in=chunks, model=model,
+        most_lines={r: rules.budgets.get(r, {"brief": 12, "full": 20})[mode] for r in rules.titles}, steps=rules.steps, mode=mode, risk=rules.risk, default_product=understand.default_product(main, rules.default_product), expand=expand, search_in=chunks, model=model,
     )
     media = spark.createDataFrame([], "ord bigint, title string, media_type string, url string, keywords array<string>") if media is None else media
     return answer.respond(questions, said, media, key=key, question=question)

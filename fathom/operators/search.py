@@ -105,11 +105,18 @@ def _ranked(scored: DataFrame, k: int, *ties) -> DataFrame:
     return scored.withColumn("rank", best.cast("bigint")).where(F.col("rank") <= k)
 
 
-def keyword_score(query, text):
-    """Share of the query's terms that the text contains, letter case aside; 0 where there are no terms."""
+def keyword_score(query, text, strong: list[str] = (), boost: float = 0.0):
+    """Share of the query's terms that the text contains, letter case aside; 0 where there are no terms.
+
+    Each word of ``strong`` that query and text both hold adds ``boost``.
+    """
     t = X.terms(query)
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return F.when(F.size(t) > 0, F.size(F.filter(t, lambda w: F.contains(low, w))) / F.size(t)).otherwise(0.0)
+    low, asked = F.lower(F.coalesce(text, F.lit(""))), F.lower(F.coalesce(query, F.lit("")))
+    share = F.when(F.size(t) > 0, F.size(F.filter(t, lambda w: F.contains(low, w))) / F.size(t)).otherwise(0.0)
+    if not strong:
+        return share
+    both = F.filter(F.array(*[F.lit(w.lower()) for w in strong]), lambda w: F.contains(asked, w) & F.contains(low, w))
+    return share + F.size(both) * F.lit(boost)
 
 
 def keyword_topk(queries: DataFrame, corpus: DataFrame, *, qid: str, query: str, key: str, text: str, k: int = K, by: str | None = None) -> DataFrame:
@@ -167,12 +174,12 @@ def _hits(stated: list[tuple[int, list[str]]], k: int):
     return run
 
 
-def merge_hybrid(vector: DataFrame, keyword: DataFrame, *, k: int = FINAL_K, vector_weight: float = VECTOR_WEIGHT, keyword_weight: float = KEYWORD_WEIGHT) -> DataFrame:
+def merge_hybrid(vector: DataFrame, keyword: DataFrame, *, k: int = FINAL_K, vector_weight: float = VECTOR_WEIGHT, keyword_weight: float = KEYWORD_WEIGHT, min_score: float | None = None, min_scores: DataFrame | None = None) -> DataFrame:
     """(qid, text, id, vector_score, keyword_score, hybrid_score, rank) of both hit lists (qid, text, id, score, rank), by equal text.
 
     Equal texts among vector hits: the first place, the score and id of the last.  Among keyword
     hits: scores add up in rank order, the id of the first.  A text only keywords found has
-    vector score 0.  Ties: vector hits first, in their order, then keyword hits in theirs.
+    vector score 0.  Hits below ``min_score``, or below that of their query (``min_scores``: qid, min_score), are left out.  Ties: vector hits first, in their order, then keyword hits in theirs.
     """
     v = vector.groupBy("qid", "text").agg(F.max_by("score", "rank").alias("vs"), F.max_by("id", "rank").alias("vid"), F.min("rank").alias("vp"))
     add = F.aggregate(F.array_sort(F.collect_list(F.struct("rank", "score"))), F.lit(0.0), lambda s, x: s + x["score"])
@@ -182,6 +189,10 @@ def merge_hybrid(vector: DataFrame, keyword: DataFrame, *, k: int = FINAL_K, vec
     merged = both.select(
         "qid", "text", F.coalesce("vid", "kid").alias("id"), vs.alias("vector_score"), ks.alias("keyword_score"), (vs * vector_weight + ks * keyword_weight).alias("score"), F.col("vp").isNull().alias("late"), F.coalesce("vp", "kp").alias("place")
     )
+    if min_scores is not None:
+        merged = merged.join(min_scores.select("qid", F.col("min_score").alias("_least")), "qid", "left").where(F.col("_least").isNull() | (F.col("score") >= F.col("_least"))).drop("_least")
+    if min_score is not None:
+        merged = merged.where(F.col("score") >= min_score)
     return _ranked(merged, k, F.col("late"), F.col("place")).drop("late", "place").withColumnRenamed("score", "hybrid_score")
 
 

@@ -104,6 +104,12 @@ def rewrite(df: DataFrame, question: str, products: DataFrame, projects: DataFra
     return rows.withColumn(out, struct).drop("_asked", "_product_id", "_project_id")
 
 
+def default_product(known: DataFrame, preferred: str | None = None) -> str | None:
+    """``preferred`` if it is among the product ids of ``known``, else the first of them by name, else ``preferred``."""
+    row = known.agg(F.min("product_id").alias("first"), F.max(F.col("product_id") == F.lit(preferred)).alias("there")).first()
+    return preferred if row["there"] or row["first"] is None else row["first"]
+
+
 def mode_of(mode: Column, default: str = "brief") -> Column:
     """``brief`` or ``full``; anything else is the default."""
     return F.when(mode.isin("brief", "full"), mode).otherwise(F.lit(default))

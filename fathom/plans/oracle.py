@@ -120,6 +120,13 @@ ORACLE: dict[str, str] = {
     "detect_terms": """with a as (select distinct product_id, lower(alias) as alias from product_aliases where alias is not null and product_id is not null),
         h as (select distinct qa_id, product_id from qa_log join a on contains(lower(question), alias))
         select q.qa_id, coalesce(string_agg(product_id, ',' order by product_id), '') as products from qa_log q left join h using (qa_id) group by 1""",
+    "resolved_products": f"""with a as (select distinct product_id, lower(alias) as alias from product_aliases where alias is not null and product_id is not null),
+        h as (select qa_id, min(product_id) as p from qa_log join a on contains(lower(question), alias) group by 1),
+        d as (select case when count(*) filter (meta.product_id = {_q(R.DEFAULT_PRODUCT)}) > 0 then {_q(R.DEFAULT_PRODUCT)} else min(meta.product_id) end as p from docs)
+        select qa_log.qa_id, coalesce(h.p, d.p) as product_id from qa_log left join h using (qa_id), d""",
+    "strong_score": f"""with t as (select qa_id, {_terms("rewritten_query")} as t, lower(coalesce(rewritten_query, '')) as q, lower(coalesce(answer, '')) as low from qa_log)
+        select qa_id, round(case when len(t) > 0 then len(list_filter(t, lambda w: contains(low, w))) / len(t)::double else 0.0 end
+            + len(list_filter({_list([w.lower() for w in R.WORDS])}, lambda w: contains(q, w) and contains(low, w))) * {R.BOOST}::double, 6) as score from t""",
     "ambiguous_questions": """with a as (select distinct product_id, lower(alias) as alias from product_aliases where alias is not null and product_id is not null)
         select qa_id, count(distinct product_id) as n from qa_log join a on contains(lower(question), alias) group by 1 having count(distinct product_id) > 1""",
     "detect_route": f"select qa_id, {_route('question')} as route from qa_log",

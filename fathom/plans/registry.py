@@ -22,7 +22,7 @@ ROUTES = [
     ("storage", ["开封", "储存", "温度", "keep at", "hält", "garder"]),
     ("origin", ["批次", "原装", "是不是", "Who makes", "lot ", "vérifier"]),
 ]
-DEFAULT_ROUTE = "basic"
+DEFAULT_ROUTE, DEFAULT_PRODUCT, BOOST = "basic", "mozella", 0.15
 WORDS = ["眼周", "面颊", "颈部", "唇周", "泪沟", "cheeks", "neck", "lip"]
 TIMES = ["多久", "几天", "小时", "hours", "weeks", "Stunden", "heures"]
 PROJECTS = [("eyes", ["眼周", "泪沟", "眼下", "眉间"]), ("neck", ["颈部", "锁骨区", "neck"]), ("lips", ["唇周", "唇缘", "lip"])]
@@ -108,6 +108,18 @@ def detect_terms(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("qa_id", F.array_join("detected", ",").alias("products"))
 
 
+def resolved_products(spark: SparkSession, folder: str) -> DataFrame:
+    """The first product of every question, else the default one if there are texts of it, else the first by name."""
+    default = understand.default_product(_t(spark, folder, "docs").select("meta.product_id"), DEFAULT_PRODUCT)
+    first = F.try_element_at(F.filter(F.split("products", ","), lambda p: p != ""), F.lit(1))
+    return detect_terms(spark, folder).select("qa_id", F.coalesce(first, F.lit(default)).alias("product_id"))
+
+
+def strong_score(spark: SparkSession, folder: str) -> DataFrame:
+    q = _t(spark, folder, "qa_log")
+    return q.select("qa_id", F.round(search.keyword_score(F.col("rewritten_query"), F.col("answer"), WORDS, BOOST), 6).alias("score"))
+
+
 def ambiguous_questions(spark: SparkSession, folder: str) -> DataFrame:
     found = detect_terms(spark, folder).withColumn("n", F.size(F.split("products", ",")).cast("bigint"))
     return found.where("n > 1").select("qa_id", "n")
@@ -315,7 +327,7 @@ def embed_texts(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        l2_normalize, vector_topk, keyword_score, keyword_topk, hybrid_topk, chunk_fixed, chunk_counts, chunk_packed, normalize_lines, unique_lines, section_block, detect_terms, ambiguous_questions, detect_route, route_counts,
+        l2_normalize, vector_topk, keyword_score, keyword_topk, hybrid_topk, chunk_fixed, chunk_counts, chunk_packed, normalize_lines, unique_lines, section_block, detect_terms, resolved_products, strong_score, ambiguous_questions, detect_route, route_counts,
         split_questions, rewrite_expand, media_route, state_fill, step_lines, step_answer, bullets, unified_chunks, latest_chunks, evidence, answer_format, recent_qa, recent_errors, error_stages, miss_log,
         resent_rows, late_rows, shared_aliases, catalog, regression_pass, regression_answers, rewrite_struct, batch_answers, logged_answers, regression_own, embed_texts,
     )

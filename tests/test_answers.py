@@ -125,6 +125,11 @@ def test_rewrite(spark):
     assert got[2]["original"] == got[2]["expanded"] == "" and got[2]["sub_questions"] == [] and got[3]["expanded"] == "none"
 
 
+def test_default_product(spark):
+    known = spark.createDataFrame([("b",), ("a",), (None,)], "product_id string")
+    assert [understand.default_product(known, p) for p in ("b", "x", None)] == ["b", "a", "a"] and understand.default_product(known.where("false"), "x") == "x"
+
+
 def test_mode(spark):
     df = spark.createDataFrame([("brief",), ("full",), ("Full",), (None,)], "m string")
     assert [r[0] for r in df.select(understand.mode_of(F.col("m"))).collect()] == ["brief", "full", "brief", "brief"]

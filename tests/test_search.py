@@ -93,6 +93,21 @@ def test_merge_hybrid(spark):
         assert [(r["text"], r["id"]) for r in got if r["qid"] == q] == brute_merge(lists[q, "v"], lists[q, "k"], 4)
 
 
+def test_least_scores_of_the_merge(spark):
+    schema = "qid bigint, text string, id bigint, score double, rank bigint"
+    v = spark.createDataFrame([(1, "a", 1, 1.0, 1), (1, "b", 2, 0.5, 2), (2, "a", 1, 0.5, 1)], schema)
+    k = spark.createDataFrame([(1, "c", 3, 1.0, 1)], schema)
+    ids = lambda **x: sorted((r["qid"], r["id"]) for r in search.merge_hybrid(v, k, **x).collect())
+    assert ids() == [(1, 1), (1, 2), (1, 3), (2, 1)] and ids(min_score=0.34) == [(1, 1), (1, 3)]
+    assert ids(min_scores=spark.createDataFrame([(1, 0.6)], "qid bigint, min_score double")) == [(1, 1), (2, 1)]
+
+
+def test_strong_words(spark):
+    df = spark.createDataFrame([("neck lip x", "the Neck and LIP"), ("neck", "none"), (None, None)], "q string, t string")
+    got = [r[0] for r in df.select(search.keyword_score(F.col("q"), F.col("t"), ["NECK", "lip"], 0.25)).collect()]
+    assert [round(g, 6) for g in got] == [round(2 / 3 + 0.5, 6), 0.0, 0.0]
+
+
 def test_embedding_is_stable(spark):
     df = spark.createDataFrame([("abc def",), (None,), ("",)], "t string")
     v = [r[0] for r in search.embed(df, "t").select("embedding").collect()]
