@@ -51,7 +51,7 @@ def ask(spark: SparkSession, root: str, questions: DataFrame, rules: Rules, *, k
 
     def expand(parts: DataFrame) -> DataFrame:
         r = understand.rewrite(parts, "_part", aliases, projects, times=rules.times, symptoms=rules.symptoms, separators=rules.separators, out="_r")
-        return r.withColumn("_query", F.col("_r.expanded")).drop("_r")
+        return r.withColumns({"_query": F.col("_r.expanded"), "_products": F.col("_r.products")}).drop("_r")
 
     said = answer.answers(
         questions, main, aliases, key=key, question=question, separators=rules.separators, routes=rules.routes, sections=rules.sections, titles=rules.titles, note=rules.note, default_route=rules.default_route, keep=rules.keep,

@@ -171,13 +171,14 @@ def answers(
     note that its answers end with.  Blank questions get an empty answer.
 
     Evidence is what a hybrid search in the product's chunks finds for the part (``search_in``; ``expand`` adds the column _query to the
-    parts, else it is the part), or what ``questions`` holds already (``evidence``), the same for all parts.
+    parts, else it is the part; it may add _products, the products in their order), or what ``questions`` holds already (``evidence``), the same for all parts.
     """
     none = F.array().cast("array<string>")
     asked = questions.select(key, F.col(question).alias("_q"), (none if evidence is None else evidence).alias("_logged"))
     parts = asked.select(key, "_logged", F.posexplode(F.slice(X.split_questions(F.col("_q"), separators), 1, most_parts)).alias("_n", "_part"))
-    found = understand.detect(parts, "_part", vocabulary, key="product_id", term="alias", order=F.col("alias_ord"), out="_products")
-    found = expand(found) if expand else found.withColumn("_query", F.col("_part"))
+    found = expand(parts) if expand else parts.withColumn("_query", F.col("_part"))
+    if "_products" not in found.columns:
+        found = understand.detect(found, "_part", vocabulary, key="product_id", term="alias", order=F.col("alias_ord"), out="_products")
     routed = found.select(key, "_n", "_logged", "_query", F.coalesce(F.try_element_at("_products", F.lit(1)), F.lit(default_product)).alias("product_id"), understand.route(F.col("_part"), routes, default_route).alias("_route"))
     routed = shared.written(routed, "parts")  # detected once, read by every branch below
     lines = questions.sparkSession.createDataFrame([], "product_id string, _route string, _lines array<string>")

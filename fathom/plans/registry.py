@@ -147,7 +147,8 @@ def rewrite_expand(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _projects(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(p, a, i) for p, names in PROJECTS for i, a in enumerate(names)], "project_id string, alias string, alias_ord int")
+    rows = [F.struct(F.lit(p).alias("project_id"), F.lit(a).alias("alias"), F.lit(i).alias("alias_ord")) for p, names in PROJECTS for i, a in enumerate(names)]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def rewrite_struct(spark: SparkSession, folder: str) -> DataFrame:
@@ -289,13 +290,13 @@ def asked(spark: SparkSession, folder: str, questions: DataFrame, key: str, ques
 
     def expand(parts: DataFrame) -> DataFrame:
         r = understand.rewrite(parts, "_part", aliases.select("product_id", "alias", "alias_ord"), _projects(spark), times=TIMES, symptoms=WORDS, separators=SEPARATORS, out="_r")
-        return r.withColumn("_query", F.col("_r.expanded")).drop("_r")
+        return r.withColumns({"_query": F.col("_r.expanded"), "_products": F.col("_r.products")}).drop("_r")
 
     sections = {name: (["：", ":", "，", ","], ["\n"]) for name, _ in ROUTES} | {DEFAULT_ROUTE: (["。", "."], ["\n\n"]), "storage": (["STEP"], [])}
     return answer.answers(
         questions, texts, order, key=key, question=question, separators=SEPARATORS, routes=ROUTES, sections=sections, titles=CASE_ROUTES, note=NOTE, default_route=DEFAULT_ROUTE, keep=WORDS,
         most_lines={r: BUDGETS.get(r, {"brief": 12, "full": 20})[mode] for r in CASE_ROUTES}, steps=STEP_NOTES, mode=mode, risk=("risk", "请先咨询医生。"),
-        expand=expand if search_in else None, search_in=texts.withColumn("id", F.col("ord")) if search_in else None, evidence=evidence,
+        expand=expand, search_in=texts.withColumn("id", F.col("ord")) if search_in else None, evidence=evidence,
     )
 
 
