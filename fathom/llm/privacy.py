@@ -2,8 +2,8 @@
 
 Notations with a form of their own (mail, phone, identity numbers, street addresses)
 are found by their grammar: these entities are held to be protected.  Names have none, so how
-strongly a context reveals a person is estimated from the whole corpus.  Every short
-clause with a name-shaped term in it counts as (frame, term).  A frame discloses where
+strongly a context reveals a person is estimated from the whole corpus.  Every
+clause with a name-shaped term in it counts as (frame, term), whatever its length.  A frame discloses where
 
 * its texts hold protected entities much oftener than others (pointwise mutual information, bits), and
 * its terms, their family names and their last characters are spread (collision entropy, bits): a last
@@ -16,6 +16,7 @@ words, and the words again by the contexts.  Two such words next to each other,
 such a context, are a name.  Terms above the thresholds are generalised to their type, all else stays as it is, disguised
 characters included.  What is learned is sent to the tasks if it is small, else joined to the texts on its terms.
 
+The grammars read each text once; their result is written, and only texts that may hold a name are looked at again.
 Null and empty texts hold nothing, rows without a key are left out; repeated rows are repeated.
 """
 
@@ -23,9 +24,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from hashlib import md5
+from hashlib import blake2b, md5
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +50,8 @@ CUES = r"[Hh]ier|[Ii]ci|I am|I'm|this is|my name is|my (?:sister|brother|mother|
 BITS, FAMILY_BITS, END_BITS, HELD_BITS, WORD_BITS, CUE_BITS = 4.0, 3.0, 2.5, 1.0, 1.5, 2.0
 #: Learned keys that are sent to every task; more are joined to the texts.
 MOST_KEYS = 200_000
+#: Longer sides of a frame stand as a digest and this many characters next to the term: a clause of any length costs in proportion to it.
+SIDE = 32
 
 _TYPES = ("email", "id_number", "phone", "address", "person_name")
 _NOT = re.compile(r"(?:订单号?|单号|批号|批次|备案编?号?|编号|[Oo]rder(?: no\.?)?|[Ll]ot|LOT|[Bb]atch|[Cc]harge|[Bb]estellung|[Aa]uftrag|[Cc]ommande|运单|快递)[\s:：#是为]*(?:n°|Nr\.?|no\.?)?\s*$")
@@ -106,8 +110,11 @@ _GRAMMARS = (
     ("address", lambda s, n, r=re.compile(r"(?:aße|asse|tr\.|eg|latz|llee|ing|fer|amm|ussee|teig|hof|hang|nger|fad|teg|amp|aben|rain)\s?\d"): r.search(s), _ADDRESS_DE),
     ("address", lambda s, n, r=re.compile(r"\d(?: ?(?:bis|ter|quater))?,? (?:rue|av|all|chem|pl|bo|bd|imp|quai|route|sent|ven|ruel)"): r.search(s), _ADDRESS_FR),
 )
+# Grammars that match without a digit.
+_WITHOUT_DIGITS = tuple(g for g in _GRAMMARS if g[2] in (_EMAIL, _PHONE, _ADDRESS))
+_DIGIT = re.compile(r"\d")
 _LEAD = re.compile("^(?:样品)?(?:我在|我住|住在|住|寄到|寄往|寄至|在|到|往|为|记为|是|至|店在)+")
-_CLAUSE = re.compile(r"(?<![^\W_])[一-鿿]{2,12}(?![^\W_])")
+_CLAUSE = re.compile(r"(?<![^\W_])[一-鿿]{2,}+(?![^\W_])")
 _NAME_START = re.compile("(?:" + "|".join(DOUBLE_FAMILY) + f")|[{FAMILY}]")
 _CAP = r"[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ'’]+(?:-[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ'’]+)*"
 _WEST = re.compile(rf"(?<![\w'’])({_CAP})(, | )({_CAP})(?![\w])(?!\s?\d)")
@@ -136,15 +143,41 @@ def plain(text: str) -> tuple[str, list[int] | None]:
     return s, at
 
 
+def _digests(text: str) -> list[str]:
+    """Of each beginning of a text, the digest."""
+    digest, out = blake2b(digest_size=SIDE // 2), []
+    for c in text:
+        out.append(digest.hexdigest())
+        digest.update(c.encode())
+    return [*out, digest.hexdigest()]
+
+
+def _terms(clause: str) -> Iterator[tuple[int, int, str, str]]:
+    """Begin and end of each name-shaped term in a clause, and the two sides of its frame."""
+    size, heads, tails = len(clause), None, None
+    for k in _NAME_START.finditer(clause):
+        a, b = k.span()
+        if a <= SIDE:
+            head = clause[:a]
+        else:
+            heads = heads or _digests(clause)
+            head = heads[a] + clause[a - SIDE : a]
+        for end in (b + 1, b + 2):
+            if end > size or not a and end == size:
+                continue
+            if size - end <= SIDE:
+                yield a, end, head, clause[end:]
+            else:
+                tails = tails or _digests(clause[::-1])
+                yield a, end, head, tails[size - end] + clause[end : end + SIDE]
+
+
 def frames_of(text: str) -> Iterator[tuple[str, str]]:
-    """(frame, term) of short clauses with a name-shaped term."""
+    """(frame, term) of clauses with a name-shaped term."""
     for m in _CLAUSE.finditer(text):
         clause = m.group()
-        for k in _NAME_START.finditer(clause):
-            a, b = k.span()
-            for n in (1, 2):
-                if b + n <= len(clause) and 0 < len(clause) - (b + n - a) <= 8:
-                    yield clause[:a] + "□" + clause[b + n :], clause[a : b + n]
+        for a, end, head, tail in _terms(clause):
+            yield f"{head}□{tail}", clause[a:end]
 
 
 def pairs_of(text: str) -> Iterator[tuple[int, int, str, str]]:
@@ -171,6 +204,35 @@ def _anchors(parts: set[str]):
     return found
 
 
+def entities(s: str) -> tuple[list[tuple[int, int, str]], str]:
+    """Typed spans of the protected entities of a plain text, and the text without them and without numbers of orders and lots."""
+    found: list[tuple[int, int, str]] = []
+    taken, digit = s, _DIGIT.search(s)
+    number = _NUMBER.search(s) if digit else None
+    for kind, needed, pattern in _GRAMMARS if digit else _WITHOUT_DIGITS:
+        if not needed(s, number):
+            continue
+        for m in pattern.finditer(taken):
+            a, b = m.span()
+            if kind in ("id_number", "phone") and _NOT.search(s[max(0, a - 14) : a]):
+                taken = taken[:a] + "\x00" * (b - a) + taken[b:]
+                continue
+            if kind == "phone" and _SERVICE.match(m.group()):
+                continue
+            if kind == "address":
+                lead = _LEAD.match(m.group())
+                a += lead.end() if lead else 0
+            found.append((a, b, kind))
+        taken = _without(taken, found)
+    return found, taken
+
+
+def _without(text: str, spans: list[tuple[int, int, str]]) -> str:
+    for a, b, _ in spans:
+        text = text[:a] + "\x00" * (b - a) + text[b:]
+    return text
+
+
 class Knowledge:
     """What the corpus has disclosed: (kind, value) → weight, of frames around Chinese names, contexts and words of Western names."""
 
@@ -182,7 +244,7 @@ class Knowledge:
         parts = [f.partition("□") for k, f in self.known if k == "frame"]
         self.heads, self.tails = {a for a, _, _ in parts} | {""}, {b for _, _, b in parts}
         self.open = {b for a, _, b in parts if not a}
-        self.anchors = _anchors({max(a, b, key=len) for a, _, b in parts})
+        self.anchors = _anchors({max(a, b, key=len)[-SIDE:] for a, _, b in parts})
         self.words = {v for k, v in self.known if k == "word"}
         self.cues = {v for k, v in self.known if k == "cue"}
 
@@ -190,18 +252,16 @@ class Knowledge:
         known = self.known
         for m in _CLAUSE.finditer(s) if next(self.anchors.iter(s), None) else ():  # most texts hold no part of a frame
             clause, fits = m.group(), []
-            for k in _NAME_START.finditer(clause):
-                a, b = k.span()
-                for n in (2, 1):
-                    if b + n <= len(clause) and (tail := clause[b + n :]) in self.tails:
-                        weight = known.get(("frame", clause[:a] + "□" + tail), 0) if clause[:a] in self.heads else 0
-                        if not weight and tail and tail in self.open:  # another clause may stand before without a sign between
-                            weight = known.get(("frame", "□" + tail), 0)
-                        if weight:
-                            fits.append((-weight, a, -n, b + n))
+            for a, end, head, tail in _terms(clause):
+                if tail in self.tails:
+                    weight = known.get(("frame", f"{head}□{tail}"), 0) if head in self.heads else 0
+                    if not weight and tail and tail in self.open:  # another clause may stand before without a sign between
+                        weight = known.get(("frame", "□" + tail), 0)
+                    if weight:
+                        fits.append((-weight, a, -end))
             if fits:
-                _, a, _, end = min(fits)
-                yield m.start() + a, m.start() + end
+                _, a, end = min(fits)
+                yield m.start() + a, m.start() - end
         if not _TWO_WORDS.search(s):
             return
         if self.seeds:
@@ -212,27 +272,10 @@ class Knowledge:
             if x in self.words and y in self.words or self.cues and before(s, a) in self.cues:
                 yield a, b
 
-    def spans(self, s: str, names: bool = True) -> list[tuple[int, int, str]]:
+    def spans(self, s: str) -> list[tuple[int, int, str]]:
         """Typed spans (start, end, type) of a plain text, none overlapping another."""
-        found: list[tuple[int, int, str]] = []
-        taken, number = s, _NUMBER.search(s)
-        for kind, needed, pattern in _GRAMMARS:
-            if not needed(s, number):
-                continue
-            for m in pattern.finditer(taken):
-                a, b = m.span()
-                if kind in ("id_number", "phone") and _NOT.search(s[max(0, a - 14) : a]):
-                    taken = taken[:a] + "\x00" * (b - a) + taken[b:]
-                    continue
-                if kind == "phone" and _SERVICE.match(m.group()):
-                    continue
-                if kind == "address":
-                    lead = _LEAD.match(m.group())
-                    a += lead.end() if lead else 0
-                found.append((a, b, kind))
-            for a, b, _ in found:
-                taken = taken[:a] + "\x00" * (b - a) + taken[b:]
-        for a, b in self.names(taken) if names else ():
+        found, rest = entities(s)
+        for a, b in self.names(rest):
             if all(b <= x or a >= y for x, y, _ in found):
                 found.append((a, b, "person_name"))
         return sorted(found)
@@ -245,59 +288,77 @@ class Knowledge:
         return [(a, b, k) if at is None else (at[a], at[b - 1] + 1, k) for a, b, k in self.spans(s)]
 
 
-def _count(seeds: bool):
-    """Per text: frames with their terms and pairs with their contexts, and whether protected entities stand beside them; and how many texts there are."""
+_READ = "kinds array<string>, rest string, key bigint, held boolean, frames array<struct<context: string, term: string>>, pairs array<struct<context: string, term: string, other: string, held: boolean>>"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grammar, n, held = Knowledge(), 0, 0
-        for rows in batches:
-            out, keys = [], []
-            for text in rows["text"]:
-                if not text:
-                    continue
-                s = plain(text)[0]
-                spans = grammar.spans(s, names=False)
-                own = bool(spans)
-                n, held = n + 1, held + own
-                for a, b, _ in spans:  # no names inside
-                    s = s[:a] + "\x00" * (b - a) + s[b:]
-                key = int.from_bytes(md5(s.encode("utf-8", "replace")).digest()[:8], "big", signed=True)
-                new = [("frame", frame, term, "", own) for frame, term in set(frames_of(s))]
-                if pairs := list(pairs_of(s)):
+
+def _lists(rows: list[list[tuple]], names: str, types: list[pa.DataType]) -> pa.ListArray:
+    """One list of structs per row."""
+    offsets, each = [0], []
+    for r in rows:
+        each += r
+        offsets.append(len(each))
+    columns = list(zip(*each)) if each else [()] * len(types)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names.split()))
+
+
+def _reader(seeds: bool, keep: list[str]):
+    """Per text, beside the columns to keep: the protected entities; the rest of it where it may hold a name; frames with their terms and pairs with their contexts, whether protected entities stand beside them, and a key of what is left of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds, rests, keys, helds, frames, pairs = [], [], [], [], [], []
+            for text in batch.column("text").to_pylist():
+                s = plain(text)[0] if text else ""
+                spans, rest = entities(s)
+                own, s = bool(spans), _without(s, spans)  # no names inside
+                new, two, able = list(set(frames_of(s))), [], bool(_TWO_WORDS.search(rest))
+                if found := list(pairs_of(s)):
                     cued = {m.start(1) for m in _CUED.finditer(s)} if seeds else ()
-                    new += {("pair", before(s, a), x, y, own or a in cued) for a, _, x, y in pairs}
-                out += new
-                keys += [key] * len(new)
-            columns = list(zip(*out)) if out else [()] * 5
-            strings = {c: pd.Series(v, dtype=object) for c, v in zip(("kind", "context", "term", "other"), columns)}
-            yield pd.DataFrame(strings | {"key": pd.Series(keys, dtype="int64"), "held": pd.Series(columns[4], dtype=bool), "n": 1})
-        yield pd.DataFrame([("text", "", "", "", 0, True, held), ("text", "", "", "", 0, False, n - held)], columns=["kind", "context", "term", "other", "key", "held", "n"])
+                    two = list({(before(s, a), x, y, own or a in cued) for a, _, x, y in found})
+                able = able or (bool(new) if rest == s else next(frames_of(rest), None) is not None)
+                kinds.append(sorted({k for _, _, k in spans}))
+                rests.append(rest if able else None)
+                keys.append(int.from_bytes(md5(s.encode("utf-8", "replace")).digest()[:8], "big", signed=True) if new or two else None)
+                helds.append(own if text else None)
+                frames.append(new)
+                pairs.append(two)
+            string = pa.string()
+            columns = [pa.array(kinds, pa.list_(string)), pa.array(rests, string), pa.array(keys, pa.int64()), pa.array(helds, pa.bool_())]
+            columns += [_lists(frames, "context term", [string] * 2), _lists(pairs, "context term other held", [string] * 3 + [pa.bool_()])]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + columns, names=[*keep, "kinds", "rest", "key", "held", "frames", "pairs"])
 
     return run
 
 
+def read(texts: DataFrame, seeds: bool = True, keep: list[str] | None = None) -> DataFrame:
+    """The written result of one reading of column ``text``, with a number of each row and the columns ``keep`` (all)."""
+    texts = texts.withColumn("row", F.monotonically_increasing_id())
+    keep = [c for c in texts.columns if keep is None or c in keep or c == "row"]
+    schema = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in keep)
+    return written(texts.mapInArrow(_reader(seeds, keep), f"{schema}, {_READ}"), "texts")
+
+
 def _bits(held, n, base):
     """Information of an event about disclosure: how much oftener it comes with it than all do, in bits; one more of the common kind is taken as seen."""
     return F.log2((held + base) / (n + 1) / base)
 
 
-def learn(texts: DataFrame, text: str, *, bits: float = BITS, family_bits: float = FAMILY_BITS, end_bits: float = END_BITS, held_bits: float = HELD_BITS, word_bits: float = WORD_BITS, cue_bits: float = CUE_BITS, seeds: bool = True) -> DataFrame:
-    """(kind, value, weight): disclosing frames, contexts and words of the whole corpus, by counts over different texts."""
-    rows = texts.select(F.col(text).alias("text")).mapInPandas(_count(seeds), "kind string, context string, term string, other string, key bigint, held boolean, n bigint")
-    counts = rows.groupBy("kind", "context", "term", "other", "key", F.col("held").cast("int").alias("held")).agg(F.when(F.col("kind") == "text", F.sum("n")).otherwise(1).alias("n"))
-    counts = written(counts, "contexts")
-    rates = {r["kind"]: (r["h"] + 1) / (r["n"] + 2) for r in counts.groupBy("kind").agg(F.sum(F.col("held") * F.col("n")).alias("h"), F.sum("n").alias("n")).collect()}
-
-    terms = counts.where("kind = 'frame'").groupBy("context", "term").agg(F.sum("n").alias("n"), F.sum("held").alias("held"))
+def learn(texts: DataFrame, *, bits: float = BITS, family_bits: float = FAMILY_BITS, end_bits: float = END_BITS, held_bits: float = HELD_BITS, word_bits: float = WORD_BITS, cue_bits: float = CUE_BITS) -> DataFrame:
+    """(kind, value, weight): disclosing frames, contexts and words of the whole corpus that was read, by counts over different texts."""
+    each = lambda kind: texts.select("key", F.col("held").cast("int").alias("beside"), F.explode(kind).alias("x"))
+    share = lambda df: df.agg(((F.coalesce(F.sum(F.col("held").cast("int")), F.lit(0)) + 1) / (F.count("held") + 2)).alias("r")).first()["r"]
+    terms = each("frames").select("x.context", "x.term", "key", F.col("beside").alias("held")).distinct().groupBy("context", "term").agg(F.count("*").alias("n"), F.sum("held").alias("held"))
+    terms = written(terms, "terms")
+    pairs = written(each("pairs").select("x.context", "x.term", "x.other", "key", F.col("x.held").cast("int").alias("held")).distinct(), "pairs")
     agree = lambda by, name: terms.groupBy("context", by.alias("x")).agg(F.sum("n").alias("n")).groupBy("context").agg(F.sum(F.col("n") * (F.col("n") - 1)).alias(name))
     whole = terms.groupBy("context").agg(F.sum("n").alias("n"), F.sum("held").alias("held"), F.count("*").alias("weight"), F.sum(F.col("n") * (F.col("n") - 1)).alias("same"))
     spread = lambda c: F.log2(F.col("n") * (F.col("n") - 1) / (F.col(c) + 1))
-    base = F.lit(rates.get("text", 1.0))
+    base = F.lit(share(texts))
     frames = whole.where((F.col("n") > 1) & (spread("same") >= bits) & (_bits(F.col("held"), F.col("n"), base) >= held_bits))
     frames = frames.join(agree(F.substring("term", 1, 1), "kin"), "context").join(agree(F.right("term", F.lit(1)), "ends"), "context")
     frames = frames.where((spread("kin") >= family_bits) & (spread("ends") >= end_bits)).select(F.lit("frame").alias("kind"), F.col("context").alias("value"), "weight")
 
-    pairs, rate = counts.where("kind = 'pair'").select("context", "term", "other", "held"), F.lit(rates.get("pair", 1.0))
+    pairs, rate = pairs.select("context", "term", "other", "held"), F.lit(share(pairs))
     each = lambda p: p.select(F.explode(F.array("term", "other")).alias("value"), "held").groupBy("value").agg(F.count("*").alias("n"), F.sum("held").alias("held"))
     strong = lambda p: each(p).where(_bits(F.col("held"), F.col("n"), rate) >= word_bits)
     first = strong(pairs).select(F.col("value"), F.lit(1).alias("ok"))
@@ -313,18 +374,16 @@ def _asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Of each text, the keys that it could use."""
     for rows in batches:
         out = []
-        for row, text in zip(rows["row"], rows["text"]):
-            s = plain(text)[0] if text else ""
-            keys = {("frame", f) for f, _ in frames_of(s)} | {("frame", "□" + f.partition("□")[2]) for f, _ in frames_of(s)}
+        for row, s in zip(rows["row"], rows["rest"]):
+            keys = {("frame", f) for frame, _ in frames_of(s) for f in (frame, "□" + frame.partition("□")[2])}
             for a, _, x, y in pairs_of(s):
                 keys |= {("cue", before(s, a)), ("word", x), ("word", y)}
             out += [(row, k, v) for k, v in keys]
         yield pd.DataFrame(out, columns=["row", "kind", "value"])
 
 
-def _with_knowledge(rows: DataFrame, seeds: bool, work, schema: str) -> DataFrame:
-    """``work`` (known → rows function) over the texts with what the corpus discloses: sent to the tasks where it is at most ``MOST_KEYS``, else joined to the texts that could use it."""
-    known = written(learn(rows, "text", seeds=seeds), "known")
+def _with_knowledge(rows: DataFrame, known: DataFrame, seeds: bool, work, schema: str) -> DataFrame:
+    """``work`` (rows, knowledge of each → rows) over texts that were read, with what the corpus discloses: sent to the tasks where it is at most ``MOST_KEYS``, else joined to the texts that could use it."""
     if known.count() <= MOST_KEYS:
         own = Knowledge({(r["kind"], r["value"]): r["weight"] for r in known.collect()}, seeds)
 
@@ -333,20 +392,18 @@ def _with_knowledge(rows: DataFrame, seeds: bool, work, schema: str) -> DataFram
                 yield work(rows, [own] * len(rows))
 
         return rows.mapInPandas(all_rows, schema)
-    numbered = written(rows.withColumn("row", F.monotonically_increasing_id()), "texts")
-    hits = numbered.select("row", "text").mapInPandas(_asked, "row bigint, kind string, value string").join(known, ["kind", "value"])
+    hits = rows.where("rest is not null").select("row", "rest").mapInPandas(_asked, "row bigint, kind string, value string").join(known, ["kind", "value"])
     hits = hits.groupBy("row").agg(F.collect_list(F.struct("kind", "value", "weight")).alias("known"))  # bounded by the length of the text
 
     def own_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             yield work(rows, [Knowledge({(k["kind"], k["value"]): k["weight"] for k in (x if x is not None else ())}, seeds) for x in rows["known"]])
 
-    return numbered.join(hits, "row", "left").mapInPandas(own_rows, schema)
+    return rows.join(hits, "row", "left").mapInPandas(own_rows, schema)
 
 
-def _found(rows: pd.DataFrame, known: list[Knowledge]) -> pd.DataFrame:
-    out = [(i, f, k) for i, f, t, own in zip(rows["id"], rows["field_name"], rows["text"], known) for k in sorted({k for _, _, k in own.of(t)})]
-    return pd.DataFrame(out, columns=["id", "field_name", "pii_type"])
+def _named(rows: pd.DataFrame, known: list[Knowledge]) -> pd.DataFrame:
+    return rows.loc[[next(own.names(s), None) is not None for s, own in zip(rows["rest"], known)], ["id", "field_name"]].assign(pii_type="person_name")
 
 
 def clean(text: str | None, known: Knowledge) -> str | None:
@@ -373,9 +430,16 @@ def fields(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
 
 def find(df: DataFrame, key: str, columns: list[str], *, seeds: bool = True) -> DataFrame:
     """(id, field_name, pii_type): one row per row, field and type found.  ``seeds``: whether general introductions are known beforehand."""
-    return _with_knowledge(fields(df, key, columns), seeds, _found, "id bigint, field_name string, pii_type string")
+    texts = read(fields(df, key, columns), seeds, ["id", "field_name"])
+    able = texts.where("rest is not null").select("row", "id", "field_name", "rest")
+    names = _with_knowledge(able, written(learn(texts), "known"), seeds, _named, "id bigint, field_name string, pii_type string")
+    return texts.select("id", "field_name", F.explode("kinds").alias("pii_type")).unionByName(names)
 
 
 def redact(df: DataFrame, key: str, columns: list[str], *, seeds: bool = True) -> DataFrame:
     """(id, field_name, text): the texts with each span replaced by a placeholder of its type; null and empty texts are left out."""
-    return _with_knowledge(fields(df, key, columns), seeds, _clean, "id bigint, field_name string, text string")
+    texts = read(fields(df, key, columns), seeds)
+    able = (F.size("kinds") > 0) | F.col("rest").isNotNull()
+    rows = texts.where(able).select("row", "id", "field_name", "text", "rest")
+    changed = _with_knowledge(rows, written(learn(texts), "known"), seeds, _clean, "id bigint, field_name string, text string")
+    return texts.where(~able).select("id", "field_name", "text").unionByName(changed)

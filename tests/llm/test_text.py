@@ -290,6 +290,39 @@ def test_names_need_co_occurrence(spark):
     assert privacy.find(df, "id", ["q"], seeds=False).where("pii_type = 'person_name'").isEmpty()
 
 
+LONG = [
+    ("上个星期六下午我们在新开的那家分店里面见到了", "并且约好了下一次过来复查的日期"),
+    ("去年冬天在城里那家最早开门的店里第一次做完以后一直没有再去过直到上个月底才又重新约了", "来看一下恢复得怎么样再决定下一步是不是需要继续做下去或者先停一段日子看看再说"),
+]
+
+
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_names_in_clauses_of_any_length(spark, monkeypatch, most):
+    monkeypatch.setattr(privacy, "MOST_KEYS", most)
+    rows = [f"{a}{n}{b}" + ("，电话13912345678" if i % 2 else "") for a, b in LONG for i, n in enumerate(NAMES)] + ["请在温水中化开"] * 300
+    df = spark.createDataFrame(list(enumerate(rows)), "id bigint, q string")
+    clean = {r["id"]: r["text"] for r in privacy.redact(df, "id", ["q"], seeds=False).collect()}
+    assert [clean[i] for i in range(len(rows))] == [f"{a}[PERSON_NAME]{b}" + ("，电话[PHONE]" if i % 2 else "") for a, b in LONG for i, n in enumerate(NAMES)] + rows[-300:]
+    assert privacy.find(df, "id", ["q"], seeds=False).where("pii_type = 'person_name'").count() == len(LONG) * len(NAMES)
+
+
+def test_frames_of_a_long_clause_stay_short():
+    found = list(privacy.frames_of("看" * 20_000 + "张小静" + "看" * 20_000))
+    assert [t for _, t in found] == ["张小", "张小静"] and all(len(f) <= 4 * privacy.SIDE + 1 for f, _ in found)
+    assert len({f for n in ("张小静", "王晓立") for f, _ in privacy.frames_of("看" * 50 + n + "看" * 50)}) == 3  # the sides alone count
+    assert not {f for f, _ in found} & {f for f, _ in privacy.frames_of("看" * 20_001 + "张小静" + "看" * 20_000)}
+    assert list(privacy.frames_of("张小静")) == [("□静", "张小")]
+
+
+def test_grammars_without_digits():
+    import re
+
+    for g in privacy._GRAMMARS:
+        if g not in privacy._WITHOUT_DIGITS:
+            assert not any(g[2].search(re.sub(r"\d", "x", t)) for t, _ in FOUND), g[0]
+    assert [k for _, _, k in sorted(privacy.entities("电话一五四零九八二一七八三，住松针巷五十八号，ke.lin@mail.com")[0])] == ["phone", "address", "email"]
+
+
 def test_western_names_by_information(spark):
     first, last = "Alder Greer Orson Linnea Perrin Marlo".split(), "Hartlow Quillsby Ashcombe Drewitt Fallowby".split()
     rows = [f"The chair by the door is for {a} {b}, call 212-555-01{i}{j}" for i, a in enumerate(first) for j, b in enumerate(last)]
