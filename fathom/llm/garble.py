@@ -195,6 +195,8 @@ def _suspicious() -> re.Pattern:
 
 def _utf8_as(run: str, enc: str) -> str | None:
     """A run in which stretches are UTF-8 read as a double-byte encoding."""
+    if not _UTF8.search(run.encode(enc, "replace")):
+        return None
     raw, sizes = bytearray(), []
     for c in run:
         b = c.encode(enc, "replace")

@@ -27,6 +27,7 @@ SHORT, LEAD_HAN, LEAD_WORDS, TILE = 20, 8, 28, 4
 # Words that stand for no answer.
 NULL_WORDS = frozenset("n/a na null none nil nan undefined nothing unknown tbd todo 无 空 暂无 没有 无内容 无答案 略 keine aucun aucune".split())
 _MARKUP = re.compile(r"<[^<>]{0,80}>|&[a-z]+;|[#*_`~|>]+")
+_MARKED = re.compile("[<&#*_`~|>]")
 _LETTER = re.compile(r"[^\W_]")
 _OTHER = re.compile(r"[\W_]+")
 # Headings of the sectioned layout.
@@ -39,20 +40,27 @@ _CLOSERS = {v: k for k, v in _PAIRS.items()} | {"“": "„"}
 _END = "。！？!?｡."
 _TAIL = re.compile(r"[\s\U0001f000-\U0001faff☀-➿️‍]+$")
 _DOTS = re.compile(r"(?:…|\.{2,}|。{2,}|\.\s\.\s?\.)+[\s”\"'」』）)\]】»›’]*$")
-# How answers decline, and the courtesies around it.
-_REFUSAL = re.compile(
-    "不予回[复应答]|停止生成|不作答|不做回答|(?:不能|无法|不便|不可以|没法|不会)(?:对此|就此|为您|给您|直接)?(?:回答|回复|作答|答复|评论|讨论|透露|提供(?:任何)?(?:帮助|建议|意见|信息|回答))|无法就.{1,30}给出|不便多说|不方便(?:展开|多说|透露|回答|讨论)|聊点别的|换个话题"
-    "|没有办法(?:提供|回答|协助)|没有资格|拒绝(?:讨论|回答|评论|作答|透露)|超出了?我?(?:能|可以)?(?:协助|回答|处理|服务)的?范围|无可奉告|不予置评|不作评论|爱莫能助"
-    r"|(?:can(?:no|')t|cannot|can not|won't|will not|(?:un|not )able to|not allowed to|not permitted to|may not)\s(?:\w+\s){0,3}?(?:help|answer|assist|comment|discuss|respond|say|talk|share|speak|advise)\b|(?:can(?:no|')t|cannot|will not|won't) be (?:fulfilled|answered|processed|completed|handled)|no comment|(?:must|have to) (?:decline|refuse)|declines? to (?:answer|comment|say)|refuse to (?:answer|comment|discuss)|rather not (?:say|talk|discuss)"
-    r"|nicht (?:weiter)?(?:helfen|beantworten|antworten|kommentieren|äußern|bearbeitet|behandelt|sagen|besprechen)|nichts (?:dazu )?sagen|dazu nichts|keine (?:Auskunft|Antwort|Angaben?|Aussage)\b|[Kk]ein Kommentar|(?:lehne|lehnt|lehnen)\b.{0,40}\bab\b|verweiger|ablehnen"
-    r"|(?:ne|n')\s?(?:peux|peut|pouvons|puis|saurais|suis|sommes)\s(?:pas|en mesure)?.{0,30}(?:répondre|aider|commenter|dire|discuter|prononcer|mesure|autorisé|habilité)|ne sera pas (?:traitée?|donnée?)|[Ss]ans commentaire|[Pp]as de commentaire|(?:dois|devons) (?:décliner|refuser)|refuse de|décline",
-    re.I,
-)
-# One of these is in every match of the grammar above.
-_HINTS = (
-    "不予 停止生成 作答 回答 回复 答复 评论 讨论 透露 帮助 建议 意见 信息 给出 不便多说 不方便 聊点别的 换个话题 没有办法 没有资格 拒绝 的范围 无可奉告 爱莫能助".split()
-    + ["help", "answer", "assist", "comment", "discuss", "respond", "speak", "talk", "advise", "share", "say", "fulfilled", "processed", "completed", "handled", "declin", "refus", "rather not"]
-    + "nicht helfen beantwort antwort äußern bearbeitet behandelt besprechen sagen nichts auskunft angabe aussage kommentar lehn verweiger répond aider dire discut prononcer mesure autoris habilit traité donné décline".split()
+# How answers decline, by language: what every match holds one of, and the grammar; and the courtesies around it.
+_REFUSALS = (
+    (
+        "不予 停止生成 作答 回答 回复 答复 评论 讨论 透露 帮助 建议 意见 信息 给出 不便多说 不方便 聊点别的 换个话题 没有办法 没有资格 拒绝 范围 无可奉告 爱莫能助".split(),
+        re.compile(
+            "不予回[复应答]|停止生成|不作答|不做回答|(?:不能|无法|不便|不可以|没法|不会)(?:对此|就此|为您|给您|直接)?(?:回答|回复|作答|答复|评论|讨论|透露|提供(?:任何)?(?:帮助|建议|意见|信息|回答))|无法就.{1,30}给出|不便多说|不方便(?:展开|多说|透露|回答|讨论)|聊点别的|换个话题"
+            "|没有办法(?:提供|回答|协助)|没有资格|拒绝(?:讨论|回答|评论|作答|透露)|超出了?我?(?:能|可以)?(?:协助|回答|处理|服务)的?范围|无可奉告|不予置评|不作评论|爱莫能助"
+        ),
+    ),
+    (
+        ["can't", "cannot", "can not", "won't", "will not", "able to", "allowed to", "permitted to", "may not", "comment", "declin", "refus", "rather not"],
+        re.compile(r"(?:can(?:no|')t|cannot|can not|won't|will not|(?:un|not )able to|not allowed to|not permitted to|may not)\s(?:\w+\s){0,3}?(?:help|answer|assist|comment|discuss|respond|say|talk|share|speak|advise)\b|(?:can(?:no|')t|cannot|will not|won't) be (?:fulfilled|answered|processed|completed|handled)|no comment|(?:must|have to) (?:decline|refuse)|declines? to (?:answer|comment|say)|refuse to (?:answer|comment|discuss)|rather not (?:say|talk|discuss)", re.I),
+    ),
+    (
+        "nicht kein lehn verweiger".split(),
+        re.compile(r"nicht (?:weiter)?(?:helfen|beantworten|antworten|kommentieren|äußern|bearbeitet|behandelt|sagen|besprechen)|nichts (?:dazu )?sagen|dazu nichts|keine (?:Auskunft|Antwort|Angaben?|Aussage)\b|[Kk]ein Kommentar|(?:lehne|lehnt|lehnen)\b.{0,40}\bab\b|verweiger|ablehnen", re.I),
+    ),
+    (
+        "peux peut pouvons puis saurais suis sommes sera commentaire refus déclin".split(),
+        re.compile(r"(?:ne|n')\s?(?:peux|peut|pouvons|puis|saurais|suis|sommes)\s(?:pas|en mesure)?.{0,30}(?:répondre|aider|commenter|dire|discuter|prononcer|mesure|autorisé|habilité)|ne sera pas (?:traitée?|donnée?)|[Ss]ans commentaire|[Pp]as de commentaire|(?:dois|devons) (?:décliner|refuser)|refuse de|décline", re.I),
+    ),
 )
 _COURTESY = re.compile(r"感谢|谢谢|祝您|祝你|生活愉快|抱歉|对不起|不好意思|请谅解|敬请|见谅|^\W*(?:thanks?|thank you|have a nice|sorry|merci|bonne journée|danke|schönen tag|viele grüße|désolée?|es tut mir leid|leider)|语言程序|智能助手|assistant", re.I)
 _SENTENCE = re.compile(r"[^。！？!?\n～]*?(?:[。！？!?\n～]+|\.(?=\s|$)|$)")
@@ -62,8 +70,11 @@ WORDS = {
     "de": frozenset("der die das und ist für mit nach wie was auf ein eine einer ich darf nicht den dem des zu im bei ja nein etwa stunden alle wochen sich tun an oft wird gilt laut von vom zur zum aus oder wer wo hält lange geeignet normal verträgt im liegt wurde sind kein keine leider noch hier".split()),
     "fr": frozenset("le la les et est pour avec après comment que sur un une je puis des du en à dans oui non environ heures toutes semaines l d combien de fois répéter peut-on mêler où vérifier puis-je me doucher convient-il quel selon au aux ce cette pas n qui est-ce jamais par rapport vers rien sont".split()),
 }
+_ANY_WORD = frozenset().union(*WORDS.values())
 _WORD = re.compile(r"[a-zäöüßéèêëàâçîïôûùœæ]+(?:-(?:je|on|il|ce))?")
 _HAN = re.compile("[㐀-鿿]")
+_HAN_RUNS = re.compile("[㐀-鿿]+")
+_HAN_LETTERS = re.compile("[㐀-䶿一-鿿]")
 _NOISE = re.compile(r"[\w.+-]+[@＠][\w.-]+|https?://\S+|[A-Za-z]+\.txt")
 _ASKED = re.compile(
     r"(?:用|以)?(?P<zh>英文|英语|德文|德语|法文|法语|中文|汉语)(?:回答|回复|作答|答复|说明|解释|答)|(?:[Aa]nswer|[Rr]eply|[Rr]espond|[Ww]rite|[Ee]xplain)\w*\s(?:\w+\s)?in (?P<en>English|German|French|Chinese)"
@@ -74,15 +85,24 @@ _LANGUAGE = {"英文": "en", "英语": "en", "德文": "de", "德语": "de", "
 )
 
 
+def _title(text: str) -> re.Match | None:
+    return _TITLE.search(text) if "（" in text or "(" in text else None
+
+
+def _body(text: str) -> str:
+    """The text without spaces and emoji at its end."""
+    return _TAIL.sub("", text) if text and _TAIL.match(text, len(text) - 1) else text
+
+
 def is_empty(answer: str) -> bool:
     """No content word, or only a title with an empty conclusion."""
-    s = _MARKUP.sub(" ", answer)
+    s = _MARKUP.sub(" ", answer) if _MARKED.search(answer) else answer
     if not _LETTER.search(s):
         return True
     bare = s.strip().strip("。.!！?？-—()（）[]【】\"'“”「」 ").lower()
     if bare in NULL_WORDS:
         return True
-    m = _TITLE.search(s)
+    m = _title(s)
     if m:
         rest = _CONCLUSION.sub("\n", s[m.end() :])
         return not _LETTER.search(rest)
@@ -133,6 +153,8 @@ def tiling(a: str, b: str, least: int = TILE) -> int:
 
 def is_copied(question: str, answer: str) -> bool:
     """Nothing but the question, once or repeated, apart from a short lead-in: tiles of the question cover the answer."""
+    if (new := set(answer).difference(question)) and len(_HAN_LETTERS.findall("".join(new))) > (LEAD_HAN if _HAN.search(answer[:12]) else LEAD_WORDS):
+        return False  # letters that the question lacks are in no tile
     q, a = letters(question), letters(answer)
     if len(q) < 4 or len(a) < 0.9 * len(q):
         return False
@@ -148,19 +170,23 @@ def is_copied(question: str, answer: str) -> bool:
     return len(a) - covered <= lead and covered >= 0.95 * len(q)
 
 
+def declines(text: str) -> bool:
+    low = text.lower()
+    return any(grammar.search(text) for hints, grammar in _REFUSALS if any(h in low for h in hints))
+
+
 def is_refusal(answer: str) -> bool:
     """Declines, and says nothing else."""
-    low = answer.lower()
-    if not any(h in low for h in _HINTS) or not _REFUSAL.search(answer):
+    if not declines(answer):
         return False
     found, rest = False, 0
     for s in _SENTENCE.findall(answer):
         if not s.strip():
             continue
-        if _REFUSAL.search(s):
+        if declines(s):
             found = True
             tail = re.split(r"[：:]", s, maxsplit=1)
-            if len(tail) == 2 and len(letters(tail[1])) > 12 and not _REFUSAL.search(tail[1]):
+            if len(tail) == 2 and len(letters(tail[1])) > 12 and not declines(tail[1]):
                 rest += len(letters(tail[1]))
         elif not _COURTESY.search(s):
             rest += len(letters(s))
@@ -180,9 +206,10 @@ def language(text: str) -> str | None:
         for name, script in _SCRIPTS.items():
             if (own := len(script.findall(s))) >= 4 and own >= (0.2 if name == "ja" else 0.5) * n:
                 return name
-    han = len(_HAN.findall(s))
+    han = sum(map(len, _HAN_RUNS.findall(s)))
     words = _WORD.findall(s.lower().replace("'", " ").replace("’", " "))
-    score = {k: sum(w in known for w in words) for k, known in WORDS.items()}
+    heard = [w for w in words if w in _ANY_WORD]
+    score = {k: sum([w in known for w in heard]) for k, known in WORDS.items()}
     best = max(score, key=score.get)
     if han and han >= 1.5 * score[best] and (han >= 4 or han >= len(words)) and score[best] < 4 + han / 12:
         return "zh"
@@ -270,7 +297,7 @@ def parse(text: str) -> tuple[list[str], int]:
 
 def ends_sentence(text: str, closed: int | None = None) -> bool:
     """Ends a sentence; closing quotes and brackets, or a remark in brackets, may follow.  ``closed``: of a text parsed already, where what its last sign closes began."""
-    s = _TAIL.sub("", text)
+    s = _body(text)
     if _DOTS.search(s):
         return False
     while s := s.rstrip():
@@ -285,8 +312,8 @@ def ends_sentence(text: str, closed: int | None = None) -> bool:
 
 
 def is_truncated(answer: str) -> bool:
-    s = _TAIL.sub("", answer)
-    title = _TITLE.search(s)
+    s = _body(answer)
+    title = _title(s)
     if title and _CONCLUSION.search(s, title.end()):
         notes = None
         for notes in _NOTES.finditer(s, title.end()):

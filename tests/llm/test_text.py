@@ -333,6 +333,39 @@ def test_western_names_by_information(spark):
     assert found == set(range(32))
 
 
+@pytest.mark.parametrize("number", range(4))
+def test_hints_are_in_whatever_declines(number):
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    hints, grammar = pairs._REFUSALS[number]
+
+    @settings(max_examples=200, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.from_regex(privacy.re.compile(grammar.pattern)))
+    def check(text):
+        assert any(h in text.lower() for h in hints)
+
+    check()
+
+
+def test_declines_without_a_particle():
+    assert pairs.defect("三天后能洗澡吗", "抱歉，这超出我可以处理范围。", True) == "refusal"
+
+
+def test_copies_are_told_apart_early(monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    question = "三天后能洗澡吗请告诉我要不要先等伤口长好"
+    texts = []
+    for _ in range(400):
+        lead = "".join(rng.sample("您好刚才问的是以下内容对不起这个需要先确认一下再说", rng.randrange(14)))
+        texts.append(rng.choice(["", "Sie fragten: "]) + lead + question[: rng.randrange(12, 21)] + rng.choice(["", "？", question]))
+    early = [pairs.is_copied(question, t) for t in texts]
+    monkeypatch.setattr(pairs, "_HAN_LETTERS", privacy.re.compile("(?!)"))
+    assert early == [pairs.is_copied(question, t) for t in texts] and 40 < sum(early) < 360
+
+
 @pytest.mark.parametrize("number", range(7))
 def test_pre_tests_hold_for_whatever_the_grammar_matches(number):
     from hypothesis import HealthCheck, given, settings
